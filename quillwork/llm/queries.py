@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring
+from . import quality, simhash, substring
 from .common import read
 
 
@@ -16,7 +16,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.factored(read(spark, sf_dir, "documents")).drop("factors")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_rules": op8_quality_rules,
 }
