@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash, substring
+from . import mixing, quality, sharding, simhash, substring
 from .common import read
 
 
@@ -21,8 +21,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(read(spark, sf_dir, "documents"))
+
+
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents")).drop("source", "copies")
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op4_sharding": op4_sharding,
+    "op6_mixing_sources": op6_mixing_sources,
 }
