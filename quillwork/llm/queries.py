@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, simhash, substring
+from . import decontam, mixing, quality, sharding, simhash, substring
 from .common import read
 
 
@@ -29,10 +29,15 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
-    "op7_substring_dedup": op7_substring_dedup,
-    "op8_quality_rules": op8_quality_rules,
     "op4_sharding": op4_sharding,
     "op6_mixing_sources": op6_mixing_sources,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
