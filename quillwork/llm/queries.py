@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, sharding, simhash, substring
+from . import decontam, licenses, mixing, quality, sharding, simhash, substring
 from .common import read
 
 
@@ -33,7 +33,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.decontaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_sharding": op4_sharding,
     "op6_mixing_sources": op6_mixing_sources,
