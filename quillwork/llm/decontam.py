@@ -26,10 +26,10 @@ def canonical(text: Column) -> Column:
     """
     t = F.coalesce(text.cast("string"), F.lit(""))
     t = F.regexp_replace(t, "[\ue000-\ue002]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}+)", _NAME + "$1")
-    t = F.regexp_replace(t, rf"(?<={_NAME}[\p{{L}}]{{1,40}}) {_NAME}", "_")
+    t = F.regexp_replace(t, r"([\p{Ll},;:] )(?=\p{Lu}\p{Ll})", "$1" + _NAME)
+    t = F.regexp_replace(t, rf" {_NAME}(?<={_NAME}[\p{{L}}]{{1,40}} {_NAME})", "_")
     t = F.lower(t)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\d+(?:[.,]\d+)*", _NUM + "$0 ")
+    t = F.regexp_replace(t, r"\d(?<![\p{L}\p{N}].)\d*(?:[.,]\d+)*", _NUM + "$0 ")
     return F.regexp_replace(t, rf"({_NUM}[\d.,]+ +)(%|°c|°f|\$|€|(?:{UNITS})(?![\p{{L}}\p{{N}}]))", f"$1{_UNIT}$2 ")
 
 
@@ -45,7 +45,8 @@ def _typed(word: Column) -> Column:
 
 def _keys(w: Column, window: Column) -> Column:
     """The hash of each window of the words w, in order."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - window + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, window)))
+    starts = F.when(F.size(w) >= window, F.sequence(F.lit(1), F.size(w) - window + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, window)))
 
 
 def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
@@ -62,10 +63,10 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, threshold:
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most `window` numbers
     small = index.count() <= BROADCAST_ROWS  # beyond it the windows are shuffled and joined by sort and merge
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), words(F.col("text")).alias("w"))
-    d = d.withColumn("typed", F.transform("w", _typed))
+    d = d.select("doc_id", "row_hash", F.transform("w", _typed).alias("typed"))
     hits = None
     for k in lengths:
-        found = d.where(F.size("w") >= k).select("doc_id", "row_hash", F.posexplode(_keys(F.col("typed"), F.lit(k))).alias("pos", "key"))
+        found = d.select("doc_id", "row_hash", F.posexplode(_keys(F.col("typed"), F.lit(k))).alias("pos", "key"))
         own = index.where(F.col("k") == k)
         found = found.join(F.broadcast(own) if small else own, "key").select("doc_id", "row_hash", "item_id", "k", "n", "ipos", "pos")
         hits = found if hits is None else hits.unionByName(found)
