@@ -74,13 +74,13 @@ _INVERSE = np.uint64(pow(int(_ODD), -1, 2**64))
 
 
 class Tokens:
-    """The white-space words of a batch of texts, without a Python object per word.
+    """The words of a batch of texts, without a Python object per word: those between white space, or alphanumeric runs.
 
     data: the bytes of all texts; start, end: byte offsets of each word; doc: the text's number in the batch; first: for each
     text the number of its first word (one more entry than texts); hash: 64 bits per word, equal for equal bytes in any batch.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, alphanumeric: bool = False):
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         texts = texts.cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -90,7 +90,10 @@ class Tokens:
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.data, self.offsets, self.n = data, offsets, len(texts)
-        space = (data == 32) | ((data >= 9) & (data <= 13))
+        if alphanumeric:
+            space = ~((data >= 128) | ((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90)))
+        else:
+            space = (data == 32) | ((data >= 9) & (data <= 13))
         word = np.zeros(len(data) + 1, bool)
         word[:-1] = ~space
         begins = word.copy()
@@ -105,15 +108,23 @@ class Tokens:
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
 
+    def _of(self, end: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "_total"):
+            self._total = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_BYTE[self.data] * powers(_ODD, len(self.data)), out=self._total[1:])
+            self._back = powers(_INVERSE, len(self.data) + 1)[self.start]
+        return mix64((self._total[end] - self._total[self.start]) * self._back + (end - self.start).astype(np.uint64))
+
     @property
     def hash(self) -> np.ndarray:
         if not hasattr(self, "_hash"):
-            total = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * powers(_ODD, len(self.data)), out=total[1:])
-            back = powers(_INVERSE, len(self.data) + 1)
-            self._hash = mix64((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+            self._hash = self._of(self.end)
         return self._hash
 
+    def prefix_hash(self, size: int) -> np.ndarray:
+        """The hash of each word's first size bytes; of the whole word if it is shorter."""
+        return self._of(np.minimum(self.start + size, self.end))
+
 
 def window_hash(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of each k consecutive entries of words (uint64); len(words) - k + 1 entries."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, mixing, quality, sharding, simhash, substring
+from . import decontam, licenses, mixing, quality, sharding, simhash, substring, toxicity
 from .common import read
 
 
@@ -37,10 +37,16 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, *toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing_sources": op6_mixing_sources,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
