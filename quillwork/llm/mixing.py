@@ -70,3 +70,19 @@ def mixed(docs: DataFrame) -> DataFrame:
         took = now.groupBy("position").agg(F.sum(F.when(F.col("copies") > F.col("epochs"), F.col("size")).otherwise(0)).alias("took"))
         now = now.join(took, "position").withColumn("gap", F.col("target") - F.col("epochs") * F.col("source_size") - F.col("took")).drop("took")
     return now.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def remixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as mixed() takes it (0 to MOST copies).
+
+    A row is told from others by doc_id, source and words; of rows equal in these, each stands for any other.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    nth = Window.partitionBy("_id", "_source", "_size").orderBy("_order")
+    own = docs.select(*docs.columns, F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"), F.xxhash64("text").alias("_order"))
+    own = own.withColumn("_nth", F.row_number().over(nth))
+    plan = mixed(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.desc("copies")))).where("copies > 0")
+    keys = [own[c].eqNullSafe(plan[c]) for c in ("_id", "_source", "_size", "_nth")]
+    joined = own.join(plan, keys).select(*[own[c] for c in docs.columns], plan["copies"])
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, mixing, quality, sharding, simhash, substring, toxicity
+from . import chat, decontam, html_extract, licenses, mixing, quality, sharding, simhash, substring, toxicity
 from .common import read
 
 
@@ -42,7 +42,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, *toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(read(spark, sf_dir, "conversations"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(read(spark, sf_dir, "pages"), html_extract.train())
+
+
 QUERIES = {
+    "op1_tool_call_linking": op1_tool_call_linking,
     "op2_license_scan": op2_license_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_sharding": op4_sharding,
@@ -51,4 +60,5 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_html_extraction": op10_html_extraction,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -12,10 +12,10 @@ SHARDS, ROUNDS = 16, 12
 _GROUP_BUCKETS, _ROW_BUCKETS = 256, 64
 
 
-def nodes(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, gid (equal for equal texts) and the columns `extra` for each row of docs."""
+def nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, gid (equal for equal texts) for each row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("gid"), *extra)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("gid"))
 
 
 def propagate(table: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -65,13 +65,27 @@ def propagate(table: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     return now.where("linked").unionByName(free.select(now.columns)).drop("bucket", "linked")
 
 
-def sharded(docs: DataFrame, extra: tuple[str, ...] = (), shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and `extra` for each row of docs. The law is `rows`.
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs. The law is `rows`.
 
     slot numbers a shard's rows from 0 without gaps. Null texts are empty texts; null ids and repeated rows are rows like
     others (equal rows are linked, and any of them may have either slot); an empty table gives an empty result.
     """
-    placed = materialize(propagate(nodes(docs, extra), shards), "shard-placed")
+    placed = materialize(propagate(nodes(docs), shards), "shard-placed")
     placed = placed.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(1024)))
     out = running(placed, "shard", "b", [F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("gid")], F.lit(1), "rank")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *extra)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def with_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The rows of docs with size, text_crc32, law, shard and slot. Of rows equal in doc_id and text each gets one of their slots.
+
+    The texts are shuffled once, after the propagation, which knows their hashes only.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(*docs.columns, F.col("doc_id").cast("long").alias("_id"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"))
+    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy(F.lit(0))))
+    plan = sharded(docs, shards).drop("grown_shard")
+    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "size", "text_crc32").orderBy("shard", "slot")))
+    keys = own["_id"].eqNullSafe(plan["doc_id"]) & (own["_size"] == plan["size"]) & (own["_crc"] == plan["text_crc32"]) & (own["_nth"] == plan["_nth"])
+    return own.join(plan, keys).select(*[own[c] for c in docs.columns], *[plan[c] for c in ("size", "text_crc32", "law", "shard", "slot")])
