@@ -74,7 +74,7 @@ def mine(rows: DataFrame, most: int = VOTERS) -> Voters:
         return Voters([])
     rate = base["k"] / base["n"]
     w = F.col("w")
-    each = F.transform(w, lambda x: F.struct(F.lit(0).alias("kind"), x.alias("v")))
+    each = F.transform(w, lambda x: F.concat(F.lit("0"), x))  # strings: distinct structs would be found by comparing all pairs
     for size in PREFIXES:
         each = F.concat(each, F.transform(F.filter(w, _at_least(size)), _beginning(size)))
     found = rows.select("toxic", _words(F.col("text")).alias("w")).select("toxic", F.explode(F.array_distinct(each)).alias("f")).groupBy("f").agg(F.sum("toxic").alias("k"), F.count("*").alias("n"))
@@ -82,7 +82,7 @@ def mine(rows: DataFrame, most: int = VOTERS) -> Voters:
     k, n = F.col("k"), F.col("n")
     ratio = 2 * (k * F.log(F.greatest(k, F.lit(1)) / (n * rate)) + (n - k) * F.log(F.greatest(n - k, F.lit(1)) / (n * (1 - rate))))
     distinct = distinct.where(k >= PRECISION * n).withColumn("g", ratio)
-    best = distinct.where(F.col("g") >= 2 * (np.log(50_000) + 2)).orderBy(F.desc("g"), "f.kind", F.length("f.v").desc(), "f.v").limit(CANDIDATES).select("f.kind", "f.v", "k", "n")
+    best = distinct.where(F.col("g") >= 2 * (np.log(50_000) + 2)).orderBy(F.desc("g"), F.substring("f", 1, 1), F.length("f").desc(), "f").limit(CANDIDATES).select(F.substring("f", 1, 1).cast("int"), F.substr("f", F.lit(2)), "k", "n")
     chosen: list[tuple[int, str]] = []
     support: set[tuple[str, int, int]] = set()
     for kind, v, k_, n_ in best.collect():
@@ -98,7 +98,7 @@ def _at_least(size: int):
 
 
 def _beginning(size: int):
-    return lambda x: F.struct(F.lit(1).alias("kind"), F.substring(x, 1, size).alias("v"))
+    return lambda x: F.concat(F.lit("1"), F.substring(x, 1, size))
 
 
 class LabelModel:
