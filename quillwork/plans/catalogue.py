@@ -1,6 +1,345 @@
-"""Queries of the engine's operators by name, and their oracle SQL."""
+"""Queries of the engine's operators by name, over whole tables, and their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillwork.functions import text as X
+from quillwork.operators import align, cluster, image, loop, reclass, score, tags, typing_rules
+from quillwork.sources import io
+
+from .derived import derived_edits, doc_tokens, flat, hypotheses, sentence_pairs, table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def _r(c: str, n: int = 6):
+    return F.round(c, n).alias(c)
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").alias("cluster"))
+
+
+def _z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir)
+    return cluster.zscore(p, cluster.moments(p))
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = _z(spark, sf_dir)
+    return cluster.assign(z, cluster.centres(z))
+
+
+def nearest_center_confidence(spark, sf_dir):
+    return _assigned(spark, sf_dir).select(F.col("id").alias("vec_id"), F.col("nearest").alias("cluster"), _r("confidence"))
+
+
+def confidence_summary(spark, sf_dir):
+    s = cluster.confidence_summary(_assigned(spark, sf_dir))
+    return s.select(*[_r(c) for c in s.columns])
+
+
+def per_cluster_confidence(spark, sf_dir):
+    return cluster.per_cluster(_assigned(spark, sf_dir)).select("cluster", _r("mean_confidence"), "n")
+
+
+def cluster_means_zspace(spark, sf_dir):
+    c = cluster.centres(_z(spark, sf_dir))
+    return c.select("cluster", F.posexplode("c").alias("d", "v")).select("cluster", "d", _r("v"))
+
+
+def silhouette(spark, sf_dir):
+    return cluster.silhouette(_points(spark, sf_dir)).select(_r("silhouette"))
+
+
+def silhouette_rows(spark, sf_dir):
+    return cluster.silhouette_rows(_points(spark, sf_dir)).select(F.col("id").alias("vec_id"), _r("a"), _r("b"), _r("s"))
+
+
+def davies_bouldin(spark, sf_dir):
+    return cluster.davies_bouldin(_points(spark, sf_dir)).select(_r("davies_bouldin"))
+
+
+def pca_project(spark, sf_dir):
+    mean = [0.01 * d for d in range(64)]
+    comps = [[(1.0 if d % 2 else -1.0) / 8 for d in range(64)], [(d % 5 - 2) / 10.0 for d in range(64)]]
+    p = cluster.project(_points(spark, sf_dir), mean, comps)
+    return p.select(F.col("id").alias("vec_id"), F.round(F.col("x")[0], 6).alias("pc1"), F.round(F.col("x")[1], 6).alias("pc2"))
+
+
+def kmeans_model(spark, sf_dir):
+    p = _points(spark, sf_dir).drop("cluster")
+    m = cluster.fit(p, k=3, seed=0)
+    return cluster.predict(p, m)
+
+
+def pca_explained(spark, sf_dir):
+    z = _z(spark, sf_dir)
+    m = cluster.fit_pca(z)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(m["evr"])], "component int, evr double")
+
+
+def sanitize_tokens(spark, sf_dir):
+    t = doc_tokens(spark, sf_dir).select(F.explode("toks").alias("t"))
+    return t.groupBy(X.sanitize(F.col("t")).alias("token")).agg(F.count("*").alias("n"))
+
+
+def diacritic_fix_pairs(spark, sf_dir):
+    t = doc_tokens(spark, sf_dir).select(F.explode("toks").alias("orig")).distinct()
+    t = t.withColumn("cor", F.translate("orig", "aăâsț", "âaăsț"))
+    return t.where(X.diacritic_fix(F.col("orig"), F.col("cor")))
+
+
+def punct_and_case(spark, sf_dir):
+    """X4, X6, X7 over all derived replacements."""
+    e = flat(derived_edits(spark, sf_dir)).where("err_type = 'R:OTHER'")
+    o, c = F.col("orig"), F.col("correction")
+    return e.select("doc_id", "start", X.strip_punct(o).alias("stripped"), X.punct_only(o, c).alias("punct"), X.case_fix(o, c).alias("case_only"), X.whitespace_fix(o, c).alias("ws"))
+
+
+def ordinal_split_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "n_chars")
+    return io.split_ordinal(d).groupBy("split").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+def row_slice(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "lang")
+    return io.slice_rows(d, 50, 150)
+
+
+def annotated_left_join(spark, sf_dir):
+    e = flat(derived_edits(spark, sf_dir)).drop("orig")
+    j = table(spark, sf_dir, "documents").select("doc_id", "lang").join(e, "doc_id", "left")
+    return j.select("doc_id", "lang", F.coalesce("start", F.lit(-1)).alias("start_tok"), F.coalesce("end", F.lit(-1)).alias("end_tok"), F.coalesce("err_type", F.lit("correct")).alias("err_type"), F.coalesce("correction", F.lit("")).alias("correction"))
+
+
+def first_target_per_source(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"), F.min_by("role", "turn").alias("first_role"), F.count("*").alias("n"))
+
+
+def _tag_rows(spark, sf_dir) -> DataFrame:
+    e = flat(derived_edits(spark, sf_dir))
+    return e.select("doc_id", "start", "err_type", tags.full_tag(tags.base_for(F.col("err_type")), F.lower("correction")).alias("tag"))
+
+
+def full_tag_build(spark, sf_dir):
+    e = flat(derived_edits(spark, sf_dir))
+    a, b = tags.base_for(F.col("err_type"), tags.GENERATION_A), tags.base_for(F.col("err_type"))
+    return e.select("doc_id", "start", tags.full_tag(a, F.col("correction"), False).alias("tag_a"), tags.full_tag(b, F.col("correction")).alias("tag_b"))
+
+
+def rare_tag_collapse(spark, sf_dir):
+    return tags.collapse_rare(_tag_rows(spark, sf_dir)).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def top_tags(spark, sf_dir):
+    return _tag_rows(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(20)
+
+
+def class_weights(spark, sf_dir):
+    t = _tag_rows(spark, sf_dir)
+    vocab = t.groupBy("tag").agg(F.count("*").alias("n")).where("n >= 3").select("tag").unionByName(spark.createDataFrame([(b,) for b in tags.BASES], "tag string"))
+    return tags.class_weights(t, vocab).select("tag", "count", _r("weight"))
+
+
+def edits_to_tags(spark, sf_dir):
+    return derived_edits(spark, sf_dir).select("doc_id", F.md5(F.array_join(tags.edits_to_tags(F.col("toks"), F.col("edits")), "\n").cast("binary")).alias("tags_md5"))
+
+
+def edits_to_tags_a(spark, sf_dir):
+    e = derived_edits(spark, sf_dir)
+    own = F.transform("edits", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), tags.full_tag(tags.base_for(x["err_type"], tags.GENERATION_A), x["correction"], False).alias("tag")))
+    return e.select("doc_id", F.md5(F.array_join(tags.edits_to_tags_a(F.col("toks"), own), "\n").cast("binary")).alias("tags_md5"))
+
+
+def apply_tags(spark, sf_dir):
+    e = derived_edits(spark, sf_dir).select("doc_id", "toks", tags.edits_to_tags(F.col("toks"), F.col("edits")).alias("tags"))
+    return e.select("doc_id", F.md5(tags.apply_tags(F.col("toks"), F.col("tags")).cast("binary")).alias("text_md5"))
+
+
+def reconstruct_target(spark, sf_dir):
+    return derived_edits(spark, sf_dir).select("doc_id", F.md5(tags.reconstruct_target(F.col("toks"), F.col("edits")).cast("binary")).alias("target_md5"))
+
+
+def all_keep_counts(spark, sf_dir):
+    e = derived_edits(spark, sf_dir).select(tags.all_keep(tags.edits_to_tags(F.col("toks"), F.col("edits"))).alias("all_keep"))
+    return e.groupBy("all_keep").agg(F.count("*").alias("n"))
+
+
+def clean_sample(spark, sf_dir):
+    e = derived_edits(spark, sf_dir).select(F.col("doc_id").alias("sent_id"), tags.edits_to_tags(F.col("toks"), F.col("edits")).alias("tags"))
+    return tags.sample_clean(e).select("sent_id", F.size("tags").alias("n"))
+
+
+def reclassify_pass1(spark, sf_dir):
+    e = flat(derived_edits(spark, sf_dir))
+    new = reclass.pass_one(F.col("orig"), F.col("correction"), F.col("err_type"), F.col("start"), F.col("end"))
+    return e.select("doc_id", "start", new.alias("new_type"))
+
+
+MSD = ("Vmip3s", "Vmis1p", "Vmnp", "Ncfsrn", "Ncmpoy", "Ncf", "Afpms-n", "Afp", "Px3fsr", "Di3ms", "Spsa", "V", "")
+
+
+def msd_decode(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*[F.lit(m) for m in MSD]), (F.col("p_partkey") % len(MSD) + 1).cast("int")).alias("msd"))
+    return p.withColumn("m", reclass.decode_msd(F.col("msd"))).select("p_partkey", "msd", "m.*")
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon from the words of the documents: the lemma is the first four letters, the code by length."""
+    w = doc_tokens(spark, sf_dir).select(F.explode("toks").alias("w")).select(F.lower(X.strip_punct(F.col("w"))).alias("form")).where("form <> ''").distinct()
+    n = F.length("form")
+    msd = F.when(n % 6 == 0, "Vmip3s").when(n % 6 == 1, "Vmip3p").when(n % 6 == 2, "Ncfsrn").when(n % 6 == 3, "Ncfprn").when(n % 6 == 4, "Afpms-n").otherwise("Spsa")
+    return w.select(F.lit(0).alias("row_idx"), "form", F.substring("form", 1, 4).alias("lemma"), msd.alias("msd"))
+
+
+def lexicon_reclass(spark, sf_dir):
+    e = flat(derived_edits(spark, sf_dir)).where("err_type = 'R:OTHER'").select("doc_id", "start", "orig", "correction", "err_type")
+    return reclass.pass_two(e, _lexicon(spark, sf_dir), short_noise=False).select("doc_id", "start", "err_type")
+
+
+def lexicon_reclass_noise(spark, sf_dir):
+    e = flat(derived_edits(spark, sf_dir)).where("err_type = 'R:OTHER'").select("doc_id", "start", "orig", "correction", "err_type")
+    return reclass.pass_two(e, _lexicon(spark, sf_dir)).select("doc_id", "start", "err_type")
+
+
+def threshold_mask(spark, sf_dir):
+    a = _assigned(spark, sf_dir).select(F.col("id").alias("vec_id"), F.concat(F.lit("$REPLACE_"), "nearest").alias("tag"), F.round("confidence", 9).alias("c"))
+    return a.select("vec_id", *[tags.mask(F.col("tag"), F.col("c"), t).alias(f"at_{int(t * 100)}") for t in (0.5, 0.7, 0.8)])
+
+
+def _counts(spark, sf_dir, mode: str = "correction") -> DataFrame:
+    hyp, ref = hypotheses(spark, sf_dir)
+    return score.compare(score.edit_keys(hyp, mode).drop("coder"), score.edit_keys(ref, mode))
+
+
+def prf_by_category(spark, sf_dir):
+    return score.by_category(_counts(spark, sf_dir))
+
+
+def prf_token_detection(spark, sf_dir):
+    return score.total(_counts(spark, sf_dir, "token"))
+
+
+def prf_span_detection(spark, sf_dir):
+    return score.by_category(_counts(spark, sf_dir, "span"), level=2)
+
+
+def prf_correction_type(spark, sf_dir):
+    return score.total(_counts(spark, sf_dir, "correction_type"))
+
+
+def prf_rollup(spark, sf_dir):
+    return score.rollup(_counts(spark, sf_dir))
+
+
+def best_annotator(spark, sf_dir):
+    hyp, ref = hypotheses(spark, sf_dir)
+    second = ref.where((F.col("sent_id") + F.col("start")) % 2 == 0).withColumn("coder", F.lit(1))
+    keys = score.edit_keys(ref.unionByName(second))
+    counts = score.compare(score.edit_keys(hyp).drop("coder"), keys)
+    sents = keys.select("sent_id", "coder").distinct().withColumn("place", F.col("coder"))
+    return score.best_annotator(counts, sents)
+
+
+def binary_fbeta(spark, sf_dir):
+    b = score.binary_scores(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 0)
+    return b.select("tp", "fp", "fn", _r("p"), _r("r"), _r("f"))
+
+
+def class_fbeta(spark, sf_dir):
+    t = _tag_rows(spark, sf_dir).withColumn("pred", F.when((F.col("doc_id") + F.col("start")) % 4 == 0, F.lit("$REPLACE")).otherwise(F.col("tag")))
+    c = score.class_f_beta(t, "tag", "pred", [b for b in tags.BASES if b != "$KEEP"], tags.base_of)
+    return c.select("class", "tp", "fp", "fn", _r("prec"), _r("rec"), _r("f"))
+
+
+def class_fbeta_exact(spark, sf_dir):
+    t = _tag_rows(spark, sf_dir).withColumn("pred", F.when((F.col("doc_id") + F.col("start")) % 4 == 0, F.lit("$REPLACE")).otherwise(F.col("tag")))
+    c = score.class_f_beta(t, "tag", "pred", [b for b in tags.BASES if b != "$KEEP"], tags.base_of, exact_only=True)
+    return c.select("class", "tp", "fp", "fn", _r("prec"), _r("rec"), _r("f"))
+
+
+def sequence_run_f1(spark, sf_dir):
+    t = doc_tokens(spark, sf_dir).select("doc_id", F.posexplode("toks").alias("pos", "w"))
+    t = t.select("doc_id", "pos", F.when(F.length("w") > 4, "$KEEP").otherwise("$REPLACE").alias("gold"), F.when((F.col("doc_id") + F.col("pos")) % 29 == 0, "$DELETE").when(F.length("w") > 4, "$KEEP").otherwise("$REPLACE").alias("pred"))
+    s = score.sequence_run_f1(t, "doc_id", "pos", "gold", "pred")
+    return s.select("tp", "n_gold", "n_pred", _r("p"), _r("r"), _r("f1"))
+
+
+def char_levenshtein(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    a = b.select(F.col("item_id").alias("item"), F.col("text").alias("a"))
+    c = b.select((F.col("item_id") - 1).alias("item"), F.col("text").alias("b"))
+    return a.join(c, "item").select("item", F.levenshtein("a", "b").alias("distance"))
+
+
+def similarity_ratio(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.round(X.similarity_ratio(F.col("p_name"), F.col("p_type")), 6).alias("ratio"))
+
+
+def align_edits(spark, sf_dir):
+    p = sentence_pairs(spark, sf_dir)
+    return p.select("sent_id", F.explode(align.align(F.col("orig"), F.col("cor"), "all-split")).alias("e")).select("sent_id", "e.*")
+
+
+def typed_edits(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(X.tokens(F.lower("text"))).alias("word")).distinct()
+    return typing_rules.typed_edits(sentence_pairs(spark, sf_dir), words)
+
+
+def sobel_edges(spark, sf_dir):
+    e = image.sobel_pixels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 8)
+    return e.select(F.col("id").alias("vec_id"), "x", "y", _r("e", 5))
+
+
+def edge_profile(spark, sf_dir):
+    e = image.sobel_pixels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 8)
+    rows = e.groupBy("id", F.lit("row").alias("axis"), F.col("y").alias("k")).agg(F.sum("e").alias("total"))
+    cols = e.groupBy("id", F.lit("column").alias("axis"), F.col("x").alias("k")).agg(F.sum("e").alias("total"))
+    return rows.unionByName(cols).select(F.col("id").alias("vec_id"), "axis", "k", F.round("total", 4).alias("total"))
+
+
+def autocorr_peak(spark, sf_dir):
+    """The best lag (2 to 24) of the hourly counts of each event type."""
+    h = table(spark, sf_dir, "events").groupBy("event_type", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("h")).agg(F.count("*").cast("double").alias("n"))
+    m = h.groupBy("event_type").agg(F.avg("n").alias("m"))
+    d = h.join(m, "event_type").select("event_type", "h", (F.col("n") - F.col("m")).alias("v"))
+    e = d.groupBy("event_type").agg(F.sum(F.col("v") * F.col("v")).alias("energy"))
+    lagged = d.select("event_type", F.explode(F.transform(F.sequence(F.lit(2), F.lit(24)), lambda k: F.struct(k.alias("lag"), (F.col("h") - k).alias("h")))).alias("p"), F.col("v").alias("w")).select("event_type", "p.lag", "p.h", "w")
+    r = d.join(lagged, ["event_type", "h"]).groupBy("event_type", "lag").agg(F.sum(F.col("v") * F.col("w")).alias("s")).join(e, "event_type")
+    r = r.select("event_type", "lag", F.round(F.col("s") / (F.col("energy") + 1e-8), 6).alias("a"))
+    return r.groupBy("event_type").agg(F.min_by("lag", F.struct(-F.col("a"), "lag")).alias("lag"), F.max("a").alias("peak"))
+
+
+def reflection_score_axis0(spark, sf_dir):
+    """The score of the vertical axis x = 3.5 of each 8 x 8 grid."""
+    g = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
+    g = g.select("vec_id", F.floor(F.col("k") / 8).alias("y"), (F.col("k") % 8).alias("x"), F.abs("v").cast("double").alias("v")).where("y >= 1 and y < 7")
+    m = g.alias("a").join(g.alias("b"), F.expr("a.vec_id = b.vec_id and a.y = b.y and a.x = 7 - b.x"))
+    return m.groupBy("a.vec_id").agg(F.round(F.sum(F.col("a.v") * F.col("b.v")) / (F.sum(F.col("a.v") * F.col("a.v")) + 1e-6), 6).alias("score"))
+
+
+def image_features(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    top = v.select("vec_id", F.transform("embedding", lambda x: F.abs(x)).alias("px")).withColumn("top", F.array_max("px"))
+    img = top.select(F.col("vec_id").cast("string").alias("image"), F.struct(F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("px", lambda x: (x / (F.col("top") + 1e-8)).cast("float")).alias("px")).alias("img"))
+    return image.extract(img, theta_step=15.0, rho_step=2, step=1, lag=2)
+
+
+def correction_loop(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), "text")
+    fixes = spark.createDataFrame([("of", "$DELETE", 0.9), ("the", "$REPLACE_SPELL_a", 0.95), ("a", "$APPEND_an", 0.6), ("de", "$REPLACE_la", 0.85)], "word string, tag string, conf double")
+    return loop.correct(c, loop.dictionary_predictor(fixes)).select("sent_id", "iteration", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+QUERIES = {f.__name__: f for f in (
+    nearest_center_confidence, confidence_summary, per_cluster_confidence, cluster_means_zspace, silhouette, silhouette_rows, davies_bouldin, pca_project, kmeans_model, pca_explained,
+    sanitize_tokens, diacritic_fix_pairs, punct_and_case, ordinal_split_counts, row_slice, annotated_left_join, first_target_per_source, full_tag_build, rare_tag_collapse, top_tags, class_weights,
+    edits_to_tags, edits_to_tags_a, apply_tags, reconstruct_target, all_keep_counts, clean_sample, reclassify_pass1, msd_decode, lexicon_reclass, lexicon_reclass_noise, threshold_mask,
+    prf_by_category, prf_token_detection, prf_span_detection, prf_correction_type, prf_rollup, best_annotator, binary_fbeta, class_fbeta, class_fbeta_exact, sequence_run_f1, char_levenshtein,
+    similarity_ratio, align_edits, typed_edits, sobel_edges, edge_profile, autocorr_peak, reflection_score_axis0, image_features, correction_loop,
+)}
