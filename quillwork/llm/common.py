@@ -44,6 +44,17 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most 500 rows and some MB from now on: Python workers and the JVM's direct memory keep what the
+    largest batch took."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = conf.get(key, None)
+        if now is not None and (not now.isdigit() or not 0 < int(now) <= most):
+            conf.set(key, str(most))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
