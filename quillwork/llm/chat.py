@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import discard, materialize
 from .prefix import running
@@ -26,7 +27,7 @@ SCHEMAS = {
 _TURN = "tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string, content string"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys, no white space and no escapes but the needed ones; null where the text isn't JSON."""
 
@@ -43,7 +44,7 @@ def validator(schemas: dict):
     """A UDF (name, arguments) -> the first fault found, or null: unknown tool, not an object, missing, unknown, mistyped."""
     kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def fault(name: pd.Series, arguments: pd.Series) -> pd.Series:
         def one(n, a):
             if n not in schemas:
