@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 from .prefix import running
 
-SHARDS, ROUNDS = 16, 12
+#: Shards, rounds at most, and how far above its quota a shard may be filled while labels move.
+SHARDS, ROUNDS, SLACK = 16, 12, 1.5
 _GROUP_BUCKETS, _ROW_BUCKETS = 256, 64
 
 
@@ -23,8 +24,9 @@ def propagate(table: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
 
     The links of a group are counted by shard, never listed. All rows start evenly by hash. In each round a linked row learns
     which shard with room holds most of its group and moves there if that is more than its own shard holds; moves into a shard
-    are admitted in the order of their groups until its quota is full. A group above a shard's quota thus fills one shard after
-    another. Rounds end when none moves. Rows without a link then fill each shard's quota exactly.
+    are admitted in the order of their groups until it is full, SLACK times its quota. Rounds end when none moves. Then the quotas
+    are met exactly: what a shard holds above its own, the last groups in order, and the rows without a link fill the shards'
+    free places one after the other, so that at most two groups a shard are cut there.
     """
     row = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     table = table.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(_GROUP_BUCKETS)) * _ROW_BUCKETS + F.pmod(F.xxhash64("doc_id"), F.lit(_ROW_BUCKETS)))
@@ -36,7 +38,7 @@ def propagate(table: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     for _ in range(rounds):
         held = {r["shard"]: r["n"] for r in now.where("linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row a shard
-        room = [quota[s] - held.get(s, 0) for s in range(shards)]
+        room = [int(SLACK * quota[s]) - held.get(s, 0) for s in range(shards)]
         rooms = F.array(*[F.lit(x).cast("long") for x in room])
         links = now.where("linked").groupBy("gid", "shard").agg(F.count("*").alias("n"))
         best = links.where(F.element_at(rooms, F.col("shard") + 1) > 0).groupBy("gid").agg(F.max(F.struct("n", F.pmod(F.xxhash64("gid", "shard"), F.lit(1 << 30)).alias("t"), F.col("shard").alias("to"))).alias("best"))
@@ -57,12 +59,18 @@ def propagate(table: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     held = {r["shard"]: r["n"] for r in now.where("linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     upto, bounds = 0, []
     for s in range(shards):
-        upto += quota[s] - held.get(s, 0)
+        upto += quota[s] - min(held.get(s, 0), quota[s])
         bounds.append(upto)
-    free = running(now.where("not linked").withColumn("one", F.lit(0)).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(4096))), "one", "b", [*row, F.col("gid")], F.lit(1), "rank")
+    columns = [c for c in now.columns if c not in ("linked", "bucket")]
+    ranked = running(now.where("linked"), "shard", "bucket", [F.col("gid"), *row], F.lit(1), "rank")
+    within = F.col("rank") <= F.element_at(F.array(*[F.lit(q).cast("long") for q in quota]), F.col("shard") + 1)
+    ranked = materialize(ranked.withColumn("within", within).drop("rank"), "shard-ranked")
+    loose = ranked.where("not within").select(*columns, F.col("bucket").alias("b"))
+    alone = now.where("not linked").select(*columns, (F.pmod(F.xxhash64("doc_id"), F.lit(4096)) + _GROUP_BUCKETS * _ROW_BUCKETS).alias("b"))
+    free = running(loose.unionByName(alone).withColumn("one", F.lit(0)), "one", "b", [F.col("gid"), *row], F.lit(1), "rank")
     place = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("rank")))
-    free = free.withColumn("shard", place.cast("int")).drop("one", "b", "rank")
-    return now.where("linked").unionByName(free.select(now.columns)).drop("bucket", "linked")
+    free = free.withColumn("shard", place.cast("int"))
+    return ranked.where("within").select(columns).unionByName(free.select(columns))
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
