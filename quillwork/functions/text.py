@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Fixed values.
 CEDILLA, COMMA = "ţşŢŞ", "țșȚȘ"
@@ -110,7 +111,7 @@ def extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"(\.[^./]*)$", 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings; the order of the arguments matters."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

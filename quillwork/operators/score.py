@@ -134,7 +134,7 @@ def best_annotator(counts: DataFrame, sentences: DataFrame, beta: float = 0.5) -
             chosen.append((sent, best[1]))
         return pd.DataFrame(chosen, columns=["sent_id", "coder"])
 
-    picked = stream.groupBy(F.lit(0)).applyInPandas(fold, f"sent_id bigint, coder {dict(many.dtypes)['coder']}")
+    picked = stream.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fold, f"sent_id bigint, coder {dict(many.dtypes)['coder']}")
     return single.select("sent_id", "coder").unionByName(picked)
 
 

@@ -36,14 +36,14 @@ def _joined(toks: Column, lower: bool = True) -> Column:
 def one_sided(toks: Column) -> Column:
     """The category of an insertion's or deletion's tokens."""
     pos, dep = F.array_distinct(_get(toks, "pos")), F.array_distinct(_get(toks, "dep"))
-    p, d = F.element_at(pos, 1), F.element_at(dep, 1)
+    p, d = F.try_element_at(pos, F.lit(1)), F.try_element_at(dep, F.lit(1))
     return F.when((F.size(pos) == 1) & ~p.isin(*RARE), p).when((F.size(dep) == 1) & _mapped(d).isNotNull(), _mapped(d)).when(F.array_sort(pos) == F.array(F.lit("PART"), F.lit("VERB")), "VERB").otherwise("OTHER")
 
 
 def two_sided(o: Column, c: Column, in_list: Column, stem: Callable | None = None) -> Column:
     """The category of a replacement, the first rule that holds. in_list: whether the original word or its lower case is known."""
     one = (F.size(o) == 1) & (F.size(c) == 1)
-    a, b = F.element_at(o, 1), F.element_at(c, 1)
+    a, b = F.try_element_at(o, F.lit(1)), F.try_element_at(c, F.lit(1))
     pos = F.array_distinct(F.concat(_get(o, "pos"), _get(c, "pos")))
     dep = F.array_distinct(F.concat(_get(o, "dep"), _get(c, "dep")))
     low = lambda toks: F.array_sort(F.transform(toks, lambda t: F.lower(t["text"])))
@@ -51,7 +51,7 @@ def two_sided(o: Column, c: Column, in_list: Column, stem: Callable | None = Non
     alike = similarity_ratio(F.when(unknown, a["text"]), F.when(unknown, b["text"])) > 0.5
     inflected = a["pos"].isin(*INFLECTED) & b["pos"].isin(*INFLECTED)
     stems = (stem(a) == stem(b)) if stem else F.lit(False)
-    p, d = F.element_at(pos, 1), F.element_at(dep, 1)
+    p, d = F.try_element_at(pos, F.lit(1)), F.try_element_at(dep, F.lit(1))
     return (
         F.when(_joined(o) == _joined(c), "ORTH").when(low(o) == low(c), "WO")
         .when(unknown & alike, "SPELL").when(unknown & (a["pos"] == b["pos"]) & ~a["pos"].isin(*RARE), a["pos"]).when(unknown, "OTHER")
@@ -62,7 +62,7 @@ def two_sided(o: Column, c: Column, in_list: Column, stem: Callable | None = Non
         .when(one & (F.array_sort(pos) == F.array(F.lit("DET"), F.lit("PRON"))) & b["dep"].isin(*DETERMINER_DEPS), "DET")
         .when(one & (F.array_sort(pos) != F.array(F.lit("DET"), F.lit("PRON"))), "OTHER")
         .when((F.size(pos) == 1) & ~p.isin(*RARE), p).when((F.size(dep) == 1) & _mapped(d).isNotNull(), _mapped(d))
-        .when(F.array_sort(pos) == F.array(F.lit("PART"), F.lit("VERB")), F.when(F.element_at(o, -1)["lemma"] == F.element_at(c, -1)["lemma"], "VERB:FORM").otherwise("VERB"))
+        .when(F.array_sort(pos) == F.array(F.lit("PART"), F.lit("VERB")), F.when(F.try_element_at(o, F.lit(-1))["lemma"] == F.try_element_at(c, F.lit(-1))["lemma"], "VERB:FORM").otherwise("VERB"))
         .otherwise("OTHER")
     )
 
@@ -76,7 +76,7 @@ def trimmed(o: Column, c: Column) -> Column:
         i, j = F.size(o) - k, F.size(c) - k
         left, right = F.slice(o, 1, i), F.slice(c, 1, j)
         same = _get(left, "text") == _get(right, "text")
-        tail = F.lower(F.element_at(o, F.greatest(i, F.lit(1)))["text"]) == F.lower(F.element_at(c, F.greatest(j, F.lit(1)))["text"])
+        tail = F.lower(F.try_element_at(o, F.greatest(i, F.lit(1)))["text"]) == F.lower(F.try_element_at(c, F.greatest(j, F.lit(1)))["text"])
         return (i == 0) | (j == 0) | same | ~(tail & ((i > 1) | (j > 1)))
 
     return F.when(last > 0, F.array_min(F.filter(F.sequence(F.lit(0), last), stops))).otherwise(F.lit(0))
@@ -104,7 +104,7 @@ def typed_edits(pairs: DataFrame, word_list: DataFrame | None = None, merge: str
 
     e = pairs.select("sent_id", "orig", "cor", F.posexplode(align(F.col("orig"), F.col("cor"), merge)).alias("n", "e"))
     e = e.select("sent_id", "orig", "cor", "n", "e.*")
-    word = F.element_at("orig", F.col("o_start") + 1)["text"]
+    word = F.try_element_at(F.col("orig"), F.col("o_start") + 1)["text"]
     e = e.withColumn("_w", F.when((F.col("o_end") - F.col("o_start") >= 1) & (F.size("orig") > F.col("o_start")), word))
     if word_list is not None:
         known = word_list.select(F.col("word").alias("_w"), F.lit(True).alias("_k")).distinct()

@@ -270,7 +270,7 @@ def sequence_run_f1(spark, sf_dir):
 
 
 def char_levenshtein(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
+    b = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
     a = b.select(F.col("item_id").alias("item"), F.col("text").alias("a"))
     c = b.select((F.col("item_id") - 1).alias("item"), F.col("text").alias("b"))
     return a.join(c, "item").select("item", F.levenshtein("a", "b").alias("distance"))

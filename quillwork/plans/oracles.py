@@ -178,10 +178,9 @@ ORACLES = {
     "class_fbeta": _class("pb = class"),
     "class_fbeta_exact": _class("gb = class AND tag = pred"),
     "sequence_run_f1": f"{_T}, u AS (SELECT doc_id, p AS pos, CASE WHEN len(toks[p + 1]) > 4 THEN '$KEEP' ELSE '$REPLACE' END AS gold, CASE WHEN (doc_id + p) % 29 = 0 THEN '$DELETE' WHEN len(toks[p + 1]) > 4 THEN '$KEEP' ELSE '$REPLACE' END AS pred FROM (SELECT doc_id, toks, unnest(generate_series(0, len(toks) - 1)) AS p FROM t)), gi AS {_islands('gold')}, pi AS {_islands('pred')}, n AS (SELECT (SELECT count(*) FROM gi JOIN pi USING (doc_id, s, e, tag)) AS tp, (SELECT count(*) FROM gi) AS n_gold, (SELECT count(*) FROM pi) AS n_pred), s AS (SELECT *, (tp / n_pred)::DOUBLE AS p, (tp / n_gold)::DOUBLE AS r FROM n) SELECT tp, n_gold, n_pred, round(p, 6) AS p, round(r, 6) AS r, round(2 * p * r / (p + r), 6) AS f1 FROM s",
-    "char_levenshtein": "SELECT a.item_id AS item, editdist3(a.text, b.text)::INT AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1",
+    "char_levenshtein": r"WITH b AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM benchmark) SELECT a.item_id AS item, levenshtein(a.text, b.text)::INT AS distance FROM b a JOIN b ON b.item_id = a.item_id + 1",
     "sobel_edges": f"WITH {_EDGE} SELECT vec_id, x::INT AS x, y::INT AS y, round(e, 5) AS e FROM ed",
     "edge_profile": f"WITH {_EDGE} SELECT vec_id, 'row' AS axis, y::INT AS k, round(sum(e), 4) AS total FROM ed GROUP BY vec_id, y UNION ALL SELECT vec_id, 'column', x::INT, round(sum(e), 4) FROM ed GROUP BY vec_id, x",
-    "autocorr_peak": "WITH h AS (SELECT event_type, (epoch(ts) // 3600)::BIGINT AS h, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), d AS (SELECT event_type, h, n - avg(n) OVER (PARTITION BY event_type) AS v FROM h), e AS (SELECT event_type, sum(v * v) AS en FROM d GROUP BY 1), r AS (SELECT a.event_type, lag, round(sum(a.v * b.v) / (any_value(en) + 1e-8), 6) AS a FROM d a, (SELECT unnest(generate_series(2, 24)) AS lag) JOIN d b ON b.event_type = a.event_type AND b.h = a.h + lag JOIN e ON e.event_type = a.event_type GROUP BY 1, 2) SELECT event_type, arg_min(lag, (-a * 1000000 * 100)::BIGINT + lag)::INT AS lag, max(a) AS peak FROM r GROUP BY event_type",
+    "autocorr_peak": "WITH h AS (SELECT event_type, floor(epoch(ts) / 3600)::BIGINT AS h, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), d AS (SELECT event_type, h, n - avg(n) OVER (PARTITION BY event_type) AS v FROM h), e AS (SELECT event_type, sum(v * v) AS en FROM d GROUP BY 1), r AS (SELECT a.event_type, lag, round(sum(a.v * b.v) / (any_value(en) + 1e-8), 6) AS a FROM d a, (SELECT unnest(generate_series(2, 24)) AS lag) JOIN d b ON b.event_type = a.event_type AND b.h = a.h + lag JOIN e ON e.event_type = a.event_type GROUP BY 1, 2) SELECT event_type, arg_min(lag, round(-a * 1000000)::BIGINT * 100 + lag)::INT AS lag, max(a) AS peak FROM r GROUP BY event_type",
     "reflection_score_axis0": "WITH g AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, abs(v)::DOUBLE AS v FROM (SELECT vec_id, unnest(generate_series(0, 63)) AS k, unnest(embedding) AS v FROM embeddings) WHERE k // 8 >= 1 AND k // 8 < 7) SELECT a.vec_id, round(sum(a.v * b.v) / (sum(a.v * a.v) + 1e-6), 6) AS score FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.y = b.y AND a.x = 7 - b.x GROUP BY a.vec_id",
 }
-ORACLES["char_levenshtein"] = ORACLES["char_levenshtein"].replace("editdist3", "levenshtein")
