@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow_batches
+from .common import in_arrow_batches, small_batches, trimmed
 from .crf import ChainCRF
 
 _TOKEN = re.compile(
@@ -34,7 +34,7 @@ _WORDS = (
 )
 _NAMES = ("nav", "header", "footer", "aside", "form", "article", "main", "list", "heading", "paragraph", "cell", "k_nav", "k_extra", "k_comment", "k_content")
 N_FEATURES = len(_NAMES) + 9
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 def blocks(source: str) -> list[tuple[str, frozenset, float]]:
@@ -225,4 +225,4 @@ def extracted(pages: DataFrame, crf: ChainCRF) -> DataFrame:
                 texts = ["\n\n".join(b[0] for b, s in zip(f, state[k:]) if s) for f, k in zip(found, first)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.diff(first).astype(np.int64))], ["page_id", "url", "text", "n_chars", "n_blocks"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long")
+    return small_batches(rows).mapInArrow(trimmed(run), "page_id long, url string, text string, n_chars long, n_blocks long")

@@ -7,14 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _INVERSE, _ODD, Tokens, in_arrow_batches, mix64, powers, window_hash
+from .common import _BYTE, _INVERSE, _ODD, Tokens, in_arrow_batches, mix64, powers, small_batches, trimmed, window_hash
 from .crf import ChainCRF
 
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 #: Bounds of the sample of labelled rows that the CRF is fitted on: documents, and lines taken from any one of them.
 TRAIN_DOCS, TRAIN_LINES = 4000, 2000
 CONTENT_SHARE, MIN_WORDS = 0.5, 50
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 
 def _per(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> ChainCR
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["quality", "x"])
 
-    got = sorted((r[0], bytes(r[1])) for r in rows.mapInArrow(features, "quality int, x binary").collect())
+    got = sorted((r[0], bytes(r[1])) for r in small_batches(rows).mapInArrow(trimmed(features), "quality int, x binary").collect())
     crf = ChainCRF(FEATURES)
     if len({q for q, _ in got}) < 2:
         crf.w[-1] = 1.0
@@ -145,4 +145,4 @@ def assess(docs: DataFrame, crf: ChainCRF, keep: tuple[str, ...] = ("doc_id",))
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(x.astype(np.int64)) for x in numbers], pa.array(failed), pa.array(share), pa.array(~failed & (share >= CONTENT_SHARE))], [*batch.schema.names[1:], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields[1:])
-    return frame.mapInArrow(run, f"{names}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
+    return small_batches(frame).mapInArrow(trimmed(run), f"{names}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, in_arrow_batches, materialize, small_batches
+from .common import components, in_arrow_batches, materialize, small_batches, trimmed
 
 BITS, RADIUS, SHINGLE = 64, 3, 3
 #: A bucket with more distinct fingerprints than this is split by further masks instead of being compared pair by pair.
@@ -38,14 +38,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches):
     for whole in batches:
-        for batch in in_arrow_batches(whole, 2 << 20):
+        for batch in in_arrow_batches(whole, 1 << 20):
             out = np.array([fingerprint((t or "").encode()) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp long (the 64 bits, signed) for each row of docs; a null text counts as empty."""
-    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(trimmed(_fingerprints), "doc_id long, fp long")
 
 
 def covering_masks(free: list[int], radius: int = RADIUS) -> list[int]:

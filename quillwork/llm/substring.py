@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, in_arrow_batches, materialize, mix64, window_hash
+from .common import Tokens, in_arrow_batches, materialize, mix64, small_batches, trimmed, window_hash
 
 WINDOW, GRAM = 50, 16
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 
 def _anchors(t: Tokens, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ def _windows(window: int, gram: int):
 def _parse(window: int):
     def run(batches):
         for whole in batches:
-            for batch in in_arrow_batches(whole, 8 << 20):
+            for batch in in_arrow_batches(whole, 2 << 20):
                 removed, kept, factors = [], [], []
                 for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     words, own, done, left = (text or "").encode().split(), [], 0, []
@@ -107,7 +107,7 @@ def factored(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     text get the same result (only a smaller doc_id makes a copy); an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = materialize(docs.mapInArrow(_profile(window, gram), "doc_id long, n_words long, sha string, anchors array<long>"), "rlz-profile")
+    profile = materialize(small_batches(docs).mapInArrow(trimmed(_profile(window, gram)), "doc_id long, n_words long, sha string, anchors array<long>"), "rlz-profile")
     firsts = profile.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
     settled = profile.select("doc_id", "n_words", "sha").join(firsts, "sha", "left")
     entries = profile.join(firsts, (profile["sha"] == firsts["sha"]) & (F.col("doc_id") == F.col("first"))).select("doc_id", F.explode("anchors").alias("anchor"))
@@ -115,10 +115,10 @@ def factored(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     live = materialize(entries.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("live")), "rlz-live")
     texts = docs.join(live.select("doc_id"), "doc_id", "left_semi").distinct()
     texts = materialize(texts.join(live, "doc_id"), "rlz-texts")
-    windows = materialize(texts.select("doc_id", "text", "live").mapInArrow(_windows(window, gram), "h long, g int, doc_id long, pos int"), "rlz-windows")
+    windows = materialize(texts.select("doc_id", "text", "live").mapInArrow(trimmed(_windows(window, gram)), "h long, g int, doc_id long, pos int"), "rlz-windows")
     least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("top")).where("ref < top").select("h", "g", "ref")
     hits = windows.join(least, ["h", "g"]).where(F.col("ref") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "ref")).alias("hits"))
-    cut = texts.select("doc_id", "text").join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_parse(window), "doc_id long, n_removed long, kept_sha256 string, factors array<struct<start:int,length:int,ref:long>>")
+    cut = texts.select("doc_id", "text").join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(trimmed(_parse(window)), "doc_id long, n_removed long, kept_sha256 string, factors array<struct<start:int,length:int,ref:long>>")
     cut = cut.withColumnRenamed("n_removed", "r").withColumnRenamed("kept_sha256", "k").withColumnRenamed("factors", "f")
     copy = (F.col("first") < F.col("doc_id")) & (F.col("n_words") >= window)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"), F.col("first").alias("ref")))

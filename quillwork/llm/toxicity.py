@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, in_arrow_batches
+from .common import Tokens, in_arrow_batches, small_batches, trimmed
 
 #: Bounds: labelled rows that the models are fitted on, candidates for voters, and voters.
 TRAIN_ROWS, CANDIDATES, VOTERS = 20_000, 3000, 300
@@ -15,7 +15,7 @@ TRAIN_ROWS, CANDIDATES, VOTERS = 20_000, 3000, 300
 PREFIXES, PRECISION = (3, 4, 5, 6, 7, 8), 0.95
 #: Correlations below this (and below four standard errors) count as none.
 MEANT = 0.6
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 def _words(text):
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
                 for batch in in_arrow_batches(whole, _SLICE):
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in voters.counts(batch.column(1))], pa.binary())], ["toxic", "c"])
 
-        got = sorted((r[0], bytes(r[1])) for r in rows.select("toxic", "text").mapInArrow(votes, "toxic int, c binary").collect())  # at most TRAIN_ROWS rows of VOTERS floats
+        got = sorted((r[0], bytes(r[1])) for r in small_batches(rows.select("toxic", "text")).mapInArrow(trimmed(votes), "toxic int, c binary").collect())  # at most TRAIN_ROWS rows of VOTERS floats
     finally:
         rows.unpersist()
     counts = np.frombuffer(b"".join(c for _, c in got), np.float32).reshape(len(got), -1)
@@ -183,4 +183,4 @@ def scored(docs: DataFrame, voters: Voters, weights: np.ndarray) -> DataFrame:
                 score = 1 / (1 + np.exp(-(_design(counts) @ weights)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array((counts > 0).sum(1).astype(np.int64))], ["doc_id", "held_out", "score", "predicted", "n_votes"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_votes long")
+    return small_batches(rows).mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int, n_votes long")
