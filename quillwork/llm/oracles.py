@@ -2,4 +2,61 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .licenses import CONTAINMENT, PHRASES, TEMPLATES
+from .mixing import MOST, PASSES, SHARE, WEIGHTS
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(map(_q, words)) + "]"
+
+
+def _licenses() -> str:
+    gap = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    templates = ", ".join(f"({_q(label)}, {_list(sorted(set(t.split())))})" for label, t in TEMPLATES)
+    places = ", ".join("list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] IS NOT DISTINCT FROM {_q(x)}" for k, x in enumerate(p.split())) + ")" for _, p in PHRASES)
+    labels = ", ".join(f"CASE WHEN len(p[{k}]) > 0 THEN {_q(label)} END" for k, (label, _) in enumerate(PHRASES, 1))
+    return f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+    b AS (SELECT doc_id, list_filter(regexp_split_to_array(t, {gap}), lambda x: x <> '') AS w FROM d),
+    p AS (SELECT doc_id, w, [{places}] AS p FROM b),
+    q AS (SELECT doc_id, len(w) AS n_words, flatten(p) AS f, list_sort(list_filter([{labels}], lambda x: x IS NOT NULL)) AS bl FROM p),
+    l AS (SELECT doc_id, k, list_distinct(list_filter(regexp_split_to_array(ls[k], {gap}), lambda x: x <> '')) AS w FROM (SELECT doc_id, string_split(t, chr(10)) AS ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS k FROM d)),
+    t AS (SELECT * FROM (VALUES {templates}) AS v(label, tw)),
+    h AS (SELECT doc_id, k, label, len(list_intersect(w, tw)) / len(tw) AS s FROM l, t WHERE len(list_intersect(w, tw)) >= ceil(round({CONTAINMENT} * len(tw), 3))),
+    m AS (SELECT *, max(s) OVER (PARTITION BY doc_id, k) AS top FROM h),
+    n AS (SELECT doc_id, list(DISTINCT label) AS nl, max(s) AS s FROM m WHERE s = top GROUP BY doc_id)
+    SELECT doc_id, n_words, len(f) AS n_base, list_min(f) - 1 AS first_word, list_max(f) - 1 AS last_word, array_to_string(bl, ',') AS base_labels,
+      array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(nl, []::VARCHAR[])))), ',') AS labels, CASE WHEN len(f) > 0 THEN 1.0 ELSE coalesce(s, 0.0) END::DOUBLE AS score
+    FROM q LEFT JOIN n USING (doc_id)"""
+
+
+def _mixing() -> str:
+    passes, last = "", "r0"
+    for k in range(1, PASSES + 1):
+        passes += f""",
+    o{k} AS (SELECT doc_id, position, size, key, sum(size) OVER (PARTITION BY position ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto, gap FROM {last} WHERE NOT sel AND size > 0 AND size <= gap),
+    s{k} AS (SELECT r.* EXCLUDE (sel, gap), r.sel OR coalesce(o.upto <= o.gap, false) AS sel FROM {last} r LEFT JOIN o{k} o ON o.doc_id = r.doc_id),
+    r{k} AS (SELECT *, target - epochs * source_size - sum(CASE WHEN sel THEN size ELSE 0 END) OVER (PARTITION BY position) AS gap FROM s{k})"""
+        last = f"r{k}"
+    return rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    k AS (SELECT doc_id, source, size, (CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT) + 1) / 4503599627370496::DOUBLE AS u,
+      greatest(0.05::DOUBLE, CASE WHEN size > 0 THEN 1::DOUBLE - (len(t) - len(translate(t, '#*$%&|<>', ''))) / size::DOUBLE ELSE 1::DOUBLE END) AS w FROM d),
+    z AS (SELECT doc_id, source, size, -ln(u) / w AS key FROM k),
+    a AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS position FROM z GROUP BY source),
+    b AS (SELECT *, {list(WEIGHTS)}[position % {len(WEIGHTS)} + 1]::DOUBLE AS weight, source_size * {MOST}::DOUBLE AS cap FROM a),
+    c AS (SELECT *, cap / weight AS ratio FROM b),
+    e AS (SELECT *, (sum(source_size) OVER () * {SHARE}::DOUBLE - coalesce(sum(cap) OVER g, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER g, 0)) AS level FROM c WINDOW g AS (ORDER BY ratio, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    f AS (SELECT source, position, source_size, CASE WHEN (SELECT count(*) FROM e WHERE ratio > level) = 0 OR ratio <= level THEN cap ELSE weight * (SELECT level FROM e WHERE ratio > level ORDER BY ratio, position LIMIT 1) END AS target FROM e),
+    r0 AS (SELECT z.doc_id, z.size, z.key, position, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs, false AS sel, target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS gap FROM z JOIN f ON z.source IS NOT DISTINCT FROM f.source){passes}
+    SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN sel THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM {last}"""
+
+
+#: The table holds no tool calls, so its rows are messages in the order of their turns.
+_MESSAGES = "SELECT conv_id, turn, 0 AS idx, 'message' AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, NULL::BIGINT AS call_turn, 'ok' AS status, to_json({'content': coalesce(text, ''), 'role': role})::VARCHAR AS json FROM conversations"
+
+ORACLES: dict[str, str] = {"op1_tool_call_linking": _MESSAGES, "op2_license_scan": _licenses(), "op6_mixing_sources": _mixing()}

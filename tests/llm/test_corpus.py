@@ -370,3 +370,53 @@ def test_null_ids(spark):
     assert simhash.near_duplicates(df).count() == 3 and sharding.sharded(df).count() == 3 and mixing.mixed(df).count() == 3 and licenses.scanned(df).count() == 3
     assert {(r["doc_id"], r["n_removed"]) for r in substring.factored(df).collect()} == {(None, 0), (5, 0)}
     assert simhash.representatives(df).count() == 3
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", sorted(__import__("quillwork.llm.oracles", fromlist=["x"]).ORACLES))
+def test_oracle(spark, name):
+    import os
+
+    import duckdb
+
+    from quillwork.llm import oracles, queries
+
+    c = duckdb.connect()
+    for t in os.listdir(SF):
+        c.execute(f"create view {t[:-8]} as select * from '{SF}/{t}'")
+    r = c.execute(oracles.ORACLES[name])
+    cols = [d[0] for d in r.description]
+    df = queries.QUERIES[name](spark, SF)
+    flat = lambda rows, names: sorted(repr(tuple(round(x[i], 9) if isinstance(x[i], float) else x[i] for i in sorted(range(len(names)), key=lambda i: names[i]))) for x in rows)
+    assert sorted(cols) == sorted(df.columns) and flat(df.collect(), df.columns) == flat(r.fetchall(), cols)
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, t, lang, source or "s", n) for i, t, lang, source, n, *_ in corpus() if i != 20] + [(20, corpus()[20][1], "de", "s", 1)]
+    item = "welche frage steht hier mit vielen worten die keiner sonst so schreibt und wie lautet sie"
+    rows.append((900, corpus()[30][1] + " " + item, "de", "s", 1))
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 100, 2)] + [(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = common.materialize(stage(spark, docs, str(tmp_path)), f"test-{k}")
+        kept.append([r["doc_id"] for r in docs.select("doc_id").collect()])
+        assert k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    text = {r[0]: r[1] for r in rows}
+    failed = {i for i, t in text.items() if len(words(t)) < 50}
+    assert not failed & set(kept[0])
+    want = simhash_brute([(i, text[i]) for i in kept[0]])
+    assert sorted(kept[1]) == sorted({c for _, c in want.values()})
+    assert sorted(kept[2]) == sorted(i for i in kept[1] if item not in text[i])
+    assert set(kept[3]) <= set(kept[2]) and max(Counter(kept[3]).values()) <= 2
+    assert Counter(kept[4]) == Counter(kept[3])
+    n = Counter(r["shard"] for r in docs.collect())
+    assert max(n.values()) - min(n.get(s, 0) for s in range(16)) <= 1
