@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import THRESHOLD, UNITS, WINDOW
 from .licenses import CONTAINMENT, PHRASES, TEMPLATES
 from .mixing import MOST, PASSES, SHARE, WEIGHTS
 
@@ -56,7 +57,36 @@ def _mixing() -> str:
     SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN sel THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM {last}"""
 
 
+def _decontamination() -> str:
+    """The same templates without look-around: what a pattern would look at is matched and put back, names twice as they may touch."""
+    num, name, unit = "\ue000", "\ue001", "\ue002"
+    letter = r"[\p{L}\p{N}]"
+
+    def canon(t: str) -> str:
+        t = f"regexp_replace(coalesce({t}, ''), '[\ue000-\ue002]', ' ', 'g')"
+        for _ in range(2):
+            t = rf"regexp_replace({t}, '([\p{{Ll}},;:] )(\p{{Lu}}\p{{Ll}})', '\1{name}\2', 'g')"
+        for _ in range(4):
+            t = rf"regexp_replace({t}, '({name}\p{{L}}+(?:_\p{{L}}+)*) {name}', '\1_', 'g')"
+        t = rf"regexp_replace(lower({t}), '(^|[^\p{{L}}\p{{N}}])(\d+(?:[.,]\d+)*)', '\1{num}\2 ', 'g')"
+        return rf"regexp_replace({t}, '({num}[\d.,]+ +)(%|°c|°f|\$|€|(?:{UNITS}))($|[^\p{{L}}\p{{N}}])', '\1{unit}\2 \3', 'g')"
+
+    def words(t: str) -> str:
+        return rf"regexp_extract_all({canon(t)}, '{num}[\d.,]*\d|{name}[\p{{L}}_]+|{unit}?{letter}+|{unit}[%°$€]\p{{L}}?')"
+
+    typed = f"list_transform(w, lambda x: CASE WHEN x[1] IN ('{num}', '{name}', '{unit}') THEN x[1] ELSE x END)"
+    return f"""WITH i0 AS (SELECT item_id, {words('text')} AS w FROM benchmark), i AS (SELECT item_id, w AS iw, {typed} AS ty, least(len(w), {WINDOW}) AS k FROM i0 WHERE len(w) > 0),
+    ik AS (SELECT item_id, k, len(iw) AS n, p, array_to_string(ty[p : p + k - 1], ' ') AS key FROM (SELECT *, unnest(range(1, len(iw) - k + 2)) AS p FROM i)),
+    d0 AS (SELECT doc_id, {words('text')} AS w FROM documents), d AS (SELECT doc_id, w, {typed} AS ty FROM d0),
+    dk AS (SELECT doc_id, k, q, array_to_string(ty[q : q + k - 1], ' ') AS key FROM (SELECT doc_id, ty, k, unnest(range(1, len(ty) - k + 2)) AS q FROM d, (SELECT DISTINCT k FROM i))),
+    h AS (SELECT doc_id, item_id, q - p AS off, any_value(k) AS k, count(*) / (any_value(n) - any_value(k) + 1) AS coverage, list(p) AS ps FROM ik JOIN dk USING (k, key) GROUP BY doc_id, item_id, q - p),
+    g AS (SELECT h.*, iw, w FROM h JOIN i USING (item_id) JOIN d USING (doc_id) WHERE coverage >= {THRESHOLD}),
+    s AS (SELECT *, list_distinct(list_transform(list_filter(range(1, len(iw) + 1), lambda x: (iw[x][1] IN ('{num}', '{name}', '{unit}') AND len(list_filter(ps, lambda a: (a <= x AND x < a + k))) > 0)), lambda x: [iw[x], w[x + off]])) AS slots FROM g),
+    f AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items, max(coverage) AS coverage FROM s WHERE len(list_distinct(list_transform(slots, lambda x: x[1]))) = len(slots) GROUP BY doc_id)
+    SELECT doc_id, coalesce(len(items), 0) AS n_items, coalesce(array_to_string(items, ','), '') AS items, coalesce(coverage, 0.0)::DOUBLE AS coverage, items IS NOT NULL AS contaminated FROM documents LEFT JOIN f USING (doc_id)"""
+
+
 #: The table holds no tool calls, so its rows are messages in the order of their turns.
 _MESSAGES = "SELECT conv_id, turn, 0 AS idx, 'message' AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, NULL::BIGINT AS call_turn, 'ok' AS status, to_json({'content': coalesce(text, ''), 'role': role})::VARCHAR AS json FROM conversations"
 
-ORACLES: dict[str, str] = {"op1_tool_call_linking": _MESSAGES, "op2_license_scan": _licenses(), "op6_mixing_sources": _mixing()}
+ORACLES: dict[str, str] = {"op1_tool_call_linking": _MESSAGES, "op2_license_scan": _licenses(), "op6_mixing_sources": _mixing(), "op9_benchmark_decontamination": _decontamination()}
