@@ -3,6 +3,9 @@
 Numbers, names and units become typed placeholders; windows of the canonical words of documents and benchmark items are
 hash-joined; a matched stretch counts when its slots are consistent: one value of the item always stands against one value of
 the document. So re-parameterised questions are caught as well as verbatim ones.
+
+Beside the templates, windows of PIECE words as they stand (lower-cased, and with capitalised words and numbers as slots wherever
+they are) are joined, so that line breaks, case, the left context of a name and a few other words don't hide a passage.
 """
 
 from __future__ import annotations
@@ -14,6 +17,10 @@ from .common import materialize
 
 #: Words in a window; share of an item's windows that a document must have in line; most benchmark windows to broadcast.
 WINDOW, THRESHOLD, BROADCAST_ROWS = 8, 0.8, 200_000
+#: Words in a window of passages(), and the share of an item's words in matched windows from which its words are compared one by one.
+PIECE, PROMISING = 4, 0.5
+#: Words by which a passage may be shifted by inserted or dropped words.
+DRIFT = 8
 #: Units that follow a number (fixed values).
 UNITS = "km|cm|mm|kg|mg|ms|kb|mb|gb|hz|khz|mhz|ghz|m|g|l|s|h|lb|oz|ft|mi|mph|kmh|percent|degrees|meters|metres|kilometers|kilometres|miles|feet|inches|grams|kilograms|pounds|ounces|liters|litres|seconds|minutes|hours|days|weeks|months|years|dollars|euros|cents|usd|eur|gbp"
 _NUM, _NAME, _UNIT = "\ue000", "\ue001", "\ue002"
@@ -49,7 +56,83 @@ def _keys(w: Column, window: Column) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, window)))
 
 
-def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
+def _raw(text: Column) -> Column:
+    """The words of text as they stand: numbers, and runs of letters and digits."""
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"\d+(?:[.,]\d+)*(?![\p{L}\p{N}])|[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _kind(word: Column) -> Column:
+    """word lower-cased, or the placeholder of a number or of a capitalised word (a possible name)."""
+    first = F.substring(word, 1, 1)
+    return F.when(first.between("0", "9"), F.lit(_NUM)).when(F.lower(first) != first, F.lit(_NAME)).otherwise(F.lower(word))
+
+
+def passages(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, row_hash, item_id, start (word), coverage for documents with an item's words, whatever their layout and case.
+
+    Windows of PIECE words (an item with fewer is one window) are joined as lower-cased words and with slots for numbers and
+    capitalised words, the latter only where at least two words are left. Hits at offsets within DRIFT of each other count
+    together. Where they hold PROMISING of an item's words, coverage is the share of its words that stand in the document at one
+    of these offsets; a slot's word counts with another value only if the slots are consistent. Items of fewer than WINDOW
+    words must stand whole and as they are.
+    """
+    items = bench.select(F.col("item_id").cast("long").alias("item_id"), _raw(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct()
+    items = materialize(items.withColumn("n", F.size("iw")).withColumn("k", F.least("n", F.lit(PIECE))), "bench-passages")
+
+    def hashed(w: str) -> list[Column]:
+        return [F.transform(w, lambda x: F.xxhash64(F.lower(x))).alias("lo"), F.transform(w, lambda x: F.xxhash64(_kind(x))).alias("ki")]
+
+    both = items.select("item_id", "n", "k", "iw", *hashed("iw"))
+    index = both.select("item_id", "n", "k", F.posexplode(_keys(F.col("lo"), F.col("k"))).alias("ipos", "key"))
+    free = both.select("item_id", "n", "k", "iw", F.posexplode(_keys(F.col("ki"), F.col("k"))).alias("ipos", "key"))
+    plain = F.filter(F.slice("iw", F.col("ipos") + 1, F.col("k")), lambda x: ~_kind(x).between(_NUM, _UNIT))
+    index = materialize(index.unionByName(free.where((F.size(plain) >= 2) & (F.col("n") >= WINDOW)).drop("iw")).distinct(), "bench-pieces")
+    lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most PIECE numbers
+    small = index.count() <= BROADCAST_ROWS
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), _raw(F.col("text")).alias("w"))
+    d = d.select("doc_id", "row_hash", *hashed("w"))
+    hits = None
+    for k in lengths:
+        own = index.where(F.col("k") == k)
+        starts = F.when(F.size("lo") >= k, F.sequence(F.lit(1), F.size("lo") - k + 1)).otherwise(F.array().cast("array<int>"))
+        window = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("lo", i, k)).alias("a"), F.xxhash64(F.slice("ki", i, k)).alias("b")))
+        found = d.select("doc_id", "row_hash", F.posexplode(window).alias("pos", "x"))
+        found = found.select("doc_id", "row_hash", "pos", F.explode(F.when(F.col("x.a") == F.col("x.b"), F.array("x.a")).otherwise(F.array("x.a", "x.b"))).alias("key"))
+        found = found.join(F.broadcast(own) if small else own, "key").select("doc_id", "row_hash", "item_id", "n", "k", "ipos", (F.col("pos") - F.col("ipos")).alias("off"))
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, row_hash long, item_id long, start int, coverage double")
+    # offsets within DRIFT of each other share a band of one of two overlapping families
+    bands = F.explode(F.array(F.struct(F.lit(0).alias("f"), F.floor(F.col("off") / (2 * DRIFT)).alias("b")), F.struct(F.lit(1).alias("f"), F.floor((F.col("off") + DRIFT) / (2 * DRIFT)).alias("b"))))
+    hits = hits.select("*", bands.alias("band")).groupBy("doc_id", "row_hash", "item_id", "band").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.sort_array(F.collect_set("off")).alias("offs"), F.collect_set("ipos").alias("at"))
+    held = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("k") - 1)))))
+    hits = materialize(hits.where(held >= PROMISING * F.col("n")).select("doc_id", "row_hash", "item_id", "offs").distinct(), "bench-promising")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+    texts = texts.join(hits.select("doc_id", "row_hash").distinct(), (texts["doc_id"].eqNullSafe(hits["doc_id"])) & (texts["row_hash"] == hits["row_hash"]), "left_semi").distinct()
+    near = hits.alias("h").join(texts.alias("t"), F.expr("h.doc_id <=> t.doc_id and h.row_hash = t.row_hash")).select("h.*", _raw(F.col("t.text")).alias("w")).join(items.select("item_id", "iw", "n"), "item_id")
+    # only the document's words at the item's place are kept; element p + o - first of them stands against the item's word p
+    first = F.element_at("offs", 1)
+    near = near.withColumn("start", first).withColumn("w", F.transform(F.sequence(F.lit(1), F.col("n") + F.element_at("offs", -1) - first), lambda p: F.when(p + first > 0, F.get("w", p + first - 1))))
+    place = F.sequence(F.lit(1), F.col("n"))
+
+    def against(p: Column) -> Column:
+        mine = F.element_at("iw", p)
+        other = F.transform("offs", lambda o: F.get("w", p + o - F.col("start") - 1))
+        same = F.exists(other, lambda x: F.coalesce(F.lower(x) == F.lower(mine), F.lit(False)))
+        slot = F.filter(other, lambda x: F.coalesce((_kind(x) == _kind(mine)) & _kind(mine).between(_NUM, _UNIT), F.lit(False)))
+        return F.struct(F.lower(mine).alias("item"), F.when(same, F.lower(mine)).when(F.size(slot) > 0, F.lower(F.get(slot, 0))).alias("doc"), (_kind(mine) == _NUM).alias("number"))
+
+    near = near.select("doc_id", "row_hash", "item_id", "start", "n", F.transform(place, against).alias("m"))
+    same = F.size(F.filter("m", lambda x: F.coalesce(x["item"] == x["doc"], F.lit(False))))
+    met = F.size(F.filter("m", lambda x: x["doc"].isNotNull()))
+    slots = F.array_distinct(F.filter("m", lambda x: x["doc"].isNotNull() & (x["number"] | (x["item"] != x["doc"]))))
+    near = near.select("doc_id", "row_hash", "item_id", "start", "n", same.alias("same"), met.alias("met"), slots.alias("slots"))
+    consistent = F.size(F.array_distinct(F.transform("slots", lambda x: x["item"]))) == F.size("slots")
+    near = near.select("doc_id", "row_hash", "item_id", "start", "n", (F.when(consistent & (F.col("n") >= WINDOW), F.col("met")).otherwise(F.col("same")) / F.col("n")).alias("coverage"))
+    return near.where(F.col("coverage") >= F.when(F.col("n") < WINDOW, 1.0).otherwise(threshold)).select("doc_id", "row_hash", "item_id", "start", "coverage")
+
+
+def templates(docs: DataFrame, bench: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, row_hash, item_id, start (canonical word), coverage for documents with an item's template.
 
     An item of fewer words than the window is one window of its own length, looked up among the document's windows of that
@@ -85,6 +168,13 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, threshold:
     return aligned.where(consistent).select("doc_id", "row_hash", "item_id", "start", "coverage")
 
 
+def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, row_hash, item_id, coverage for documents with an item, by its template or else by its words."""
+    found = templates(docs, bench).withColumn("template", F.lit(True)).unionByName(passages(docs, bench).withColumn("template", F.lit(False)))
+    coverage = F.coalesce(F.max(F.when(F.col("template"), F.col("coverage"))), F.max("coverage"))
+    return found.groupBy("doc_id", "row_hash", "item_id").agg(coverage.alias("coverage"))
+
+
 def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, n_items (items found in the row's text), items (their ids, sorted), coverage (the highest, else 0), contaminated.
 

@@ -283,6 +283,16 @@ def test_decontamination(spark):
     assert decontam.clean(docs, bench.where("false")).count() == len(rows)
 
 
+@pytest.mark.parametrize("text", [
+    "Intro. The farm lies by the river and has a view\nof\nParis from the hill. Alice picks 12 apples there and sells 7 of them in town before noon, so how many are left over?",
+    "so the farm lies by the river and has a view of paris from the hill. alice picks 12 apples there and sells 7 of them in town before noon, so how many are left over?",
+])
+def test_decontamination_of_altered_passages(spark, text):
+    bench = spark.createDataFrame([(1, "The farm lies by the river and has a view of Paris from the hill. Alice picks 12 apples there and sells 7 of them in town before noon, so how many are left over?"), (2, "Which of the towns is the oldest one")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "The farm lies by the river and has a view of Paris. Bob sells pears."), (3, "the question: Which of the towns is\nthe oldest one")], "doc_id long, text string")
+    assert {r["doc_id"]: r["items"] for r in decontam.decontaminated(docs, bench).collect()} == {1: "1", 2: "", 3: "2"}
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     bad = ["grobian", "schuft", "lump"]
