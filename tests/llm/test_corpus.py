@@ -286,6 +286,9 @@ def test_decontamination(spark):
 @pytest.mark.parametrize("text", [
     "Intro. The farm lies by the river and has a view\nof\nParis from the hill. Alice picks 12 apples there and sells 7 of them in town before noon, so how many are left over?",
     "so the farm lies by the river and has a view of paris from the hill. alice picks 12 apples there and sells 7 of them in town before noon, so how many are left over?",
+    "They asked: The farm lies by the river and has a view of  Paris from the hill. Bob picks 30 apples there and sells 9 of them in town before noon, so how many are left over?",
+    "The farm lies by the river and has a view of Paris from the hill. Alice picks 12 apples there and trades 7 of them in town before noon, so how many are left over?",
+    "The farm lies by the river and has a view of Paris from the hill. Alice picks 12 ripe apples there and sells 7 of them in town before noon, so how many are left over?",
 ])
 def test_decontamination_of_altered_passages(spark, text):
     bench = spark.createDataFrame([(1, "The farm lies by the river and has a view of Paris from the hill. Alice picks 12 apples there and sells 7 of them in town before noon, so how many are left over?"), (2, "Which of the towns is the oldest one")], "item_id long, text string")
