@@ -1,6 +1,6 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only. A block is a line. A block meets a template when it has at least CONTAINMENT of the template's
+DataFrame functions only. A block is a line, or a run of words about as long as a template wherever lines end (places()). A block meets a template when it has at least CONTAINMENT of the template's
 distinct words. Words are ordered by their frequency over all blocks, the rarest first. A block with enough of a template's
 words has one of the template's first n - needed + 1 words (prefix filter), has enough template words at all (length filter),
 and has enough of them from the shared word's place on (positional filter); what passes is counted exactly.
@@ -16,6 +16,8 @@ from .common import materialize
 #: What separates words: ASCII but digits and a-z (the text is lower-cased first).
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
+#: Words that may stand between those of a template in places().
+SLACK = 6
 #: Label and phrase, the base of every scan (fixed values).
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 #: Label and template of the similarity join.
@@ -64,11 +66,45 @@ def _needed(template: str) -> int:
     return -(-int(round(CONTAINMENT * n * 1000)) // 1000)
 
 
+def places(docs: DataFrame, counted: dict[str, int]) -> DataFrame:
+    """doc_id, row_hash, label, score for the labels whose template a run of words meets, whatever the lines.
+
+    A run is SLACK words longer than the template. One that meets it has one of the template's rarest n - needed + 1 words
+    (by counted), so only the runs around these are looked at, and each is counted exactly. Its place goes from the first to the
+    last of the template's words; a template goes where half of its place or more lies in that of a label contained more.
+    """
+    index = []
+    for k, (label, template) in enumerate(TEMPLATES):
+        own, needed = sorted(set(template.split()), key=lambda w: (counted.get(w, 0), w)), _needed(template)
+        index += [(word, k, label, own, needed, len(template.split()) + SLACK) for word in own[: len(own) - needed + 1]]
+    most = max(x[-1] for x in index)
+    spark = docs.sparkSession
+    prefix = F.broadcast(spark.createDataFrame(index, "word string, template int, label string, own array<string>, needed int, run int"))  # at most a row a word of TEMPLATES
+    rare = sorted({x[0] for x in index})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.split(_lower(F.col("text")), _GAP).alias("w"))
+    rows = rows.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(x.isin(rare), i)), lambda i: i.isNotNull())).where(F.size("at") > 0)
+    # the words from `low` (0-based) on, at most `most` on each side of a rare one
+    around = F.transform("at", lambda i: F.struct(i.alias("i"), F.greatest(i - most, F.lit(0)).alias("low"), F.get("w", i).alias("word"), F.slice("w", F.greatest(i - most, F.lit(0)) + 1, 2 * most + 1).alias("seg")))
+    near = rows.select("doc_id", "row_hash", F.explode(around).alias("x")).select("doc_id", "row_hash", "x.*").join(prefix, "word")
+    near = near.where(F.size(F.array_intersect("seg", "own")) >= F.col("needed"))
+    starts = F.sequence(F.greatest(F.col("i") - F.col("run") + 1, F.lit(0)), F.col("i"))
+    runs = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(F.slice("seg", s - F.col("low") + 1, F.col("run")), F.col("own"))).alias("n"), (-s).alias("s")))
+    near = near.withColumn("best", F.array_max(runs)).where(F.col("best.n") >= F.col("needed"))
+    first = -F.col("best.s")
+    inside = F.filter(F.sequence(F.lit(0), F.col("run") - 1), lambda j: F.coalesce(F.array_contains("own", F.get("seg", first - F.col("low") + j)), F.lit(False)))
+    near = near.select("doc_id", "row_hash", "label", "template", (F.col("best.n") / F.size("own")).alias("score"), first.alias("first"), inside.alias("inside"))
+    near = materialize(near.select("doc_id", "row_hash", "label", "template", "score", (F.col("first") + F.array_min("inside")).alias("low"), (F.col("first") + F.array_max("inside")).alias("high")).distinct(), "license-places")
+    shared = F.least("p.high", "q.high") - F.greatest("p.low", "q.low") + 1
+    within = F.expr("p.doc_id <=> q.doc_id and p.row_hash = q.row_hash and p.label <> q.label and q.score > p.score") & (2 * shared >= F.col("p.high") - F.col("p.low") + 1)
+    return near.alias("p").join(near.alias("q"), within, "left_anti").groupBy("doc_id", "row_hash", "label").agg(F.max("score").alias("score"))
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, label, score for the pairs of a row of docs and a label of which a block meets a template.
 
-    All meeting pairs of block and template are found; a block is named after the templates it contains most of, so that a
-    version or a clause decides between licenses alike. score is the highest containment, CONTAINMENT to 1.
+    All meeting pairs of block and template are found; a line is named after the templates it contains most of, so that a
+    version or a clause decides between licenses alike, and after those that places() finds anywhere. score is the highest
+    containment, CONTAINMENT to 1.
     """
     table = materialize(blocks(docs), "license-blocks")
     # frequencies of the template words over all blocks; a row for each word of TEMPLATES at most
@@ -92,7 +128,7 @@ def similar(docs: DataFrame) -> DataFrame:
     met = found.where(common >= F.col("needed")).select("doc_id", "row_hash", "block", "label", (common / F.size("ranks")).alias("score"))
     of_block = met.groupBy("doc_id", "row_hash", "block").agg(F.max("score").alias("score"), F.collect_set(F.struct("label", "score")).alias("all"))
     best = of_block.select("doc_id", "row_hash", "score", F.explode(F.filter("all", lambda x: x["score"] == F.col("score"))["label"]).alias("label"))
-    return best.groupBy("doc_id", "row_hash", "label").agg(F.max("score").alias("score"))
+    return best.unionByName(places(docs, counted)).groupBy("doc_id", "row_hash", "label").agg(F.max("score").alias("score"))
 
 
 def _stands(phrase: str):

@@ -250,6 +250,17 @@ def test_licenses(spark):
     assert by[None]["labels"] == "gpl-3" and by[None]["base_labels"] == "" and by[8]["labels"] == "gpl-3" and by[3]["n_words"] == 0 and by[6]["score"] == 0.0
 
 
+def test_wrapped_licenses(spark):
+    rows = [
+        (1, "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"),
+        (2, "You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at"),
+        (3, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+        (4, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."), (5, "Permission is hereby granted\nto nobody"),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "apache-2", 3: "bsd", 4: "mpl-2", 5: ""}
+
+
 def test_similarity_join_is_exact(spark):
     r = random.Random(5)
     vocab = sorted({w for _, t in licenses.TEMPLATES for w in t.split()}) + ["foo", "bar"]
