@@ -261,6 +261,12 @@ def test_wrapped_licenses(spark):
     assert got == {1: "mit", 2: "apache-2", 3: "bsd", 4: "mpl-2", 5: ""}
 
 
+def test_two_licenses_in_a_line(spark):
+    rows = [(1, "Licensed under the Apache License, Version 2.0. " + "some words between " * 9 + "Licensed under the GNU Lesser Public License."), (2, "Released under the Apache License, Version 2.0.")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "apache-2,lgpl", 2: "apache-2"}
+
+
 def test_similarity_join_is_exact(spark):
     r = random.Random(5)
     vocab = sorted({w for _, t in licenses.TEMPLATES for w in t.split()}) + ["foo", "bar"]
