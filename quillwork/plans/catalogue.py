@@ -327,7 +327,7 @@ def image_features(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     top = v.select("vec_id", F.transform("embedding", lambda x: F.abs(x)).alias("px")).withColumn("top", F.array_max("px"))
     img = top.select(F.col("vec_id").cast("string").alias("image"), F.struct(F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("px", lambda x: (x / (F.col("top") + 1e-8)).cast("float")).alias("px")).alias("img"))
-    return image.extract(img, theta_step=15.0, rho_step=2, step=1, lag=2)
+    return image.extract(img, rho_step=2, step=1, lag=2)
 
 
 def correction_loop(spark, sf_dir):

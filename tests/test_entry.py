@@ -34,3 +34,9 @@ def test_oracle(spark, name):
 @pytest.mark.parametrize("name", ["typed_edits", "best_annotator", "clean_sample", "image_features", "correction_loop", "lexicon_reclass_noise"])
 def test_runs(spark, name):
     assert entry.queries()[name](spark, SF).limit(1).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_image_features_search_every_degree(spark):
+    theta = {round(r["theta_deg"], 3) for r in entry.queries()["image_features"](spark, SF).select("theta_deg").collect()}
+    assert theta - {-15.0, 0.0, 15.0} and all(abs(t - round(t)) < 1e-3 and abs(t) <= 15 for t in theta)
