@@ -70,14 +70,19 @@ def validator(schemas: dict):
 
 
 def events(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, idx, kind (message, call, result), role, id, name, body: an event for each message, call and result."""
+    """conv_id, turn, idx, kind (message, call, result), role, id, name, body: an event for each message, call and result.
+
+    Text beside a turn's calls is an event before them: a result if the turn has a tool_call_id, else a message.
+    """
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     t = t.withColumn("j", F.when(F.ltrim("text").startswith("{"), F.from_json("text", _TURN, {"mode": "PERMISSIVE"})))
-    calls = t.where("size(j.tool_calls) > 0").select("conv_id", "turn", "role", F.posexplode("j.tool_calls").alias("idx", "c"))
-    calls = calls.select("conv_id", "turn", "idx", F.lit("call").alias("kind"), "role", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("body"))
-    rest = t.where("j is null or coalesce(size(j.tool_calls), 0) <= 0")
+    beside = "j.tool_call_id is not null or coalesce(j.content, '') <> ''"
+    calls = t.where("size(j.tool_calls) > 0").select("conv_id", "turn", "role", F.expr(f"if({beside}, 1, 0)").alias("before"), F.posexplode("j.tool_calls").alias("idx", "c"))
+    calls = calls.select("conv_id", "turn", (F.col("idx") + F.col("before")).alias("idx"), F.lit("call").alias("kind"), "role", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("body"))
+    has_calls = F.coalesce(F.size("j.tool_calls"), F.lit(0)) > 0
+    rest = t.where(f"j is null or coalesce(size(j.tool_calls), 0) <= 0 or {beside}")
     result = F.col("j.tool_call_id").isNotNull()
-    rest = rest.select("conv_id", "turn", F.lit(0).alias("idx"), F.when(result, "result").otherwise("message").alias("kind"), "role", F.col("j.tool_call_id").alias("id"), F.lit(None).cast("string").alias("name"), F.when(result, F.coalesce("j.content", F.lit(""))).otherwise(F.col("text")).alias("body"))
+    rest = rest.select("conv_id", "turn", F.lit(0).alias("idx"), F.when(result, "result").otherwise("message").alias("kind"), "role", F.col("j.tool_call_id").alias("id"), F.lit(None).cast("string").alias("name"), F.when(result, F.coalesce("j.content", F.lit(""))).when(has_calls, F.col("j.content")).otherwise(F.col("text")).alias("body"))
     return calls.unionByName(rest)
 
 

@@ -383,6 +383,21 @@ def test_tool_calls(spark):
     assert [r["json"] for r in got if r["conv_id"] is None] == ['{"content":"lost","role":"user"}']
 
 
+def test_text_beside_tool_calls(spark):
+    import json
+
+    calls = [{"id": "a", "name": "calculator", "arguments": '{"expression":"1+1"}'}]
+    rows = [
+        (1, 0, "assistant", json.dumps({"content": "Let me see.", "tool_calls": calls})), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "2", "tool_calls": [calls[0] | {"id": "b"}]})),
+        (2, 0, "assistant", json.dumps({"content": "", "tool_calls": calls})), (3, 0, "assistant", json.dumps({"content": None, "tool_calls": calls})),
+    ]
+    got = sorted(chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: (r["conv_id"], r["position"]))
+    assert [(r["conv_id"], r["turn"], r["idx"], r["kind"], r["status"]) for r in got] == [
+        (1, 0, 0, "message", "ok"), (1, 0, 1, "call", "ok"), (1, 1, 1, "call", "no result"), (1, 1, 0, "result", "ok"), (2, 0, 0, "call", "no result"), (3, 0, 0, "call", "no result"),
+    ]
+    assert got[0]["json"] == '{"content":"Let me see.","role":"assistant"}' and json.loads(got[3]["json"])["content"] == "2"
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "some words of a question that is long enough to count")], "item_id long, text string")
