@@ -355,6 +355,11 @@ def test_html():
     assert html_extract.blocks("") == [] and html_extract.blocks("plain < text > &lt;b&gt;") [0][0] == "plain < text > <b>"
 
 
+def test_html_digit_share_of_whole_block():
+    page = [("a" * 200 + "1" * 200, frozenset(), 0.0), ("1" * 200 + "a" * 600, frozenset(), 0.0)]
+    assert html_extract.features(page)[:, -4].tolist() == [0.5, 0.25]
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<article><p>Hello there, dear reader of this page.</p></article>"), (2, "u", None), (2, "u", None), (None, None, "")]
     got = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"), html_extract.train()).collect()
