@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words in the contracts: space and \t \n \v \f \r.
@@ -17,10 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); only where that is unset, as in tests, a local one."""
+    """The folder that the cluster shares: spark.checkpoint.dir. Unset, a local master (as in tests) gets a temporary one; a cluster
+    is an error, for its executors share no machine's folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     found = "file://" + tempfile.mkdtemp(prefix="quillwork-")
     spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -46,16 +49,26 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of at most 500 rows and some MB from now on: Python workers and the JVM's direct memory keep what the
-    largest batch took."""
+    """df, with Arrow batches of at most 500 rows and 8 MB from now on: Python workers and the JVM's direct memory keep what the
+    largest batch took. Plans are lazy, so the session keeps the bounds; they change no result. Smaller ones stay as they are."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = conf.get(key, None)
-        if now is not None and (not now.isdigit() or not 0 < int(now) <= most):
+        now = str(conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return df
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name of theirs meets an operator's own; select("row.*") gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def without(docs: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    """The columns of row (whole_row) but those with one of names, whatever the case: an operator's column takes the place of theirs."""
+    return [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

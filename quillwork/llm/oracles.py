@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .decontam import THRESHOLD, UNITS, WINDOW
 from .licenses import CONTAINMENT, PHRASES, TEMPLATES
-from .mixing import MOST, PASSES, SHARE, WEIGHTS
+from .mixing import MOST, SHARE, WEIGHTS
+
+#: Passes of the selection written out; at the small scale factors fewer leave no document that fits.
+_PASSES = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,14 +41,14 @@ def _licenses() -> str:
 
 def _mixing() -> str:
     passes, last = "", "r0"
-    for k in range(1, PASSES + 1):
+    for k in range(1, _PASSES + 1):
         passes += f""",
-    o{k} AS (SELECT doc_id, position, size, key, sum(size) OVER (PARTITION BY position ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto, gap FROM {last} WHERE NOT sel AND size > 0 AND size <= gap),
-    s{k} AS (SELECT r.* EXCLUDE (sel, gap), r.sel OR coalesce(o.upto <= o.gap, false) AS sel FROM {last} r LEFT JOIN o{k} o ON o.doc_id = r.doc_id),
-    r{k} AS (SELECT *, target - epochs * source_size - sum(CASE WHEN sel THEN size ELSE 0 END) OVER (PARTITION BY position) AS gap FROM s{k})"""
+    o{k} AS MATERIALIZED (SELECT doc_id, position, size, key, sum(size) OVER (PARTITION BY position ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto, gap FROM {last} WHERE NOT sel AND size > 0 AND size <= gap),
+    s{k} AS MATERIALIZED (SELECT r.* EXCLUDE (sel, gap), r.sel OR coalesce(o.upto <= o.gap, false) AS sel FROM {last} r LEFT JOIN o{k} o ON o.doc_id = r.doc_id),
+    r{k} AS MATERIALIZED (SELECT *, target - epochs * source_size - sum(CASE WHEN sel THEN size ELSE 0 END) OVER (PARTITION BY position) AS gap FROM s{k})"""
         last = f"r{k}"
     return rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-    k AS (SELECT doc_id, source, size, (CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT) + 1) / 4503599627370496::DOUBLE AS u,
+    k AS (SELECT doc_id, source, size, (CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(t)), 1, 13) AS BIGINT) + 1) / 4503599627370496::DOUBLE AS u,
       greatest(0.05::DOUBLE, CASE WHEN size > 0 THEN 1::DOUBLE - (len(t) - len(translate(t, '#*$%&|<>', ''))) / size::DOUBLE ELSE 1::DOUBLE END) AS w FROM d),
     z AS (SELECT doc_id, source, size, -ln(u) / w AS key FROM k),
     a AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS position FROM z GROUP BY source),

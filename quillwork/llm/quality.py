@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import _BYTE, _INVERSE, _ODD, Tokens, in_arrow_batches, mix64, powers, small_batches, trimmed, window_hash
+from .common import _BYTE, _INVERSE, _ODD, Tokens, in_arrow_batches, mix64, powers, small_batches, trimmed, whole_row, window_hash, without
 from .crf import ChainCRF
 
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
@@ -124,25 +125,42 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> ChainCR
     return crf.fit(np.concatenate(xs), np.repeat([q for q, _ in got], size), np.append(0, np.cumsum(size)))
 
 
-def assess(docs: DataFrame, crf: ChainCRF, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept.
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_ADDED = (*_COUNTS, "base_failed", "content_share", "kept")
 
-    content_share: words in lines that Viterbi decoding marks as content, over all words. Null or empty texts have no words and
-    fail; every row is judged by itself, so repeated rows, ties and null ids change nothing; an empty table stays empty.
-    """
-    frame = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    kinds = frame.schema
+
+def _assessed(docs: DataFrame, crf: ChainCRF) -> DataFrame:
+    """row (whole_row) of each row of docs, and the columns of _ADDED."""
+    frame = docs.select(F.col("text").cast("string").alias("text"), whole_row(docs))
 
     def run(batches):
         for whole in batches:
-            for batch in in_arrow_batches(whole, _SLICE, "_text"):
+            for batch in in_arrow_batches(whole, _SLICE):
                 lines = Lines(batch.column(0))
                 state = crf.decode(lines.x, lines.first)
                 content = np.bincount(np.repeat(np.arange(lines.t.n), np.diff(lines.first)), lines.words * state, lines.t.n)
                 failed = (lines.n_words < MIN_WORDS) | (100 * lines.n_repeat_words > 50 * lines.n_words)
                 share = content / np.maximum(lines.n_words, 1)
-                numbers = [lines.n_words, lines.word_chars, lines.n_symbols, lines.n_dup_lines, lines.n_repeat_words]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(x.astype(np.int64)) for x in numbers], pa.array(failed), pa.array(share), pa.array(~failed & (share >= CONTENT_SHARE))], [*batch.schema.names[1:], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"])
+                numbers = [pa.array(getattr(lines, c).astype(np.int64)) for c in _COUNTS]
+                yield pa.RecordBatch.from_arrays([batch.column(1), *numbers, pa.array(failed), pa.array(share), pa.array(~failed & (share >= CONTENT_SHARE))], ["row", *_ADDED])
+
+    kinds = [LongType()] * len(_COUNTS) + [BooleanType(), DoubleType(), BooleanType()]
+    schema = StructType([frame.schema["row"], *[StructField(c, k) for c, k in zip(_ADDED, kinds)]])
+    return small_batches(frame).mapInArrow(trimmed(run), schema)
+
+
+def assess(docs: DataFrame, crf: ChainCRF, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept,
+    which take the place of columns of these names.
+
+    content_share: words in lines that Viterbi decoding marks as content, over all words. Null or empty texts have no words and
+    fail; every row is judged by itself, so repeated rows, ties and null ids change nothing; a very long text comes alone in its
+    batch; an empty table stays empty.
+    """
+    own = docs.select("text", *[c for c in keep if c != "text"])
+    return _assessed(own, crf).select(*without(own.select(*keep), _ADDED), *_ADDED)
+
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields[1:])
-    return small_batches(frame).mapInArrow(trimmed(run), f"{names}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
+def kept(docs: DataFrame, crf: ChainCRF) -> DataFrame:
+    """The rows of docs, whole, that assess() keeps; docs may have columns of any names."""
+    return _assessed(docs, crf).where("kept").select("row.*")

@@ -13,7 +13,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.factored(read(spark, sf_dir, "documents")).drop("factors")
+    return substring.factored(read(spark, sf_dir, "documents")).drop("factors", "spans")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

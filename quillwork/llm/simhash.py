@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, in_arrow_batches, materialize, small_batches, trimmed
+from .common import components, in_arrow_batches, materialize, small_batches, trimmed, whole_row
 
 BITS, RADIUS, SHINGLE = 64, 3, 3
 #: A bucket with more distinct fingerprints than this is split by further masks instead of being compared pair by pair.
@@ -40,12 +40,13 @@ def _fingerprints(batches):
     for whole in batches:
         for batch in in_arrow_batches(whole, 1 << 20):
             out = np.array([fingerprint((t or "").encode()) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp long (the 64 bits, signed) for each row of docs; a null text counts as empty."""
-    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(trimmed(_fingerprints), "doc_id long, fp long")
+    """doc_id, th (hash of the text), fp long (the 64 bits, signed) for each row of docs; a null text counts as empty."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    return small_batches(rows).mapInArrow(trimmed(_fingerprints), "doc_id long, th long, fp long")
 
 
 def covering_masks(free: list[int], radius: int = RADIUS) -> list[int]:
@@ -105,33 +106,47 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
         level += 1
 
 
+def _grouped(fps: DataFrame) -> DataFrame:
+    """fp, component_id, root (names the component), n_links for each distinct fingerprint of fps (doc_id, th, fp)."""
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    pairs = materialize(links(nodes.select("fp")), "simhash-links")
+    roots = components(pairs)
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
+    by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = nodes.join(linked.join(by_root, "root").select("fp", "root", F.col("component_id").alias("c")), "fp", "left").join(degree, "fp", "left")
+    return of.select("fp", F.coalesce("c", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, n_links for each row of docs.
 
     Fingerprints within RADIUS bits are linked; component_id is the smallest doc_id reachable. n_links counts the other
     distinct fingerprints linked to the row's own. Copies share a fingerprint and meet once, as one node, never as pairs.
     Null or empty texts have fingerprint 0 and are linked like others; a repeated row comes out as often as it goes in; a null
-    doc_id stays null and never names a component unless all of its ids are null; an empty table gives an empty result.
+    doc_id stays null and never names a component unless all of its ids are null; other columns of docs, whatever their names,
+    aren't looked at; a very long text comes alone in its batch; an empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs), "simhash-fps")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    pairs = materialize(links(nodes.select("fp")), "simhash-links")
-    roots = components(pairs)
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
-    by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = nodes.join(linked.join(by_root, "root").select("fp", F.col("component_id").alias("c")), "fp", "left").join(degree, "fp", "left")
-    of = of.select("fp", F.coalesce("c", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return fps.join(materialize(_grouped(fps), "simhash-groups"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay when one document of each component does, the one with the smallest doc_id.
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that stay when one of each group does: groups has doc_id, th and group for each row of docs.
 
-    Of repeated rows (same doc_id and text) one stays. Rows without a doc_id can't represent a component and all stay.
+    The row of the smallest doc_id stays, null being the largest; of rows of that id the one of the smallest hash of the text.
     """
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    row = Window.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy(F.lit(0))
-    named = docs.join(keep, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(row).alias("_row")).where("_row = 1").drop("_row")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("b"))
+    keep = best.select(F.col("b.doc_id").alias("k_doc"), F.col("b.th").alias("k_th")).distinct()
+    own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    own = own.join(keep, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("th") == F.col("k_th")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.lit(0)))
+    return own.select("row", nth.alias("nth")).where("nth = 1").select("row.*")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, whole, that stay when one document of each component does: see one_of_each(). Null and empty texts are one
+    component; repeated rows are copies; docs may have columns of any names; an empty table gives an empty result."""
+    fps = materialize(fingerprints(docs), "simhash-fps")
+    groups = fps.join(materialize(_grouped(fps), "simhash-groups"), "fp").select("doc_id", "th", F.col("root").alias("group"))
+    return one_of_each(docs, groups)

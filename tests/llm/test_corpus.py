@@ -135,23 +135,64 @@ def test_simhash(spark, docs, bucket):
     assert sorted(kept) == sorted({c for _, c in want.values()})
 
 
-def test_substring(docs):
-    rows = corpus()
+def substring_brute(rows):
+    """The contract's digest of each row (doc_id, text), as a Counter."""
     first = {}
-    for i, t in sorted((r[0], r[1]) for r in rows if r[1]):
+    for i, t in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
         w = words(t)
         for j in range(len(w) - 49):
             first.setdefault(tuple(w[j : j + 50]), i)
-    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.factored(docs).collect())
     want = Counter()
-    for r in rows:
-        w = words(r[1])
+    for i, t in rows:
+        w = words(t)
         cut = [False] * len(w)
         for j in range(len(w) - 49):
-            if first[tuple(w[j : j + 50])] < r[0]:
+            if i is not None and first[tuple(w[j : j + 50])] < i:
                 cut[j : j + 50] = [True] * 50
-        want[(r[0], len(w), sum(cut), hashlib.sha256(" ".join(x for x, c in zip(w, cut) if not c).encode()).hexdigest())] += 1
-    assert got == want and sum(x[2] for x in want) > 0
+        want[(i, len(w), sum(cut), hashlib.sha256(" ".join(x for x, c in zip(w, cut) if not c).encode()).hexdigest())] += 1
+    return want
+
+
+def test_substring(docs):
+    rows = [(r[0], r[1]) for r in corpus()]
+    got = substring.factored(docs).collect()
+    want = substring_brute(rows)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == want and sum(x[2] for x in want) > 0
+    # factors and literals give the words back, and lie inside the spans
+    text = {i: words(t) for i, t in rows}
+    for r in got:
+        own = text[r["doc_id"]]
+        end = 0
+        for f in r["factors"] or []:
+            assert f["start"] >= end and f["length"] >= 50 and f["ref"] < r["doc_id"]
+            assert text[f["ref"]][f["ref_start"] : f["ref_start"] + f["length"]] == own[f["start"] : f["start"] + f["length"]]
+            assert any(s["start"] <= f["start"] and f["start"] + f["length"] <= s["start"] + s["length"] for s in r["spans"])
+            end = f["start"] + f["length"]
+        assert sum(s["length"] for s in r["spans"] or []) == r["n_removed"]
+
+
+def test_substring_of_rows_that_share_an_id(spark):
+    r = random.Random(8)
+    a = " ".join(r.choice(WORDS) + str(r.randrange(99)) for _ in range(60))
+    again = " ".join(["immer wieder das selbe"] * 40)
+    rows = [(1, a), (5, a + " z"), (5, "c " + a), (6, "x"), (6, "x"), (7, again), (8, "erst " + again + " dann " + a), (9, a + " " + a), (None, a), (3, None)]
+    schema = "doc_id long, text string, k long, hits string, sha string"
+    df = spark.createDataFrame([(*x, 1, "h", "s") for x in rows], schema)
+    got = substring.factored(df).collect()
+    assert Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got) == substring_brute(rows)
+
+
+def test_parse_is_greedy():
+    import numpy as np
+
+    hit = np.arange(10, 40)
+    ref = np.where(hit < 25, 3, 4)
+    start = np.where(hit < 25, hit - 10, hit)
+    factors, spans = substring.parse(200, hit, ref, start)
+    assert factors == [(10, 64, 3, 0)] and spans == [(10, 79)]
+    hit = np.concatenate([np.arange(10, 40), np.arange(80, 90)])
+    factors, spans = substring.parse(200, hit, np.full(40, 3), hit - 10)
+    assert factors == [(10, 79, 3, 0), (89, 50, 3, 79)] and spans == [(10, 129)]
 
 
 def test_quality_counts(spark, docs):
@@ -419,7 +460,7 @@ def test_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x")).withColumn("source", F.lit(None).cast("string"))
     assert simhash.near_duplicates(df).count() == 3 and sharding.sharded(df).count() == 3 and mixing.mixed(df).count() == 3 and licenses.scanned(df).count() == 3
     assert {(r["doc_id"], r["n_removed"]) for r in substring.factored(df).collect()} == {(None, 0), (5, 0)}
-    assert simhash.representatives(df).count() == 3
+    assert sorted((r["doc_id"] is None, r["text"] is None) for r in simhash.representatives(df).collect()) == [(False, False), (True, True)]
 
 
 SF = "/root/testdata/sf0.001"
