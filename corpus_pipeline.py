@@ -16,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the line CRF learns from the labelled rows among docs."""
     crf = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.assess(docs, crf, tuple(docs.columns)).where("kept").select(docs.columns)
+    return quality.kept(docs, crf)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
