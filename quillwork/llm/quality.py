@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import _BYTE, _INVERSE, _ODD, Tokens, in_arrow_batches, mix64, powers, small_batches, trimmed, whole_row, window_hash, without
+from .common import _BYTE, _INVERSE, _ODD, Tokens, discard, in_arrow_batches, materialize, mix64, powers, small_batches, trimmed, whole_row, window_hash, without
 from .crf import ChainCRF
 
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
-#: Bounds of the sample of labelled rows that the CRF is fitted on: documents, and lines taken from any one of them.
-TRAIN_DOCS, TRAIN_LINES = 4000, 2000
+#: Bounds of the sample of labelled rows that the CRF is fitted on: documents, and lines of all of them. Documents come whole.
+TRAIN_DOCS, TRAIN_LINES = 4000, 100_000
+#: Documents, not copies of each other, in which a line stands again to be boilerplate.
+SHARED = 3
 CONTENT_SHARE, MIN_WORDS = 0.5, 50
 _SLICE = 1 << 19
 
@@ -73,7 +75,8 @@ class Lines:
         total = np.zeros(size + 1, np.uint64)
         np.cumsum(_BYTE[data] * powers(_ODD, size), out=total[1:])
         line = (total[stop] - total[begins]) * powers(_INVERSE, size + 1)[begins] + (stop - begins).astype(np.uint64)
-        times, again = _times(mix64(line) ^ mix64(doc.astype(np.uint64) + _ODD))
+        self.line = mix64(line)
+        times, again = _times(self.line ^ mix64(doc.astype(np.uint64) + _ODD))
         self.n_dup_lines = np.bincount(doc[again], minlength=t.n)
         self.first = np.searchsorted(doc, np.arange(t.n + 1))
         self.words = last - first
@@ -98,31 +101,74 @@ class Lines:
 FEATURES = 14
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> ChainCRF:
-    """A CRF (state 1: content) from labelled documents: lines of documents of quality 1 count as content, others as boilerplate.
+def marked(x: np.ndarray) -> np.ndarray:
+    """Lines that look like boilerplate by themselves: symbols, menus and tables, capitals, exclamations, digits, or repetition."""
+    symbols, pipes, upper, digits, shouts, repeated, line_again = x[:, 2], x[:, 3], x[:, 4], x[:, 5], x[:, 6], x[:, 8], x[:, 9]
+    return (symbols > 0.05) | (pipes > 0.3) | (upper > 0.6) | (digits > 0.5) | (shouts > 0.5) | (repeated > 0.5) | (line_again > 0)
 
-    Takes at most `most` labelled documents, those of the least hash of their id. Without labels of both kinds all is content.
+
+def line_labels(quality: list[int], xs: list[np.ndarray], lines: list[np.ndarray]) -> list[np.ndarray]:
+    """Weak labels (1: content) of the lines of documents, from their looks, their spread and the document's label.
+
+    Marked lines and those that stand in SHARED documents are boilerplate. The others are content in a document of quality 1. In one
+    of quality 0 they are content where boilerplate holds half of the words or more, and so explains the label; else all is
+    boilerplate. Documents half of whose lines stand in earlier ones are copies and don't count for the spread.
+    """
+    spread: dict[int, int] = {}
+    for own in lines:
+        each = set(own.tolist())
+        if 2 * sum(h not in spread for h in each) > len(each):
+            for h in each:
+                spread[h] = spread.get(h, 0) + 1
+    out = []
+    for q, x, own in zip(quality, xs, lines):
+        bad = marked(x) | np.array([spread.get(h, 0) >= SHARED for h in own.tolist()], bool)
+        words = np.expm1(x[:, 0])
+        explained = 2 * words[bad].sum() >= words.sum()
+        out.append((~bad & (q == 1 or explained)).astype(int))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> ChainCRF:
+    """A CRF (state 1: content) from the lines of labelled documents, labelled weakly by line_labels().
+
+    Takes at most `most` labelled documents, those of the least hash of their id; of these, in that order, each that keeps the sum of
+    lines within most_lines, whole. Without labels of both kinds all is content.
     """
     picked = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id").alias("at"), F.xxhash64("text").alias("th"), "quality", "text")
 
     def features(batches):
         for whole in batches:
             for batch in in_arrow_batches(whole, _SLICE):
-                lines = Lines(batch.column(1))
-                for k, q in enumerate(batch.column(0).to_pylist()):
-                    x = lines.x[lines.first[k] : lines.first[k + 1]][:TRAIN_LINES]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["quality", "x"])
-
-    got = sorted((r[0], bytes(r[1])) for r in small_batches(rows).mapInArrow(trimmed(features), "quality int, x binary").collect())
+                lines = Lines(batch.column(3))
+                for k in range(batch.num_rows):
+                    for lo in range(lines.first[k], lines.first[k + 1], 4096):
+                        hi = min(lo + 4096, lines.first[k + 1])
+                        own = [pa.array([lo - int(lines.first[k])]), pa.array([hi - lo]), pa.array([lines.x[lo:hi].astype(np.float32).tobytes()], pa.binary()), pa.array([lines.line[lo:hi].tobytes()], pa.binary())]
+                        yield pa.RecordBatch.from_arrays([batch.column(c).slice(k, 1) for c in range(3)] + own, ["at", "th", "quality", "lo", "n", "x", "line"])
+
+    table = materialize(small_batches(rows).mapInArrow(trimmed(features), "at long, th long, quality int, lo long, n long, x binary, line binary"), "quality-lines")
+    total, chosen = 0, []
+    for r in sorted(table.groupBy("at", "th").agg(F.sum("n").alias("n")).collect()):  # a row a document of the sample
+        if total + r["n"] <= most_lines:
+            total += r["n"]
+            chosen.append((r["at"], r["th"]))
+    spark = docs.sparkSession
+    got: dict[tuple, list] = {}
+    if chosen:
+        own = table.join(F.broadcast(spark.createDataFrame(chosen, "at long, th long")), ["at", "th"])
+        for r in sorted(own.select("at", "th", "lo", "quality", "x", "line").distinct().collect(), key=lambda r: r[:3]):  # most_lines lines at most
+            got.setdefault((r["at"], r["th"], r["quality"]), []).append((np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES), np.frombuffer(r["line"], np.uint64)))
+    discard(table)
     crf = ChainCRF(FEATURES)
-    if len({q for q, _ in got}) < 2:
+    quality = [k[2] for k in got]
+    if len(set(quality)) < 2:
         crf.w[-1] = 1.0
         return crf
-    xs = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(np.float64) for _, b in got]
-    size = np.array([len(x) for x in xs])
-    return crf.fit(np.concatenate(xs), np.repeat([q for q, _ in got], size), np.append(0, np.cumsum(size)))
+    xs = [np.concatenate([x for x, _ in parts]).astype(np.float64) for parts in got.values()]
+    ys = line_labels(quality, xs, [np.concatenate([h for _, h in parts]) for parts in got.values()])
+    return crf.fit(np.concatenate(xs), np.concatenate(ys), np.append(0, np.cumsum([len(x) for x in xs])))
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
