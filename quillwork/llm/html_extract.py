@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +16,9 @@ from pyspark.sql import functions as F
 from .common import in_arrow_batches, small_batches, trimmed
 from .crf import ChainCRF
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|select|iframe|object)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-z][^>]*+>|<[!?][^>]*+>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"</?([a-z][^\s/>]*)", re.I)
+_RAW = set("script style noscript template textarea title svg math select iframe object".split())
+_SPECIAL = re.compile("[>\"']")
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -37,95 +35,181 @@ N_FEATURES = len(_NAMES) + 9
 _SLICE = 1 << 20
 
 
-def blocks(source: str) -> list[tuple[str, frozenset, float]]:
-    """Leaf blocks in page order: text (character references decoded, white space single), ancestor features, link share.
+def tags(source: str):
+    """(start, end, tag, attributes, whether it closes) of each piece of markup, in order; tag is "" where the piece means nothing.
+
+    One forward scan. A tag ends at the first > outside quotes, or at the first > of all if there is none. Where the quotes of one
+    tag lead nowhere is remembered, so that no part of the page is looked through once for every tag before it. Comments and raw
+    elements (scripts, styles ...) are one piece, up to their end or the page's.
+    """
+    special = [m.start() for m in _SPECIAL.finditer(source)]
+    closing, last = [-1] * len(special), {}
+    for i in range(len(special) - 1, -1, -1):
+        c = source[special[i]]
+        closing[i] = last.get(c, -1)
+        last[c] = i
+    dead = bytearray(len(special))
+    final = source.rfind(">")
+    at = source.find("<")
+    while at >= 0:
+        end, tag, attributes, closes = -1, "", "", False
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = len(source) if end < 0 else end + 3
+        elif at > final:
+            break
+        elif source.startswith(("<!", "<?"), at):
+            end = source.find(">", at) + 1
+        elif m := _NAME.match(source, at):
+            tag, closes = m[1].lower(), source[at + 1] == "/"
+            first = i = bisect_left(special, m.end())
+            while 0 <= i < len(special) and not dead[i] and source[special[i]] != ">":
+                i = closing[i] + 1 if closing[i] >= 0 else -1
+            if 0 <= i < len(special) and not dead[i]:
+                end = special[i] + 1
+                attributes = source[m.end() : end - 1]
+            else:
+                i = first
+                while 0 <= i < len(special) and not dead[i]:
+                    dead[i] = 1
+                    i = closing[i] + 1 if closing[i] >= 0 else -1
+                end, tag = source.find(">", at) + 1, ""
+            if tag in _RAW and not closes and not (attributes.endswith("/") and tag in ("svg", "math")):
+                stop = re.compile(rf"</{tag}\s*>", re.I).search(source, end)
+                end, tag = stop.end() if stop else len(source), ""
+        if end < 0:
+            at = source.find("<", at + 1)
+            continue
+        yield at, end, tag, attributes, closes
+        at = source.find("<", end)
+
+
+def _marks(tag: str, attributes: str) -> int:
+    """What an element says about the blocks in it, as bits in the order of _NAMES."""
+    marks = 0
+    if tag in _OUTSIDE:
+        marks = 1 << _OUTSIDE[tag]
+    elif tag in ("article", "main"):
+        marks = 1 << (5 if tag == "article" else 6)
+    elif tag in ("ul", "ol", "dl", "li"):
+        marks = 1 << 7
+    elif tag in _HEADINGS:
+        marks = 1 << 8
+    elif tag in ("p", "blockquote", "pre"):
+        marks = 1 << 9
+    elif tag in ("td", "th"):
+        marks = 1 << 10
+    if "=" in attributes:
+        names = " ".join(x.lower() for x in _KIND.findall(attributes))
+        for k, w in enumerate(_WORDS):
+            if names and w.search(names):
+                marks |= 1 << 11 + k
+    return marks
+
+
+class _Open:
+    """The open elements of a page, with the marks of all of them together, and how many are links."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool]] = []  # tag, marks of it and those around it, whether it is a block
+        self.blocks: list[int] = []  # where the blocks stand
+        self.count: Counter = Counter()  # blocks by tag; inline elements by their block and tag
+        self.links = 0
+
+    @property
+    def marks(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
+
+    def push(self, tag: str, marks: int) -> None:
+        inline = tag in _INLINE
+        self.count[(len(self.blocks), tag) if inline else tag] += 1
+        if not inline:
+            self.blocks.append(len(self.stack))
+        self.links += tag == "a"
+        self.stack.append((tag, self.marks | marks, not inline))
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            tag, _, block = self.stack.pop()
+            if block:
+                self.blocks.pop()
+            self.count[tag if block else (len(self.blocks), tag)] -= 1
+            self.links -= tag == "a"
+
+    def close(self, tag: str) -> None:
+        """The innermost open element of this name ends with all in it; an inline one only within its block."""
+        if self.count[(len(self.blocks), tag) if tag in _INLINE else tag]:
+            k = len(self.stack) - 1
+            while self.stack[k][0] != tag:
+                k -= 1
+            self.cut(k)
+
+    def begin_block(self, tag: str) -> None:
+        """What a block ends by beginning: a paragraph, or a list item, cell or row of its own kind."""
+        if self.blocks:
+            around = self.stack[self.blocks[-1]][0]
+            if around == "p" or around == tag and tag in ("li", "td", "th", "tr", "option", "dt", "dd"):
+                self.cut(self.blocks[-1])
+
+
+def blocks(source: str) -> list[tuple[str, int, float]]:
+    """Leaf blocks in page order: text (character references decoded, white space single), ancestor marks, link share.
 
     A block ends at any tag that is not inline; a paragraph also ends where another block begins. Comments, scripts, styles,
-    the head's title and other raw elements hold no text. Unclosed elements last to the end of what encloses them.
+    the head's title and other raw elements hold no text. Unclosed elements last to the end of what encloses them. The work grows
+    in proportion to the page.
     """
-    out: list[tuple[str, frozenset, float]] = []
-    stack: list[tuple[str, frozenset]] = []
+    out: list[tuple[str, int, float]] = []
+    open_ = _Open()
     parts: list[str] = []
-    linked = 0
+    linked = done = 0
 
     def flush() -> None:
         nonlocal parts, linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                marks = frozenset().union(*[m for _, m in stack])
-                out.append((text, marks, min(1.0, linked / len(text))))
+        text = "".join(parts)
+        text = " ".join((html.unescape(text) if "&" in text else text).split())
+        if text:
+            out.append((text, open_.marks, min(1.0, linked / len(text))))
         parts, linked = [], 0
 
-    def take(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            parts.append(piece)
-            if any(t == "a" for t, _ in stack):
-                linked += len(piece.strip())
-
-    at = 0
-    for m in _TOKEN.finditer(source):
-        take(source[at : m.start()])
-        at = m.end()
-        if not m["tag"]:
+    for start, end, tag, attributes, closes in tags(source):
+        if start > done:
+            parts.append(source[done:start])
+            linked += len(parts[-1].strip()) if open_.links else 0
+        done = end
+        if not tag:
             continue
-        tag = m["tag"].lower()
-        if m["end"]:
-            if tag not in _INLINE:
-                flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in _INLINE and stack[k][0] not in _INLINE:
-                    break
-            continue
-        if tag == "br":
+        if tag == "br" and not closes:
             parts.append(" ")
             continue
         if tag not in _INLINE:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] == tag and tag in ("li", "td", "th", "tr", "option", "dt", "dd"):
-                    del stack[k:]
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
-        if tag in _VOID or m["attrs"].endswith("/") and tag not in ("p", "div"):
+        if closes:
+            open_.close(tag)
+            continue
+        if tag not in _INLINE:
+            open_.begin_block(tag)
+        if tag in _VOID or tag in ("html", "body") or attributes.endswith("/") and tag not in ("p", "div"):
             continue
-        marks = set()
-        if tag in _OUTSIDE:
-            marks.add(_OUTSIDE[tag])
-        elif tag in ("article", "main"):
-            marks.add(5 if tag == "article" else 6)
-        elif tag in ("ul", "ol", "dl", "li"):
-            marks.add(7)
-        elif tag in _HEADINGS:
-            marks.add(8)
-        elif tag in ("p", "blockquote", "pre"):
-            marks.add(9)
-        elif tag in ("td", "th"):
-            marks.add(10)
-        if "=" in m["attrs"]:
-            names = " ".join(x.lower() for x in _KIND.findall(m["attrs"]))
-            marks.update(11 + k for k, w in enumerate(_WORDS) if names and w.search(names))
-        if tag not in ("html", "body", "head"):
-            stack.append((tag, frozenset(marks)))
-        elif tag == "head":
-            stack.append((tag, frozenset()))
-    take(source[at:])
+        open_.push(tag, 0 if tag == "head" else _marks(tag, attributes))
+    if done < len(source):
+        parts.append(source[done:])
+        linked += len(parts[-1].strip()) if open_.links else 0
     flush()
     return out
 
 
-def features(page: list[tuple[str, frozenset, float]]) -> np.ndarray:
+_SHIFTS = np.arange(len(_NAMES))
+_AWAY, _WITHIN = sum(1 << k for k in (0, 1, 2, 3, 4, 11, 12, 13)), sum(1 << k for k in (5, 6, 14))
+
+
+def features(page: list[tuple[str, int, float]]) -> np.ndarray:
     """A row for each block: ancestor marks, and what its text looks like."""
     x = np.zeros((len(page), N_FEATURES))
     for row, (text, marks, link) in zip(x, page):
-        row[list(marks)] = 1
+        row[: len(_NAMES)] = marks >> _SHIFTS & 1
         n = text.count(" ") + 1
-        row[-9:] = np.log1p(n), link, text[-1] in ".!?:;\"'”»", "©" in text or "(c)" in text, n < 4, sum(map(str.isdigit, text)) / len(text), text.count(",") / n, bool(marks & {5, 6, 14}) and not marks & {0, 1, 2, 3, 4, 11, 12, 13}, bool(marks & {0, 1, 2, 3, 4, 11, 12, 13})
+        row[-9:] = np.log1p(n), link, text[-1] in ".!?:;\"'”»", "©" in text or "(c)" in text, n < 4, sum(map(str.isdigit, text)) / len(text), text.count(",") / n, bool(marks & _WITHIN) and not marks & _AWAY, bool(marks & _AWAY)
     return x
 
 
@@ -211,8 +295,8 @@ def train(pages: list[tuple[str, list[bool]]] | None = None) -> ChainCRF:
 def extracted(pages: DataFrame, crf: ChainCRF) -> DataFrame:
     """page_id, url, text (content blocks joined by a blank line, empty if none), n_chars, n_blocks for each row of pages.
 
-    Null or empty html has no text. Pages are taken one by one, so repeated rows, ties and null ids change nothing; an empty
-    table gives an empty result.
+    Null or empty html has no text. Pages are taken one by one, so repeated rows, ties and null ids change nothing; other columns of
+    pages, whatever their names, aren't looked at; a very long page comes alone in its batch; an empty table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
