@@ -1,11 +1,9 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Numbers, names and units become typed placeholders; windows of the canonical words of documents and benchmark items are
-hash-joined; a matched stretch counts when its slots are consistent: one value of the item always stands against one value of
-the document. So re-parameterised questions are caught as well as verbatim ones.
-
-Beside the templates, windows of PIECE words as they stand (lower-cased, and with capitalised words and numbers as slots wherever
-they are) are joined, so that line breaks, case, the left context of a name and a few other words don't hide a passage.
+hash-joined; where enough of an item is met, its words are compared one by one, and a slot with another value counts only if the
+slots are consistent. So re-parameterised questions are caught as well as verbatim ones. Windows of the words as they stand are
+joined beside the canonical ones, so that case and layout don't hide a passage.
 """
 
 from __future__ import annotations
@@ -13,41 +11,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, whole_row
 
-#: Words in a window; share of an item's windows that a document must have in line; most benchmark windows to broadcast.
-WINDOW, THRESHOLD, BROADCAST_ROWS = 8, 0.8, 200_000
-#: Words in a window of passages(), and the share of an item's words in matched windows from which its words are compared one by one.
-PIECE, PROMISING = 4, 0.5
+#: Words in a window, and how many of a canonical one must be no slots.
+PIECE, PLAIN = 4, 2
+#: Share of an item's words in matched windows from which its words are compared; share of its words that must be met; share that
+#: must be met by the same word; items of fewer words than SHORT must stand whole and as they are.
+PROMISING, THRESHOLD, SAME, SHORT = 0.5, 0.8, 0.5, 8
 #: Words by which a passage may be shifted by inserted or dropped words.
 DRIFT = 8
-#: Units that follow a number (fixed values).
-UNITS = "km|cm|mm|kg|mg|ms|kb|mb|gb|hz|khz|mhz|ghz|m|g|l|s|h|lb|oz|ft|mi|mph|kmh|percent|degrees|meters|metres|kilometers|kilometres|miles|feet|inches|grams|kilograms|pounds|ounces|liters|litres|seconds|minutes|hours|days|weeks|months|years|dollars|euros|cents|usd|eur|gbp"
+#: Most benchmark windows to broadcast (some MB); beyond it they are shuffled and joined by sort and merge, with equal results.
+BROADCAST_ROWS = 200_000
+#: Units (fixed values); letters alone are no units.
+UNITS = ("km", "cm", "mm", "kg", "mg", "ms", "kb", "mb", "gb", "hz", "khz", "mhz", "ghz", "lb", "oz", "ft", "mi", "mph", "kmh", "percent", "degrees", "meters", "metres", "kilometers", "kilometres", "miles", "feet", "inches", "grams", "kilograms", "pounds", "ounces", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "usd", "eur", "gbp")
 _NUM, _NAME, _UNIT = "\ue000", "\ue001", "\ue002"
+_WORD = r"\d+(?:[.,]\d+)*(?![\p{L}\p{N}])|[\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    """text with each slot as a placeholder followed by its value: \\ue000 number, \\ue001 name, \\ue002 unit; words lower-cased.
-
-    A name is a run of capitalised words that does not begin a sentence, one slot whatever its length; a unit is a word of UNITS right after a number.
-    """
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    t = F.regexp_replace(t, "[\ue000-\ue002]", " ")
-    t = F.regexp_replace(t, r"([\p{Ll},;:] )(?=\p{Lu}\p{Ll})", "$1" + _NAME)
-    t = F.regexp_replace(t, rf" {_NAME}(?<={_NAME}[\p{{L}}]{{1,40}} {_NAME})", "_")
-    t = F.lower(t)
-    t = F.regexp_replace(t, r"\d(?<![\p{L}\p{N}].)\d*(?:[.,]\d+)*", _NUM + "$0 ")
-    return F.regexp_replace(t, rf"({_NUM}[\d.,]+ +)(%|°c|°f|\$|€|(?:{UNITS})(?![\p{{L}}\p{{N}}]))", f"$1{_UNIT}$2 ")
+def words(text: Column) -> Column:
+    """The words of text as they stand: numbers, and runs of letters and digits."""
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(_WORD), F.lit(0))
 
 
-def words(text: Column) -> Column:
-    """The canonical words of text in order: runs of letters and digits, slots as placeholder and value."""
-    return F.regexp_extract_all(canonical(text), F.lit(rf"{_NUM}[\d.,]*\d|{_NAME}[\p{{L}}_]+|{_UNIT}?[\p{{L}}\p{{N}}]+|{_UNIT}[%°$€]\p{{L}}?"), F.lit(0))
+def canonical(word: Column) -> Column:
+    """word lower-cased, or the placeholder of a number, a unit, or a capitalised word: a possible name, wherever it stands."""
+    first = F.substring(word, 1, 1)
+    return F.when(first.between("0", "9"), F.lit(_NUM)).when(F.lower(word).isin(*UNITS), F.lit(_UNIT)).when(F.lower(first) != first, F.lit(_NAME)).otherwise(F.lower(word))
 
 
-def _typed(word: Column) -> Column:
-    """A canonical word without the value of its slot."""
-    return F.when(F.substring(word, 1, 1).between(_NUM, _UNIT), F.substring(word, 1, 1)).otherwise(word)
+def _is_slot(canon: Column) -> Column:
+    return canon.between(_NUM, _UNIT)
 
 
 def _keys(w: Column, window: Column) -> Column:
@@ -56,50 +49,39 @@ def _keys(w: Column, window: Column) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, window)))
 
 
-def _raw(text: Column) -> Column:
-    """The words of text as they stand: numbers, and runs of letters and digits."""
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"\d+(?:[.,]\d+)*(?![\p{L}\p{N}])|[\p{L}\p{N}]+"), F.lit(0))
-
-
-def _kind(word: Column) -> Column:
-    """word lower-cased, or the placeholder of a number or of a capitalised word (a possible name)."""
-    first = F.substring(word, 1, 1)
-    return F.when(first.between("0", "9"), F.lit(_NUM)).when(F.lower(first) != first, F.lit(_NAME)).otherwise(F.lower(word))
-
-
-def passages(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row_hash, item_id, start (word), coverage for documents with an item's words, whatever their layout and case.
+def found(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, row_hash, item_id, start (word), coverage for documents with an item.
 
-    Windows of PIECE words (an item with fewer is one window) are joined as lower-cased words and with slots for numbers and
-    capitalised words, the latter only where at least two words are left. Hits at offsets within DRIFT of each other count
-    together. Where they hold PROMISING of an item's words, coverage is the share of its words that stand in the document at one
-    of these offsets; a slot's word counts with another value only if the slots are consistent. Items of fewer than WINDOW
-    words must stand whole and as they are.
+    Windows of PIECE words (an item with fewer is one window) are joined as lower-cased words and as canonical words, the latter
+    only with PLAIN words that are no slots. Hits at offsets within DRIFT of each other count together. Where they hold PROMISING
+    of an item's words, coverage is the share of its words that stand in the document at one of these offsets; a slot's word
+    counts with another value if the slots are consistent: one value of the item always against one of the document, and one
+    name of the document against one of the item (adjoining capitalised words being one name). Items without words match nothing. row_hash tells rows of one doc_id apart.
     """
-    items = bench.select(F.col("item_id").cast("long").alias("item_id"), _raw(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct()
-    items = materialize(items.withColumn("n", F.size("iw")).withColumn("k", F.least("n", F.lit(PIECE))), "bench-passages")
+    items = bench.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct()
+    items = materialize(items.withColumn("n", F.size("iw")).withColumn("k", F.least("n", F.lit(PIECE))), "bench-items")
 
     def hashed(w: str) -> list[Column]:
-        return [F.transform(w, lambda x: F.xxhash64(F.lower(x))).alias("lo"), F.transform(w, lambda x: F.xxhash64(_kind(x))).alias("ki")]
+        return [F.transform(w, lambda x: F.xxhash64(F.lower(x))).alias("lo"), F.transform(w, lambda x: F.xxhash64(canonical(x))).alias("ki")]
 
     both = items.select("item_id", "n", "k", "iw", *hashed("iw"))
     index = both.select("item_id", "n", "k", F.posexplode(_keys(F.col("lo"), F.col("k"))).alias("ipos", "key"))
-    free = both.select("item_id", "n", "k", "iw", F.posexplode(_keys(F.col("ki"), F.col("k"))).alias("ipos", "key"))
-    plain = F.filter(F.slice("iw", F.col("ipos") + 1, F.col("k")), lambda x: ~_kind(x).between(_NUM, _UNIT))
-    index = materialize(index.unionByName(free.where((F.size(plain) >= 2) & (F.col("n") >= WINDOW)).drop("iw")).distinct(), "bench-pieces")
+    typed = both.select("item_id", "n", "k", "iw", F.posexplode(_keys(F.col("ki"), F.col("k"))).alias("ipos", "key"))
+    plain = F.filter(F.slice("iw", F.col("ipos") + 1, F.col("k")), lambda x: ~_is_slot(canonical(x)))
+    index = materialize(index.unionByName(typed.where((F.size(plain) >= PLAIN) & (F.col("n") >= SHORT)).drop("iw")).distinct(), "bench-windows")
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most PIECE numbers
-    small = index.count() <= BROADCAST_ROWS
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), _raw(F.col("text")).alias("w"))
+    small = index.count() <= broadcast_rows
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), words(F.col("text")).alias("w"))
     d = d.select("doc_id", "row_hash", *hashed("w"))
     hits = None
     for k in lengths:
         own = index.where(F.col("k") == k)
         starts = F.when(F.size("lo") >= k, F.sequence(F.lit(1), F.size("lo") - k + 1)).otherwise(F.array().cast("array<int>"))
         window = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("lo", i, k)).alias("a"), F.xxhash64(F.slice("ki", i, k)).alias("b")))
-        found = d.select("doc_id", "row_hash", F.posexplode(window).alias("pos", "x"))
-        found = found.select("doc_id", "row_hash", "pos", F.explode(F.when(F.col("x.a") == F.col("x.b"), F.array("x.a")).otherwise(F.array("x.a", "x.b"))).alias("key"))
-        found = found.join(F.broadcast(own) if small else own, "key").select("doc_id", "row_hash", "item_id", "n", "k", "ipos", (F.col("pos") - F.col("ipos")).alias("off"))
-        hits = found if hits is None else hits.unionByName(found)
+        each = d.select("doc_id", "row_hash", F.posexplode(window).alias("pos", "x"))
+        each = each.select("doc_id", "row_hash", "pos", F.explode(F.when(F.col("x.a") == F.col("x.b"), F.array("x.a")).otherwise(F.array("x.a", "x.b"))).alias("key"))
+        each = each.join(F.broadcast(own) if small else own, "key").select("doc_id", "row_hash", "item_id", "n", "k", "ipos", (F.col("pos") - F.col("ipos")).alias("off"))
+        hits = each if hits is None else hits.unionByName(each)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, row_hash long, item_id long, start int, coverage double")
     # offsets within DRIFT of each other share a band of one of two overlapping families
@@ -107,88 +89,57 @@ def passages(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD) ->
     hits = hits.select("*", bands.alias("band")).groupBy("doc_id", "row_hash", "item_id", "band").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.sort_array(F.collect_set("off")).alias("offs"), F.collect_set("ipos").alias("at"))
     held = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("k") - 1)))))
     hits = materialize(hits.where(held >= PROMISING * F.col("n")).select("doc_id", "row_hash", "item_id", "offs").distinct(), "bench-promising")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    texts = texts.join(hits.select("doc_id", "row_hash").distinct(), (texts["doc_id"].eqNullSafe(hits["doc_id"])) & (texts["row_hash"] == hits["row_hash"]), "left_semi").distinct()
-    near = hits.alias("h").join(texts.alias("t"), F.expr("h.doc_id <=> t.doc_id and h.row_hash = t.row_hash")).select("h.*", _raw(F.col("t.text")).alias("w")).join(items.select("item_id", "iw", "n"), "item_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(hits.select("doc_id", "row_hash").distinct(), (texts["doc_id"].eqNullSafe(hits["doc_id"])) & (texts["row_hash"] == hits["row_hash"]), "left_semi").dropDuplicates(["doc_id", "row_hash"])
+    near = hits.alias("h").join(texts.alias("t"), F.expr("h.doc_id <=> t.doc_id and h.row_hash = t.row_hash")).select("h.*", words(F.col("t.text")).alias("w")).join(items.select("item_id", "iw", "n"), "item_id")
     # only the document's words at the item's place are kept; element p + o - first of them stands against the item's word p
     first = F.element_at("offs", 1)
     near = near.withColumn("start", first).withColumn("w", F.transform(F.sequence(F.lit(1), F.col("n") + F.element_at("offs", -1) - first), lambda p: F.when(p + first > 0, F.get("w", p + first - 1))))
-    place = F.sequence(F.lit(1), F.col("n"))
 
     def against(p: Column) -> Column:
         mine = F.element_at("iw", p)
         other = F.transform("offs", lambda o: F.get("w", p + o - F.col("start") - 1))
         same = F.exists(other, lambda x: F.coalesce(F.lower(x) == F.lower(mine), F.lit(False)))
-        slot = F.filter(other, lambda x: F.coalesce((_kind(x) == _kind(mine)) & _kind(mine).between(_NUM, _UNIT), F.lit(False)))
-        return F.struct(F.lower(mine).alias("item"), F.when(same, F.lower(mine)).when(F.size(slot) > 0, F.lower(F.get(slot, 0))).alias("doc"), (_kind(mine) == _NUM).alias("number"))
+        slot = F.filter(other, lambda x: F.coalesce((canonical(x) == canonical(mine)) & _is_slot(canonical(mine)), F.lit(False)))
+        # adjoining capitalised words are one name, called by its first word
+        head = F.array_max(F.filter(F.sequence(F.lit(1), p), lambda j: ~((canonical(F.element_at("iw", j)) == _NAME) & (F.coalesce(canonical(F.get("iw", j - 2)), F.lit("")) == _NAME))))
+        return F.struct(F.lower(mine).alias("item"), F.when(same, F.lower(mine)).when(F.size(slot) > 0, F.lower(F.get(slot, 0))).alias("doc"), canonical(mine).alias("kind"), F.lower(F.element_at("iw", head)).alias("name"))
 
-    near = near.select("doc_id", "row_hash", "item_id", "start", "n", F.transform(place, against).alias("m"))
+    near = near.select("doc_id", "row_hash", "item_id", "start", "n", F.transform(F.sequence(F.lit(1), F.col("n")), against).alias("m"))
     same = F.size(F.filter("m", lambda x: F.coalesce(x["item"] == x["doc"], F.lit(False))))
     met = F.size(F.filter("m", lambda x: x["doc"].isNotNull()))
-    slots = F.array_distinct(F.filter("m", lambda x: x["doc"].isNotNull() & (x["number"] | (x["item"] != x["doc"]))))
+    # a capitalised word that stands as it is may be no name; numbers and units are slots with any value
+    slots = F.array_distinct(F.filter("m", lambda x: x["doc"].isNotNull() & _is_slot(x["kind"]) & ((x["kind"] != _NAME) | (x["item"] != x["doc"]))))
     near = near.select("doc_id", "row_hash", "item_id", "start", "n", same.alias("same"), met.alias("met"), slots.alias("slots"))
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda x: x["item"]))) == F.size("slots")
-    near = near.select("doc_id", "row_hash", "item_id", "start", "n", (F.when(consistent & (F.col("n") >= WINDOW), F.col("met")).otherwise(F.col("same")) / F.col("n")).alias("coverage"))
-    return near.where(F.col("coverage") >= F.when(F.col("n") < WINDOW, 1.0).otherwise(threshold)).select("doc_id", "row_hash", "item_id", "start", "coverage")
-
-
-def templates(docs: DataFrame, bench: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row_hash, item_id, start (canonical word), coverage for documents with an item's template.
-
-    An item of fewer words than the window is one window of its own length, looked up among the document's windows of that
-    length. coverage is the share of the item's windows found at one offset in the document; it must reach the threshold, and the slots of the
-    matched windows must be consistent. Items without words match nothing. row_hash tells rows of one doc_id apart.
-    """
-    items = bench.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct()
-    items = items.withColumn("k", F.least(F.size("iw"), F.lit(window)))
-    items = materialize(items.withColumn("typed", F.transform("iw", _typed)), "bench-items")
-    index = items.select("item_id", "k", F.size("iw").alias("n"), F.posexplode(_keys(F.col("typed"), F.col("k"))).alias("ipos", "key"))
-    lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most `window` numbers
-    small = index.count() <= BROADCAST_ROWS  # beyond it the windows are shuffled and joined by sort and merge
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), words(F.col("text")).alias("w"))
-    d = d.select("doc_id", "row_hash", F.transform("w", _typed).alias("typed"))
-    hits = None
-    for k in lengths:
-        found = d.select("doc_id", "row_hash", F.posexplode(_keys(F.col("typed"), F.lit(k))).alias("pos", "key"))
-        own = index.where(F.col("k") == k)
-        found = found.join(F.broadcast(own) if small else own, "key").select("doc_id", "row_hash", "item_id", "k", "n", "ipos", "pos")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, row_hash long, item_id long, start int, coverage double")
-    hits = hits.distinct().groupBy("doc_id", "row_hash", "item_id", (F.col("pos") - F.col("ipos")).alias("start")).agg(F.count("*").alias("found"), F.max("k").alias("k"), F.max("n").alias("n"), F.collect_list("ipos").alias("at"))
-    hits = hits.withColumn("coverage", F.col("found") / (F.col("n") - F.col("k") + 1)).where(F.col("coverage") >= threshold)
-    hits = materialize(hits, "bench-hits")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    texts = texts.join(hits.select("doc_id", "row_hash").distinct(), (texts["doc_id"].eqNullSafe(hits["doc_id"])) & (texts["row_hash"] == hits["row_hash"]), "left_semi").distinct()
-    aligned = hits.alias("h").join(texts.alias("t"), F.expr("h.doc_id <=> t.doc_id and h.row_hash = t.row_hash")).select("h.*", words(F.col("t.text")).alias("w")).join(items.select("item_id", "iw"), "item_id")
-    place = F.filter(F.sequence(F.lit(1), F.size("iw")), lambda p: F.exists("at", lambda a: (p > a) & (p <= a + F.col("k"))))
-    slots = F.filter(F.transform(place, lambda p: F.struct(F.element_at("iw", p).alias("item"), F.try_element_at("w", p + F.col("start")).alias("doc"))), lambda s: F.substring(s["item"], 1, 1).between(_NUM, _UNIT))
-    aligned = aligned.withColumn("slots", F.array_distinct(slots))
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))) == F.size("slots")
-    return aligned.where(consistent).select("doc_id", "row_hash", "item_id", "start", "coverage")
+    names = F.array_distinct(F.transform(F.filter("slots", lambda x: x["kind"] == _NAME), lambda x: F.struct(x["name"], x["doc"])))
+    near = near.withColumn("names", names)
+    consistent = (F.size(F.array_distinct(F.transform("slots", lambda x: x["item"]))) == F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["item"], x["doc"]))))) & (F.size(F.array_distinct(F.transform("names", lambda x: x["doc"]))) == F.size("names"))
+    templated = consistent & (F.col("n") >= SHORT) & (F.col("same") >= SAME * F.col("n"))
+    near = near.select("doc_id", "row_hash", "item_id", "start", "n", (F.when(templated, F.col("met")).otherwise(F.col("same")) / F.col("n")).alias("coverage"))
+    return near.where(F.col("coverage") >= F.when(F.col("n") < SHORT, 1.0).otherwise(threshold)).select("doc_id", "row_hash", "item_id", "start", "coverage")
 
 
 def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """doc_id, row_hash, item_id, coverage for documents with an item, by its template or else by its words."""
-    found = templates(docs, bench).withColumn("template", F.lit(True)).unionByName(passages(docs, bench).withColumn("template", F.lit(False)))
-    coverage = F.coalesce(F.max(F.when(F.col("template"), F.col("coverage"))), F.max("coverage"))
-    return found.groupBy("doc_id", "row_hash", "item_id").agg(coverage.alias("coverage"))
+    """doc_id, row_hash, item_id, coverage (the highest) for documents with an item."""
+    return found(docs, bench).groupBy("doc_id", "row_hash", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, n_items (items found in the row's text), items (their ids, sorted), coverage (the highest, else 0), contaminated.
 
     A row for each row of docs. Null or empty texts are clean; a null doc_id is a value like others; repeated rows get equal
-    results; an empty benchmark leaves all clean; an empty documents table gives an empty result.
+    results; very long texts are looked through whole; other columns of docs, whatever their names, aren't looked at; an empty
+    benchmark leaves all clean; an empty documents table gives an empty result.
     """
-    found = matches(docs, bench).groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"))
+    met = matches(docs, bench).groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"))
-    joined = rows.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.row_hash = f.row_hash"), "left")
+    joined = rows.alias("d").join(met.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.row_hash = f.row_hash"), "left")
     items = F.coalesce("items", F.array().cast("array<bigint>"))
     return joined.select("d.doc_id", F.size(items).cast("long").alias("n_items"), F.array_join(items, ",").alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), (F.size(items) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of docs in which no benchmark item was found."""
-    found = matches(docs, bench).select("doc_id", "row_hash").distinct()
-    return docs.alias("d").join(found.alias("f"), F.expr("cast(d.doc_id as bigint) <=> f.doc_id and xxhash64(d.text) = f.row_hash"), "left_anti")
+    """The rows of docs, whole and with columns of any names, in which no benchmark item was found; see decontaminated()."""
+    bad = matches(docs, bench).select(F.col("doc_id").alias("bad_id"), F.col("row_hash").alias("bad_hash")).distinct()
+    own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    return own.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_hash") == F.col("bad_hash")), "left_anti").select("row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontam import THRESHOLD, UNITS, WINDOW
+from .decontam import DRIFT, PIECE, PLAIN, PROMISING, SAME, SHORT, THRESHOLD, UNITS
 from .licenses import CONTAINMENT, PHRASES, TEMPLATES
 from .mixing import MOST, SHARE, WEIGHTS
 
@@ -61,31 +61,41 @@ def _mixing() -> str:
 
 
 def _decontamination() -> str:
-    """The same templates without look-around: what a pattern would look at is matched and put back, names twice as they may touch."""
+    """The same windows as strings instead of hashes, and the same comparison word by word."""
     num, name, unit = "\ue000", "\ue001", "\ue002"
-    letter = r"[\p{L}\p{N}]"
-
-    def canon(t: str) -> str:
-        t = f"regexp_replace(coalesce({t}, ''), '[\ue000-\ue002]', ' ', 'g')"
-        for _ in range(2):
-            t = rf"regexp_replace({t}, '([\p{{Ll}},;:] )(\p{{Lu}}\p{{Ll}})', '\1{name}\2', 'g')"
-        for _ in range(4):
-            t = rf"regexp_replace({t}, '({name}\p{{L}}+(?:_\p{{L}}+)*) {name}', '\1_', 'g')"
-        t = rf"regexp_replace(lower({t}), '(^|[^\p{{L}}\p{{N}}])(\d+(?:[.,]\d+)*)', '\1{num}\2 ', 'g')"
-        return rf"regexp_replace({t}, '({num}[\d.,]+ +)(%|°c|°f|\$|€|(?:{UNITS}))($|[^\p{{L}}\p{{N}}])', '\1{unit}\2 \3', 'g')"
-
-    def words(t: str) -> str:
-        return rf"regexp_extract_all({canon(t)}, '{num}[\d.,]*\d|{name}[\p{{L}}_]+|{unit}?{letter}+|{unit}[%°$€]\p{{L}}?')"
-
-    typed = f"list_transform(w, lambda x: CASE WHEN x[1] IN ('{num}', '{name}', '{unit}') THEN x[1] ELSE x END)"
-    return f"""WITH i0 AS (SELECT item_id, {words('text')} AS w FROM benchmark), i AS (SELECT item_id, w AS iw, {typed} AS ty, least(len(w), {WINDOW}) AS k FROM i0 WHERE len(w) > 0),
-    ik AS (SELECT item_id, k, len(iw) AS n, p, array_to_string(ty[p : p + k - 1], ' ') AS key FROM (SELECT *, unnest(range(1, len(iw) - k + 2)) AS p FROM i)),
-    d0 AS (SELECT doc_id, {words('text')} AS w FROM documents), d AS (SELECT doc_id, w, {typed} AS ty FROM d0),
-    dk AS (SELECT doc_id, k, q, array_to_string(ty[q : q + k - 1], ' ') AS key FROM (SELECT doc_id, ty, k, unnest(range(1, len(ty) - k + 2)) AS q FROM d, (SELECT DISTINCT k FROM i))),
-    h AS (SELECT doc_id, item_id, q - p AS off, any_value(k) AS k, count(*) / (any_value(n) - any_value(k) + 1) AS coverage, list(p) AS ps FROM ik JOIN dk USING (k, key) GROUP BY doc_id, item_id, q - p),
-    g AS (SELECT h.*, iw, w FROM h JOIN i USING (item_id) JOIN d USING (doc_id) WHERE coverage >= {THRESHOLD}),
-    s AS (SELECT *, list_distinct(list_transform(list_filter(range(1, len(iw) + 1), lambda x: (iw[x][1] IN ('{num}', '{name}', '{unit}') AND len(list_filter(ps, lambda a: (a <= x AND x < a + k))) > 0)), lambda x: [iw[x], w[x + off]])) AS slots FROM g),
-    f AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items, max(coverage) AS coverage FROM s WHERE len(list_distinct(list_transform(slots, lambda x: x[1]))) = len(slots) GROUP BY doc_id)
+    # without look-around: a number may not touch a letter, so runs of letters and digits are matched with the points and commas after digits
+    split = r"regexp_extract_all(coalesce({t}, ''), '[\p{{L}}\p{{N}}]+(?:[.,]\d+)*')"
+    word = "flatten(list_transform({w}, lambda x: CASE WHEN regexp_full_match(x, '\\d+(?:[.,]\\d+)*') THEN [x] ELSE regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+') END))"
+    units = _list(UNITS)
+
+    def canon(x: str) -> str:
+        return f"CASE WHEN {x}[1] BETWEEN '0' AND '9' THEN '{num}' WHEN list_contains({units}, lower({x})) THEN '{unit}' WHEN lower({x}[1]) <> {x}[1] THEN '{name}' ELSE lower({x}) END"
+
+    def tokens(t: str) -> str:
+        return word.format(w=split.format(t=t))
+
+    forms = f"list_transform(w, lambda x: lower(x)) AS lo, list_transform(w, lambda x: {canon('x')}) AS ki"
+    slot = f"x BETWEEN '{num}' AND '{unit}'"
+    return f"""WITH i0 AS (SELECT item_id, {tokens('text')} AS w FROM benchmark), i AS (SELECT item_id, w AS iw, len(w) AS n, least(len(w), {PIECE}) AS k, {forms} FROM i0 WHERE len(w) > 0),
+    ip AS (SELECT *, unnest(range(1, n - k + 2)) AS p FROM i),
+    ik AS (SELECT DISTINCT item_id, n, k, p, key FROM (SELECT item_id, n, k, p, array_to_string(lo[p : p + k - 1], ' ') AS key FROM ip UNION ALL
+      SELECT item_id, n, k, p, array_to_string(ki[p : p + k - 1], ' ') AS key FROM ip WHERE n >= {SHORT} AND len(list_filter(ki[p : p + k - 1], lambda x: NOT ({slot}))) >= {PLAIN})),
+    d0 AS (SELECT doc_id, {tokens('text')} AS w FROM documents), d AS MATERIALIZED (SELECT doc_id, w, {forms} FROM d0),
+    dp AS (SELECT doc_id, lo, ki, k, unnest(range(1, len(lo) - k + 2)) AS q FROM d, (SELECT DISTINCT k FROM i)),
+    dk AS (SELECT DISTINCT doc_id, k, q, key FROM (SELECT doc_id, k, q, array_to_string(lo[q : q + k - 1], ' ') AS key FROM dp UNION ALL SELECT doc_id, k, q, array_to_string(ki[q : q + k - 1], ' ') AS key FROM dp)),
+    h AS (SELECT DISTINCT doc_id, item_id, n, k, p, q - p AS off FROM ik JOIN dk USING (k, key)),
+    b AS (SELECT *, f, floor((off + f * {DRIFT}) / {2 * DRIFT}::DOUBLE) AS band FROM h, (VALUES (0), (1)) AS v(f)),
+    g AS (SELECT DISTINCT doc_id, item_id, list_sort(list(DISTINCT off)) AS offs FROM b GROUP BY doc_id, item_id, f, band
+      HAVING len(list_distinct(flatten(list(range(p, p + k))))) >= {PROMISING} * any_value(n)),
+    m AS (SELECT doc_id, item_id, n, list_transform(range(1, n + 1), lambda p: struct_pack(item := lower(iw[p]), kind := i.ki[p], name := lower(iw[list_max(list_filter(range(1, p + 1), lambda j: NOT (i.ki[j] = '{name}' AND j > 1 AND i.ki[j - 1] = '{name}')))]),
+      same := len(list_filter(offs, lambda o: p + o > 0 AND lower(w[p + o]) = lower(iw[p]))) > 0,
+      slot := lower(w[p + list_filter(offs, lambda o: p + o > 0 AND {canon('w[p + o]')} = i.ki[p] AND i.ki[p] BETWEEN '{num}' AND '{unit}')[1]]))) AS m FROM g JOIN i USING (item_id) JOIN d USING (doc_id)),
+    s AS (SELECT doc_id, item_id, n, list_transform(m, lambda x: struct_pack(item := x.item, kind := x.kind, name := x.name, doc := CASE WHEN x.same THEN x.item ELSE x.slot END)) AS m FROM m),
+    t AS (SELECT doc_id, item_id, n, len(list_filter(m, lambda x: coalesce(x.item = x.doc, false))) AS same, len(list_filter(m, lambda x: x.doc IS NOT NULL)) AS met,
+      list_distinct(list_filter(m, lambda x: x.doc IS NOT NULL AND x.kind BETWEEN '{num}' AND '{unit}' AND (x.kind <> '{name}' OR x.item <> x.doc))) AS slots FROM s),
+    c AS (SELECT doc_id, item_id, n, (CASE WHEN n >= {SHORT} AND same >= {SAME} * n AND len(list_distinct(list_transform(slots, lambda x: x.item))) = len(list_distinct(list_transform(slots, lambda x: [x.item, x.doc])))
+      AND len(list_distinct(list_transform(list_filter(slots, lambda x: x.kind = '{name}'), lambda x: x.doc))) = len(list_distinct(list_transform(list_filter(slots, lambda x: x.kind = '{name}'), lambda x: [x.name, x.doc]))) THEN met ELSE same END) / n::DOUBLE AS coverage FROM t),
+    f AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items, max(coverage) AS coverage FROM c WHERE coverage >= CASE WHEN n < {SHORT} THEN 1.0 ELSE {THRESHOLD} END GROUP BY doc_id)
     SELECT doc_id, coalesce(len(items), 0) AS n_items, coalesce(array_to_string(items, ','), '') AS items, coalesce(coverage, 0.0)::DOUBLE AS coverage, items IS NOT NULL AS contaminated FROM documents LEFT JOIN f USING (doc_id)"""
 
 

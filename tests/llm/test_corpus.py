@@ -341,17 +341,39 @@ def test_decontamination(spark):
     assert decontam.clean(docs, bench.where("false")).count() == len(rows)
 
 
-@pytest.mark.parametrize("text", [
+FARM = [
     "Intro. The farm lies by the river and has a view\nof\nParis from the hill. Alice picks 12 apples there and sells 7 of them in town before noon, so how many are left over?",
     "so the farm lies by the river and has a view of paris from the hill. alice picks 12 apples there and sells 7 of them in town before noon, so how many are left over?",
     "They asked: The farm lies by the river and has a view of  Paris from the hill. Bob picks 30 apples there and sells 9 of them in town before noon, so how many are left over?",
     "The farm lies by the river and has a view of Paris from the hill. Alice picks 12 apples there and trades 7 of them in town before noon, so how many are left over?",
     "The farm lies by the river and has a view of Paris from the hill. Alice picks 12 ripe apples there and sells 7 of them in town before noon, so how many are left over?",
-])
-def test_decontamination_of_altered_passages(spark, text):
+]
+
+
+def test_decontamination_of_altered_passages(spark):
     bench = spark.createDataFrame([(1, "The farm lies by the river and has a view of Paris from the hill. Alice picks 12 apples there and sells 7 of them in town before noon, so how many are left over?"), (2, "Which of the towns is the oldest one")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, text), (2, "The farm lies by the river and has a view of Paris. Bob sells pears."), (3, "the question: Which of the towns is\nthe oldest one")], "doc_id long, text string")
-    assert {r["doc_id"]: r["items"] for r in decontam.decontaminated(docs, bench).collect()} == {1: "1", 2: "", 3: "2"}
+    rows = [(10 + k, t) for k, t in enumerate(FARM)]
+    docs = spark.createDataFrame([*rows, (2, "The farm lies by the river and has a view of Paris. Bob sells pears."), (3, "the question: Which of the towns is\nthe oldest one")], "doc_id long, text string")
+    assert {r["doc_id"]: r["items"] for r in decontam.decontaminated(docs, bench).collect()} == {2: "", 3: "2"} | {k: "1" for k, _ in rows}
+
+
+APPLES = "Mary has 5 red apples. John has 3 green apples. Mary gives John 2 apples. How many red apples does Mary have left then?"
+
+
+ALTERED = [
+    ("Anna has 7 red apples. Peter has 4 green apples. Anna gives Peter 1 apples. How many red apples does Anna have left then?", True),
+    ("Anna has 7 red apples. Peter has 7 green apples. Anna gives Peter 7 apples. How many red apples does Anna have left then?", True),
+    ("Anna has 7 red apples. Anna has 4 green apples. Anna gives Anna 1 apples. How many red apples does Anna have left then?", False),
+    ("Anna has 7 red apples. Peter has 4 green apples. Peter gives Olga 1 apples. How many red apples does Paul have left then?", False),
+    ("Der Hund hat 7 alte Knochen. Peter sucht 4 neue Knochen.", False),
+]
+
+
+@pytest.mark.parametrize("rows", [decontam.BROADCAST_ROWS, 0])
+def test_decontamination_of_names_and_numbers(spark, rows):
+    bench = spark.createDataFrame([(1, APPLES)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "Before. " + t + " After.", "x", 7, "y") for k, (t, _) in enumerate(ALTERED)], "doc_id long, text string, key string, w long, row_hash string")
+    assert {r["doc_id"] for r in decontam.found(docs, bench, broadcast_rows=rows).collect()} == {k for k, (_, hit) in enumerate(ALTERED) if hit}
 
 
 def test_toxicity(spark):
@@ -397,7 +419,7 @@ def test_html():
 
 
 def test_html_digit_share_of_whole_block():
-    page = [("a" * 200 + "1" * 200, frozenset(), 0.0), ("1" * 200 + "a" * 600, frozenset(), 0.0)]
+    page = [("a" * 200 + "1" * 200, 0, 0.0), ("1" * 200 + "a" * 600, 0, 0.0)]
     assert html_extract.features(page)[:, -4].tolist() == [0.5, 0.25]
 
 
@@ -420,13 +442,13 @@ def test_tool_calls(spark):
     got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     one = sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["position"])
     ids = [(r["kind"], json.loads(r["json"]).get("id") or json.loads(r["json"]).get("tool_call_id")) for r in one]
-    assert ids.index(("call", "a")) < ids.index(("call", "b")) < ids.index(("result", "b")) and ids.index(("call", "a")) < ids.index(("result", "a"))
+    assert ids.index(("call", "a")) < ids.index(("result", "a")) < ids.index(("call", "b")) < ids.index(("result", "b"))
     assert {(r["conv_id"], r["status"]) for r in got if r["kind"] != "message"} == {(1, "ok"), (1, "orphan"), (2, "limit is not integer"), (2, "unknown tool"), (2, "duplicate id"), (2, "ok"), (3, "cycle")}
     assert json.loads(next(r["json"] for r in one if r["kind"] == "call" and '"id":"b"' in r["json"]))["arguments"] == '{"limit":3,"query":"${a}"}'
-    for c in (1, 2, 3, 4, None):
+    for c in (1, 2, 3, 4):
         pos = sorted(r["position"] for r in got if r["conv_id"] == c)
         assert pos == list(range(len(pos)))
-    assert [r["json"] for r in got if r["conv_id"] is None] == ['{"content":"lost","role":"user"}']
+    assert [(r["json"], r["position"]) for r in got if r["conv_id"] is None] == [('{"content":"lost","role":"user"}', None)]
 
 
 def test_text_beside_tool_calls(spark):
