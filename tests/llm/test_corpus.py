@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.llm import chat, common, decontam, html_extract, licenses, mixing, quality, sharding, simhash, substring, toxicity
+from quillwork.llm import chat, common, decontam, html_extract, licenses, mixing, near, quality, sharding, simhash, substring, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, size string, kept string"
 WORDS = "der die das und ein ist mit von auf an in im es er sie wir ihr nicht auch nur noch schon sehr viel mehr".split()
@@ -100,10 +100,20 @@ def test_covering_masks_cover():
             assert any(not d & m for m in deep)
 
 
+def plain_fingerprint(text):
+    """The contract's fingerprint, bit by bit."""
+    import xxhash
+
+    w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    shingles = [" ".join(w[j : j + 3]) for j in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
 def simhash_brute(rows):
     fp = {}
     for row in rows:
-        fp.setdefault(simhash.fingerprint((row[1] or "").encode()), []).append(row[0])
+        fp.setdefault(plain_fingerprint(row[1]), []).append(row[0])
     keys, parent = sorted(fp), {}
 
     def find(x):
@@ -133,6 +143,10 @@ def test_simhash(spark, docs, bucket):
     assert all((r["fingerprint"], r["component_id"]) == want[r["doc_id"]] for r in got)
     kept = [r["doc_id"] for r in simhash.representatives(docs).collect()]
     assert sorted(kept) == sorted({c for _, c in want.values()})
+    if bucket == 128:
+        a, b = "der die das und ein ist mit von auf an", "sie wir ihr nicht auch nur noch schon sehr viel"
+        rows = spark.createDataFrame([(1, a, "k"), (5, a, "k"), (5, b, "k"), (5, b, "k"), (None, b, "k")], "doc_id long, text string, component_id string")
+        assert sorted((r["doc_id"], r["text"]) for r in simhash.representatives(rows).collect()) == [(1, a), (5, b)]
 
 
 def substring_brute(rows):
@@ -470,7 +484,7 @@ def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "some words of a question that is long enough to count")], "item_id long, text string")
     for df in (
-        simhash.near_duplicates(none), simhash.representatives(none), substring.factored(none), quality.assess(none, quality.train(none, labels)), mixing.mixed(none), mixing.remixed(none), sharding.sharded(none), sharding.with_shards(none),
+        simhash.near_duplicates(none), simhash.representatives(none), near.representatives(none), substring.factored(none), quality.assess(none, quality.train(none, labels)), mixing.mixed(none), mixing.remixed(none), sharding.sharded(none), sharding.with_shards(none),
         licenses.scanned(none), decontam.decontaminated(none, bench), decontam.clean(none, bench), toxicity.scored(none, *toxicity.train(none, labels)),
         html_extract.extracted(spark.createDataFrame([], "page_id long, url string, html string"), html_extract.train()), chat.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
     ):
@@ -507,29 +521,153 @@ def test_oracle(spark, name):
     assert sorted(cols) == sorted(df.columns) and flat(df.collect(), df.columns) == flat(r.fetchall(), cols)
 
 
+def near_brute(rows):
+    """The smallest doc_id of each group of (doc_id, text): SimHash within 3 bits, or five-word shingles of similarity 0.8."""
+    fp = {i: simhash.fingerprint((t or "").encode()) for i, t in rows}
+    sets = {}
+    for i, t in rows:
+        w = words((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(parent)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if (fp[a] ^ fp[b]).bit_count() <= 3 or both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                a_, b_ = find(a), find(b)
+                parent[max(a_, b_)] = min(a_, b_)
+    return sorted({find(i) for i in ids})
+
+
+def test_near_copies_in_large_buckets(spark):
+    r = random.Random(6)
+    base = [r.choice(WORDS) + str(r.randrange(50)) for _ in range(300)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        w[r.randrange(300)] = f"neu{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(80))) for i in range(20)] + [(200, None), (201, ""), (202, "A b"), (203, "a B")]
+    df = spark.createDataFrame([(*x, "t", 1) for x in rows], "doc_id long, text string, th string, `group` int")
+    got = near.representatives(df)
+    assert got.columns == df.columns and sorted(x["doc_id"] for x in got.collect()) == near_brute(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rows = [(i, t, lang, source or "s", n) for i, t, lang, source, n, *_ in corpus() if i != 20] + [(20, corpus()[20][1], "de", "s", 1)]
     item = "welche frage steht hier mit vielen worten die keiner sonst so schreibt und wie lautet sie"
     rows.append((900, corpus()[30][1] + " " + item, "de", "s", 1))
-    names = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "documents.parquet"))
+    text = {r[0]: r[1] for r in rows}
+    extra = ("kept", "shard", "slot", "law", "row", "copy", "nth", "th", "row_hash", "n_words")  # names that the operators use
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    spark.createDataFrame([(*x, *extra) for x in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(0, 100, 2)] + [(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = []
+    names, kept = docs.columns, []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = common.materialize(stage(spark, docs, str(tmp_path)), f"test-{k}")
         kept.append([r["doc_id"] for r in docs.select("doc_id").collect()])
-        assert k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    text = {r[0]: r[1] for r in rows}
+        assert docs.columns == (names if k < 4 else [c for c in names if c not in ("shard", "slot", "law")] + ["size", "text_crc32", "law", "shard", "slot"])
+        assert all(r["kept"] == "kept" and r["th"] == "th" for r in docs.collect())
     failed = {i for i, t in text.items() if len(words(t)) < 50}
     assert not failed & set(kept[0])
-    want = simhash_brute([(i, text[i]) for i in kept[0]])
-    assert sorted(kept[1]) == sorted({c for _, c in want.values()})
+    assert sorted(kept[1]) == near_brute([(i, text[i]) for i in kept[0]])
     assert sorted(kept[2]) == sorted(i for i in kept[1] if item not in text[i])
     assert set(kept[3]) <= set(kept[2]) and max(Counter(kept[3]).values()) <= 2
     assert Counter(kept[4]) == Counter(kept[3])
     n = Counter(r["shard"] for r in docs.collect())
     assert max(n.values()) - min(n.get(s, 0) for s in range(16)) <= 1
+
+
+def test_line_labels_mix():
+    """Lines of menus and of text in one document are told apart, whatever its label; copies don't make a line boilerplate."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(9)
+
+    def prose():
+        return " ".join(r.choice(WORDS) + str(r.randrange(99)) for _ in range(30)) + "."
+
+    def menu():
+        return " | ".join(r.choice(WORDS) for _ in range(8))
+
+    def document():
+        kinds = [r.random() < 0.6 for _ in range(12)]
+        return "\n".join(prose() if k else menu() for k in kinds) + "\nRead more here", [*kinds, False]
+
+    made = [document() for _ in range(60)]
+    lines = quality.Lines(pa.array([t for t, _ in made]))
+    bounds = list(zip(lines.first[:-1], lines.first[1:]))
+    xs, hs = [lines.x[a:b] for a, b in bounds], [lines.line[a:b] for a, b in bounds]
+    ys = quality.line_labels([int(30 * sum(k) > 15 * (12 - sum(k))) for _, k in made], xs, hs)
+    crf = quality.ChainCRF(quality.FEATURES).fit(np.concatenate(xs[:40]), np.concatenate(ys[:40]), np.append(0, np.cumsum([len(x) for x in xs[:40]])))
+    first = np.append(0, np.cumsum([len(x) for x in xs[40:]]))
+    got = crf.decode(np.concatenate(xs[40:]), first)
+    truth = np.concatenate([k for _, k in made[40:]])
+    assert (got == truth).mean() > 0.93
+    assert [y.tolist() for y in quality.line_labels([1] * 4, [xs[0]] * 4, [hs[0]] * 4)][0] == (~quality.marked(xs[0])).astype(int).tolist()
+
+
+def test_html_is_linear():
+    import time
+
+    for page in ("<div>x" * 40_000, "<a '" * 60_000, "<a '>'" * 40_000, "<b>" * 30_000 + "</i><hr>" * 20_000, "<p>x</q>" * 30_000):
+        start = time.perf_counter()
+        html_extract.blocks(page)
+        assert time.perf_counter() - start < 5
+
+
+def test_tool_schemas(spark):
+    schema = {"type": "object", "required": ["to"], "properties": {"to": {"type": "array", "items": {"type": "string"}}, "how": {"enum": ["fast", "slow"]}, "box": {"type": "object", "properties": {"w": {"type": "number"}}, "required": ["w"]}}}
+    fault = lambda v: chat.fault_of(v, schema)
+    assert fault({"to": ["a"], "how": "fast", "box": {"w": 1.5}}) is None and fault({}) == "missing to" and fault({"to": ["a", 1]}) == "to[1] is not string"
+    assert fault({"to": [], "how": "x"}) == "how is not one of its values" and fault({"to": [], "box": {}}) == "missing box.w" and fault({"to": [], "box": {"w": True}}) == "box.w is not number"
+    assert fault({"to": [], "no": 1}) == "unknown parameter no" and fault([]) == "arguments is not object"
+    assert chat.canonical('{"b": 1, "a": "\\ud800x"}') == '{"a":"\\ud800x","b":1}' and chat.canonical('{"a": NaN}') is None and chat.canonical("[1e999]") is None
+    table = spark.createDataFrame([("ping", '{"type": "object", "properties": {"n": {"type": "integer"}}}')], "name string, schema string")
+    import json
+
+    turn = json.dumps({"tool_calls": [{"id": "a", "name": "ping", "arguments": '{"n": "\\udcff"}'}, {"id": "b", "name": "ping", "arguments": '{"\\ud800": 1}'}]})
+    got = chat.linked(spark.createDataFrame([(1, 0, "assistant", turn, "z", 1)], "conv_id long, turn long, role string, text string, json string, n int"), chat.schemas_of(table)).collect()
+    assert sorted(r["status"] for r in got) == ["n is not integer", "unknown parameter \\ud800"]
+
+
+def test_linking_against_brute_force(spark):
+    import json
+
+    r = random.Random(11)
+    rows, want = [], {}
+    for c in range(12):
+        names = [f"k{i}" for i in range(r.randint(1, 6))]
+        turns, deps = [], {x: r.sample(names[:k], r.randint(0, min(k, 2))) for k, x in enumerate(names)}
+        order = list(names)
+        r.shuffle(order)
+        for x in order:
+            turns.append(json.dumps({"tool_calls": [{"id": x, "name": "search", "arguments": json.dumps({"query": " ".join(f"${{{d}}}" for d in deps[x])})}]}))
+        answers = [x for x in names if r.random() < 0.7] + ["none"]
+        r.shuffle(answers)
+        turns += [json.dumps({"tool_call_id": x, "content": x}) for x in answers]
+        r.shuffle(turns)
+        rows += [(c, t, "assistant", x) for t, x in enumerate(turns)]
+        want[c] = (deps, set(answers))
+    got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    for c, (deps, answers) in want.items():
+        own = sorted((x for x in got if x["conv_id"] == c), key=lambda x: x["position"])
+        name = lambda x: (x["kind"], json.loads(x["json"]).get("id") or json.loads(x["json"]).get("tool_call_id"))
+        place = {name(x): k for k, x in enumerate(own)}
+        assert [x["position"] for x in own] == list(range(len(own)))
+        for x, before in deps.items():
+            assert all(place[("call", d)] < place[("call", x)] and (d not in answers or place[("result", d)] < place[("call", x)]) for d in before)
+            assert x not in answers or place[("call", x)] < place[("result", x)]
+        assert {name(x): x["status"] for x in own} == {("call", x): "ok" if x in answers else "no result" for x in deps} | {("result", x): "ok" if x in deps else "orphan" for x in answers}
