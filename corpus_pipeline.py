@@ -5,40 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quillwork.llm import decontam, mixing, quality, sharding, simhash
+from quillwork.llm import decontam, mixing, near, quality, sharding
 from quillwork.llm.common import materialize, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the line CRF learns from the labelled rows among docs."""
-    crf = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.kept(docs, crf)
+    """Documents that the quality rules keep; the line CRF learns from the labelled rows among docs. Null and empty texts go."""
+    return quality.kept(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates by SimHash.
+    """One document, that of the smallest doc_id (null being the largest), of each group of near-duplicates.
 
-    The radius is op3's, 3 bits over 3-word shingles; many pairs of a five-word Jaccard of 0.8 are further apart (README).
+    Groups are those of SimHash (op3) joined with those of five-word shingles of similarity 0.8 or more, which the fingerprints alone
+    don't reach (README). Null and empty texts are one group, repeated rows are copies.
     """
-    return simhash.representatives(docs)
+    return near.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; null and empty texts, null ids and repeated rows stay."""
     return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of the sources takes them: not, once or twice (rows repeat)."""
+    """Documents as often as the mix of the sources takes them: not, once or twice (rows repeat). A null source is one source."""
     return mixing.remixed(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix with each row's size, text_crc32, law, shard and slot."""
+    """The mix with each row's size, text_crc32, law, shard and slot, which take the place of columns of these names."""
     return sharding.with_shards(docs)
 
 
