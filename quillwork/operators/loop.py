@@ -35,6 +35,8 @@ def correct(sentences: DataFrame, predictor: Predictor, threshold: float = 0.8,
     """
     spark = sentences.sparkSession
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillwork-"))
@@ -68,3 +70,19 @@ def first_piece_labels(encoded: DataFrame) -> DataFrame:
     w = F.col("word_ids")
     label = F.transform(w, lambda x, i: F.when(x.isNull() | ((i > 0) & x.eqNullSafe(F.try_element_at(w, i))), F.lit(None)).otherwise(F.coalesce(F.try_element_at(F.col("tags"), x + 1), F.lit("$KEEP"))))
     return encoded.withColumn("labels", label)
+
+
+def weighted_loss(rows: DataFrame, weights: list[float], batch: str = "batch") -> DataFrame:
+    """batch, n, loss for rows (batch, logits array<double>, label int): the cross-entropy weighted by class, over the rows with a label
+    (ignored ones are null). A batch without labels has no row."""
+    x = F.col("logits")
+    top = F.array_max(x)
+    log_sum = top + F.log(F.aggregate(F.transform(x, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v))
+    w = F.get(F.array(*[F.lit(float(v)) for v in weights]), F.col("label"))
+    each = rows.where("label is not null").select(F.col(batch), w.alias("w"), (log_sum - F.get(x, F.col("label"))).alias("nll"))
+    return each.groupBy(batch).agg(F.count("w").alias("n"), (F.sum(F.col("w") * F.col("nll")) / F.sum("w")).alias("loss"))
+
+
+def epoch_losses(batches: DataFrame) -> DataFrame:
+    """epoch, mean_loss: the mean over an epoch's batches (epoch, loss)."""
+    return batches.groupBy("epoch").agg(F.avg("loss").alias("mean_loss"))

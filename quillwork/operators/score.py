@@ -46,7 +46,8 @@ def compare(hyp: DataFrame, ref: DataFrame) -> DataFrame:
     h = hyp.groupBy("sent_id", "key").agg(F.collect_list("cat").alias("hc"))
     r = ref.groupBy("sent_id", "coder", "key").agg(F.collect_list("cat").alias("rc"))
     coders = ref.select("sent_id", "coder").distinct()
-    h = h.join(coders, "sent_id")
+    coder = F.lit(0).cast(dict(ref.dtypes)["coder"])  # a sentence without a reference edit has coder 0
+    h = h.join(coders, "sent_id", "left").withColumn("coder", F.coalesce("coder", coder))
     j = h.join(r, ["sent_id", "coder", "key"], "full_outer")
     noop_h, noop_r = F.coalesce(F.element_at("hc", 1) == "noop", F.lit(False)), F.coalesce(F.element_at("rc", 1) == "noop", F.lit(False))
     kind = F.when(F.col("hc").isNotNull() & F.col("rc").isNotNull() & ~noop_h, "tp").when(F.col("rc").isNull() & ~noop_h, "fp").when(F.col("hc").isNull() & ~noop_r, "fn")
@@ -102,15 +103,16 @@ def best_annotator(counts: DataFrame, sentences: DataFrame, beta: float = 0.5) -
     rows = sentences.join(sums, ["sent_id", "coder"], "left").na.fill(0, ["tp", "fp", "fn"])
     sizes = sentences.groupBy("sent_id").agg(F.count("*").alias("n"))
     rows = rows.join(sizes, "sent_id")
-    single = rows.where("n = 1")
-    many = rows.where("n > 1")
-    part = single.withColumn("b", F.floor(F.col("sent_id") / 65536)).groupBy("b").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for 65,536 sentences
-    part = part.select("b", *[F.coalesce(F.sum(c).over(running), F.lit(0)).alias(f"_{c}") for c in ("tp", "fp", "fn")])
+    single, many = rows.where("n = 1"), rows.where("n > 1")
+    # what the single-coder sentences before each sentence with several coders add up to: prefix sums over pieces of 65,536 sentences
+    counts_of = ("tp", "fp", "fn")
+    stream = single.select("sent_id", *counts_of, F.lit(False).alias("open")).unionByName(many.select("sent_id", *[F.lit(0).cast("long").alias(c) for c in counts_of], F.lit(True).alias("open")).distinct())
+    stream = stream.withColumn("b", F.floor(F.col("sent_id") / 65536))
+    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    part = stream.groupBy("b").agg(*[F.sum(c).alias(c) for c in counts_of]).select("b", *[F.coalesce(F.sum(c).over(running), F.lit(0)).alias(f"_{c}") for c in counts_of])
     inside = Window.partitionBy("b").orderBy("sent_id").rowsBetween(Window.unboundedPreceding, 0)
-    base = single.withColumn("b", F.floor(F.col("sent_id") / 65536)).join(part, "b").select("sent_id", *[(F.col(f"_{c}") + F.sum(c).over(inside)).alias(f"s{c}") for c in ("tp", "fp", "fn")])
-    marks = many.select("sent_id", "coder", "place", "tp", "fp", "fn", F.lit(None).cast("bigint").alias("stp"), F.lit(None).cast("bigint").alias("sfp"), F.lit(None).cast("bigint").alias("sfn"))
-    stream = marks.unionByName(base.select("sent_id", F.lit(None).cast(dict(many.dtypes)["coder"]).alias("coder"), F.lit(-1).alias("place"), F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.lit(0).alias("fn"), "stp", "sfp", "sfn"), allowMissingColumns=True)
+    base = stream.join(part, "b").select("sent_id", "open", *[(F.col(f"_{c}") + F.sum(c).over(inside)).alias(f"s{c}") for c in counts_of]).where("open").drop("open")
+    stream = many.join(base, "sent_id").select("sent_id", "coder", "place", *counts_of, *[f"s{c}" for c in counts_of])
 
     def score(tp, fp, fn):
         p = tp / (tp + fp) if fp else 1.0
@@ -118,11 +120,9 @@ def best_annotator(counts: DataFrame, sentences: DataFrame, beta: float = 0.5) -
         return round((1 + beta**2) * p * r / (beta**2 * p + r), 4) if p + r else 0.0
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen, of_many, of_single = [], [0, 0, 0], [0, 0, 0]
+        chosen, of_many = [], [0, 0, 0]
         for sent, g in pdf.sort_values(["sent_id", "place"]).groupby("sent_id", sort=True):
-            if g["place"].iloc[0] == -1:
-                of_single = [int(g[c].iloc[0]) for c in ("stp", "sfp", "sfn")]
-                continue
+            of_single = [int(g[c].iloc[0]) for c in ("stp", "sfp", "sfn")]
             best = None
             for row in g.itertuples():
                 own = (int(row.tp), int(row.fp), int(row.fn))

@@ -11,6 +11,7 @@ from quillwork.sources import io
 
 from .derived import derived_edits, doc_tokens, flat, hypotheses, sentence_pairs, table
 from .oracles import ORACLES
+from .roundtrips import QUERIES as ROUNDTRIPS
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -343,3 +344,4 @@ QUERIES = {f.__name__: f for f in (
     prf_by_category, prf_token_detection, prf_span_detection, prf_correction_type, prf_rollup, best_annotator, binary_fbeta, class_fbeta, class_fbeta_exact, sequence_run_f1, char_levenshtein,
     similarity_ratio, align_edits, typed_edits, sobel_edges, edge_profile, autocorr_peak, reflection_score_axis0, image_features, correction_loop,
 )}
+QUERIES |= ROUNDTRIPS

@@ -6,6 +6,7 @@ from quillwork.functions.text import PUNCT
 from quillwork.operators import reclass, tags
 
 from .derived import EDITS_SQL, HYP_SQL, TOKENS_SQL
+from .roundtrips import ORACLES as ROUNDTRIPS
 
 
 def _q(s: str) -> str:
@@ -184,3 +185,13 @@ ORACLES = {
     "autocorr_peak": "WITH h AS (SELECT event_type, floor(epoch(ts) / 3600)::BIGINT AS h, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), d AS (SELECT event_type, h, n - avg(n) OVER (PARTITION BY event_type) AS v FROM h), e AS (SELECT event_type, sum(v * v) AS en FROM d GROUP BY 1), r AS (SELECT a.event_type, lag, round(sum(a.v * b.v) / (any_value(en) + 1e-8), 6) AS a FROM d a, (SELECT unnest(generate_series(2, 24)) AS lag) JOIN d b ON b.event_type = a.event_type AND b.h = a.h + lag JOIN e ON e.event_type = a.event_type GROUP BY 1, 2) SELECT event_type, arg_min(lag, round(-a * 1000000)::BIGINT * 100 + lag)::INT AS lag, max(a) AS peak FROM r GROUP BY event_type",
     "reflection_score_axis0": "WITH g AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, abs(v)::DOUBLE AS v FROM (SELECT vec_id, unnest(generate_series(0, 63)) AS k, unnest(embedding) AS v FROM embeddings) WHERE k // 8 >= 1 AND k // 8 < 7) SELECT a.vec_id, round(sum(a.v * b.v) / (sum(a.v * a.v) + 1e-6), 6) AS score FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.y = b.y AND a.x = 7 - b.x GROUP BY a.vec_id",
 }
+
+_BY_SOURCE = f"""u AS (SELECT e.*, array_to_string(e.toks, ' ') AS src, doc_id * 1000000 + "start" AS ord FROM e),
+k AS (SELECT src, ord, "start", "end", n, {_full('b', 'correction', False)} AS tag FROM (SELECT *, {_case(tags.GENERATION_A)} AS b FROM u)),
+o AS (SELECT src, ord, unnest(CASE WHEN "end" = "start" THEN generate_series("start" - 1, "start" - 1) WHEN "start" >= n OR "end" > n THEN [] ELSE generate_series("start", "end" - 1) END) AS pos, "start", "end", tag FROM k),
+l AS (SELECT src, pos, arg_max(CASE WHEN "end" = "start" THEN '$APPEND' WHEN pos > "start" THEN '$DELETE' ELSE tag END, ord) AS tag FROM o WHERE pos >= 0 GROUP BY src, pos),
+s AS (SELECT src, arg_min('t' || doc_id, ord) AS target, any_value(n) AS n FROM u GROUP BY src),
+f AS (SELECT src, unnest(generate_series(0, n - 1)) AS pos FROM s)"""
+ORACLES |= ROUNDTRIPS | {
+    "tags_by_source": f"{_E}, {_BY_SOURCE} SELECT md5(src) AS source_md5, any_value(target) AS target, 'd' AS dataset, md5(string_agg(coalesce(tag, '$KEEP'), chr(10) ORDER BY pos)) AS tags_md5 FROM f LEFT JOIN l USING (src, pos) JOIN s USING (src) GROUP BY src",
+}

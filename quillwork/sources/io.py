@@ -48,12 +48,22 @@ def read_pairs_csv(spark: SparkSession, path: str, **extra: str) -> DataFrame:
     return out.withColumns({k: F.lit(v) for k, v in extra.items()})
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_registry(spark: SparkSession, registry: dict[str, dict[str, str]]) -> DataFrame:
-    """All pair files of {dataset: {split: path}}, with dataset and split."""
-    parts = [read_pairs_csv(spark, path, dataset=d, split=s) for d, splits in registry.items() for s, path in splits.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """All pair files of {dataset: {split: path}}, with dataset and split. Files that are missing or lack the two columns are skipped;
+    none at all gives an empty table."""
+    out = spark.createDataFrame([], "row_idx long, source string, target string, dataset string, split string")
+    for d, splits in registry.items():
+        for s, path in splits.items():
+            if exists(spark, path):
+                try:
+                    out = out.unionByName(read_pairs_csv(spark, path, dataset=d, split=s))
+                except ValueError:
+                    continue
     return out
 
 
@@ -104,6 +114,38 @@ def write_m2(blocks: DataFrame, path: str, mode: str = "error") -> None:
     out.write.mode(mode).option("lineSep", "\n\n").text(path)
 
 
+def merge_m2(spark: SparkSession, paths: list[str], path: str, mode: str = "error") -> None:
+    """The blocks of several files or folders, in the order of paths, as one; mode "append" adds them to what is there."""
+    before, every = 0, None
+    for p in paths:
+        own = read_m2(spark, p)
+        n = own.agg(F.max("sent_id").alias("n")).first()["n"]
+        own = own.withColumn("sent_id", F.col("sent_id") + F.lit(before))
+        before += (n or 0) + 1
+        every = own if every is None else every.unionByName(own)
+    write_m2(every, path, mode)
+
+
+def write_combined(pairs: DataFrame, source_path: str, target_path: str, order: tuple[str, ...] = ("dataset", "row_idx"), mode: str = "error") -> None:
+    """The sources and the targets of all datasets as two line-aligned texts, in the order given."""
+    for column, path in (("source", source_path), ("target", target_path)):
+        line = strip_space(F.regexp_replace(F.col(column), r"[\r\n]+", " "))
+        pairs.repartitionByRange(*order).sortWithinPartitions(*order).select(line.alias("value")).write.mode(mode).text(path)
+
+
+def write_annotated(df: DataFrame, path: str, mode: str = "error") -> None:
+    """The full table with a header; an index column is row_idx if it is there."""
+    df.write.mode(mode).csv(path, header=True, escape='"', emptyValue="")
+
+
+def report_lines(scores: DataFrame, name: str = "class", columns: tuple[str, ...] = ("tp", "fp", "fn", "prec", "rec", "f")) -> DataFrame:
+    """place, value: an aligned text of scores, a row each by name, under a header; write.text makes it a file."""
+    head = f"{name:<20}" + "".join(f"{c:>12}" for c in columns)
+    cells = [F.lpad(F.format_string("%.4f", F.col(c).cast("double")) if dict(scores.dtypes)[c] == "double" else F.col(c).cast("string"), 12, " ") for c in columns]
+    rows = scores.select(F.col(name).alias("place"), F.concat(F.rpad(F.col(name), 20, " "), *cells).alias("value"))
+    return scores.sparkSession.createDataFrame([("", head)], "place string, value string").unionByName(rows)
+
+
 def flat_edits(blocks: DataFrame) -> DataFrame:
     """sent_id, source, start_tok, end_tok, err_type, correction; a no-op becomes (-1, -1, correct, '')."""
     e = blocks.select("sent_id", "source", F.posexplode("edits").alias("edit_idx", "e"))

@@ -145,3 +145,48 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     want = tag_blocks(io.read_m2(spark, str(tmp_path / "in/a.m2")))
     assert sorted(map(str, spark.table("tagged").collect())) == sorted(map(str, want.collect()))
+
+
+def test_hypotheses_of_sentences_without_reference_edits_count(spark):
+    from quillwork.operators import score
+
+    hyp = spark.createDataFrame([(1, "a", "R:X"), (2, "b", "R:X"), (3, "noop", "noop")], "sent_id long, key string, cat string")
+    ref = spark.createDataFrame([(1, 0, "a", "R:X"), (1, 1, "c", "R:X")], "sent_id long, coder int, key string, cat string")
+    got = sorted((r["sent_id"], r["coder"], r["tp"], r["fp"], r["fn"]) for r in score.compare(hyp, ref).collect())
+    assert got == [(1, 0, 1, 0, 0), (1, 1, 0, 1, 1), (2, 0, 0, 1, 0)]
+
+
+def test_best_annotator_against_a_plain_loop(spark):
+    import random
+
+    from quillwork.operators import score
+
+    r = random.Random(3)
+    rows = [(s * 40000, c, r.randint(0, 4), r.randint(0, 4), r.randint(0, 4)) for s in range(30) for c in range(r.choice([1, 1, 2, 3]))]
+    counts = spark.createDataFrame([(s, c, "X", *n) for s, c, *n in rows], "sent_id long, coder int, cat string, tp long, fp long, fn long")
+    sents = spark.createDataFrame([(s, c, c) for s, c, *_ in rows], "sent_id long, coder int, place int")
+    total, want = [0, 0, 0], set()
+
+    def f(tp, fp, fn):
+        p, q = tp / (tp + fp) if fp else 1.0, tp / (tp + fn) if fn else 1.0
+        return round(1.25 * p * q / (0.25 * p + q), 4) if p + q else 0.0
+
+    for s in sorted({x[0] for x in rows}):
+        best = max(((f(*[a + b for a, b in zip(n, total)]), n[0], -n[1], -n[2]), -c, c, n) for s_, c, *n in rows if s_ == s)
+        want.add((s, best[2]))
+        total = [a + b for a, b in zip(total, best[3])]
+    assert {(x["sent_id"], x["coder"]) for x in score.best_annotator(counts, sents).collect()} == want
+
+
+def test_registry_skips_and_reports(spark, tmp_path):
+    from quillwork.sources import io
+
+    spark.createDataFrame([("a", "b"), ("c", None)], "source string, target string").coalesce(1).write.csv(str(tmp_path / "x"), header=True)
+    spark.createDataFrame([("a",)], "other string").write.csv(str(tmp_path / "y"), header=True)
+    got = io.read_registry(spark, {"d": {"train": str(tmp_path / "x"), "val": str(tmp_path / "y"), "test": str(tmp_path / "none")}})
+    assert [tuple(r) for r in got.collect()] == [(0, "a", "b", "d", "train")]
+    assert io.read_registry(spark, {"d": {"test": str(tmp_path / "none")}}).count() == 0
+    io.write_annotated(spark.createDataFrame([(0, 'say "x"', "")], "row_idx long, source string, tag string"), str(tmp_path / "z"))
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "z"), header=True, escape='"').collect()] == [("0", 'say "x"', None)]
+    lines = io.report_lines(spark.createDataFrame([("$KEEP", 3, 0.5)], "class string, tp long, f double"), columns=("tp", "f")).orderBy("place").collect()
+    assert [r["value"] for r in lines] == ["class                         tp           f", "$KEEP                          3      0.5000"]
