@@ -2,14 +2,17 @@
 64, a radius that no covering masks reach with usable buckets.
 
 Min-hash bands find candidates (a pair at 0.8 meets in one of 32 bands of 4 with probability 1 - 5e-8), and the whole shingle sets
-decide. A bucket of up to SMALL texts is compared pair by pair; in a larger one all are compared with one of them, the leader, and
-those that are no copies meet again under another leader, round by round, until a round finds no copy.
+decide. A bucket of up to SMALL texts is compared pair by pair; in a larger one all are compared with one of them, the leader, which
+joins most of a group of copies. What stands outside the largest component of such a bucket then leads in turn, LEADERS of a bucket,
+then LEADERS times as many, each compared with the members of other components, until a bucket is one component or all have led: no
+link between components is lost, and within a component none is looked for.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from .simhash import _grouped, fingerprint, one_of_each
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SMALL = 32, 4, 32
+LEADERS, CELL = 16, 4096
 _SLICE = 1 << 20
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -65,46 +69,74 @@ def _sets(batches):
 
 
 def _similar(batches):
+    """The pairs alike: the hashes of a pair are shifted by a number of its own, so that one search counts those of a whole batch."""
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(both >= SIMILARITY * (len(x) + len(y) - both))
+        ends = [np.append(0, np.cumsum(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False) // 8)).astype(int) for k in (2, 3)]
+        own = mix64(np.arange(1, batch.num_rows + 1, dtype=np.uint64))
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64) + np.repeat(own, np.diff(e)) for k, e in zip((2, 3), ends))
+        y.sort()
+        met = np.zeros(len(x), bool)
+        if len(y):
+            met = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+        both = np.diff(np.append(0, np.cumsum(met))[ends[0]])
+        ok = both >= SIMILARITY * (np.diff(ends[0]) + np.diff(ends[1]) - both)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def similar_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b (hashes of texts): links of similarity SIMILARITY or more among nodes (th, bands) that join whatever is alike.
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are alike; each text that a pair names is shingled once."""
+    pairs = materialize(pairs.distinct(), "near-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    sets = materialize(small_batches(texts.join(needed, "th", "left_semi").dropDuplicates(["th"]).select("th", "text")).mapInArrow(trimmed(_sets), "th long, own binary"), "near-sets")
+    both = pairs.join(sets.select(F.col("th").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
+    both = both.where(F.least(F.length("x"), F.length("y")) >= F.greatest(F.length("x"), F.length("y")) * SIMILARITY)
+    found = materialize(small_batches(both).mapInArrow(trimmed(_similar), "a long, b long"), "near-links")
+    discard(sets)
+    discard(pairs)
+    return found
 
-    texts: th, text of all nodes (more rows do no harm). Texts without words have no bands and no links.
+
+def _led(rows: DataFrame, links: DataFrame, most: int) -> tuple[DataFrame, DataFrame] | None:
+    """One round over the buckets of rows (band, key, th) that hold several components of links: the pairs of about most leaders a
+    bucket with its members in other components, and the rows left when the leaders, which met all they had to, leave their buckets.
+
+    Leaders come from outside the largest component of a bucket, since one end of any link between components lies there. Members of
+    a bucket are dealt to cells of CELL, and leaders copied to each, so that no task holds a hot bucket. None: nothing is left.
+    """
+    root = components(links).select(F.col("node").alias("th"), "root")
+    marked = materialize(rows.join(root, "th", "left").select("band", "key", "th", F.coalesce("root", "th").alias("c")), "near-bands")
+    sizes = marked.groupBy("band", "key", "c").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("c", "n").alias("top"), F.max("n").alias("first"), F.sum("n").alias("n"))
+    sizes = materialize(sizes.where("n > first").select("band", "key", "top", (F.col("n") - F.col("first")).alias("rest"), F.ceil(F.col("n") / CELL).alias("cells")), "near-buckets")
+    if not sizes.limit(1).count():
+        return None
+    turn = F.pmod(F.xxhash64("th", F.lit(most)), F.ceil(F.col("rest") / most)) == 0
+    members = marked.join(sizes, ["band", "key"]).withColumn("leads", (F.col("c") != F.col("top")) & turn)
+    leaders = members.where("leads").select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.col("th").alias("x"), F.col("c").alias("cx"))
+    dealt = members.select("band", "key", F.pmod(F.xxhash64("th"), F.col("cells")).alias("cell"), "th", "c")
+    pairs = leaders.join(dealt, ["band", "key", "cell"]).where("c <> cx").select(F.least("x", "th").alias("a"), F.greatest("x", "th").alias("b"))
+    return pairs, members.where("not leads").select("band", "key", "th")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """known links (a, b) and those of similarity SIMILARITY or more that join whatever is alike among nodes (th, bands).
+
+    texts: th, text of all nodes (more rows do no harm). Texts without words have no bands and no links of their own.
     """
     rows = materialize(nodes.select("th", F.posexplode("bands").alias("band", "key")), "near-bands")
-    links, turn = None, 0
-    while True:
-        buckets = materialize(rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("th", F.xxhash64("th", F.lit(turn))).alias("lead")).where("n > 1"), "near-buckets")
-        met = rows.join(buckets, ["band", "key"])
-        pairs = met.where(F.col("n") > SMALL).where("th <> lead").select(F.least("th", "lead").alias("a"), F.greatest("th", "lead").alias("b"))
-        if turn == 0:  # small buckets are compared whole, once
-            small = met.where(F.col("n") <= SMALL).select("band", "key", "th")
-            other = small.withColumnRenamed("th", "b")
-            pairs = pairs.unionByName(small.withColumnRenamed("th", "a").join(other, ["band", "key"]).where("a < b").select("a", "b"))
-        pairs = materialize(pairs.distinct(), "near-pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-        sets = materialize(small_batches(texts.join(needed, "th", "left_semi").dropDuplicates(["th"]).select("th", "text")).mapInArrow(trimmed(_sets), "th long, own binary"), "near-sets")
-        both = pairs.join(sets.select(F.col("th").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-        found = materialize(small_batches(both).mapInArrow(trimmed(_similar), "a long, b long"), "near-links")
-        discard(sets)
-        discard(pairs)
-        links = found if links is None else links.unionByName(found)
-        large = buckets.where(F.col("n") > SMALL)
-        if not found.limit(1).count() or not large.limit(1).count():
-            return links
-        # only what leads its group goes on, and only in the large buckets
-        gone = components(found).where("node <> root").select(F.col("node").alias("th"))
-        left = materialize(rows.join(large.select("band", "key"), ["band", "key"], "left_semi").join(gone, "th", "left_anti"), "near-bands")
-        discard(rows)
-        rows, turn = left, turn + 1
+    buckets = materialize(rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("th", F.xxhash64("th")).alias("lead")).where("n > 1"), "near-buckets")
+    met = rows.join(buckets, ["band", "key"])
+    large = met.where(F.col("n") > SMALL).where("th <> lead")
+    small = met.where(F.col("n") <= SMALL).select("band", "key", "th")
+    pairs = large.select(F.least("th", "lead").alias("a"), F.greatest("th", "lead").alias("b")).unionByName(
+        small.withColumnRenamed("th", "a").join(small.withColumnRenamed("th", "b"), ["band", "key"]).where("a < b").select("a", "b"))
+    links = known.unionByName(_compared(pairs, texts))
+    left, most = materialize(large.select("band", "key", "th"), "near-bands"), LEADERS
+    while (led := _led(left, links, most)) is not None:
+        links = links.unionByName(_compared(led[0], texts))
+        after = materialize(led[1], "near-bands")
+        discard(left)
+        left, most = after, most * LEADERS
+    return links
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -113,11 +145,11 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     own = materialize(small_batches(rows).mapInArrow(trimmed(_sketches), "doc_id long, th long, fp long, bands array<long>"), "near-sketches")
     by = materialize(own.select("doc_id", "th", "fp").join(materialize(_grouped(own.select("doc_id", "th", "fp")), "near-groups").select("fp", "root"), "fp").select("doc_id", "th", "root"), "near-roots")
-    links = similar_pairs(own.select("th", "bands").dropDuplicates(["th"]), rows.select("th", "text"))
     alike = by.select("th", "root").distinct()
     first = alike.groupBy("root").agg(F.min("th").alias("a"))
     same = alike.join(first, "root").where("a < th").select("a", F.col("th").alias("b"))
-    joined = components(links.unionByName(same)).select(F.col("node").alias("th"), F.col("root").alias("r"))
+    links = similar_links(own.select("th", "bands").dropDuplicates(["th"]), rows.select("th", "text"), materialize(same, "near-links"))
+    joined = components(links).select(F.col("node").alias("th"), F.col("root").alias("r"))
     return by.join(joined, "th", "left").select("doc_id", "th", F.coalesce("r", "th").alias("group"))
 
 

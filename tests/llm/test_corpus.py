@@ -559,6 +559,24 @@ def test_near_copies_in_large_buckets(spark):
     assert got.columns == df.columns and sorted(x["doc_id"] for x in got.collect()) == near_brute(rows)
 
 
+def test_near_copies_around_the_threshold(spark, monkeypatch):
+    """Texts of one large bucket that are alike pair by pair, not all like any of them: no link between components is lost."""
+    for name, value in (("SMALL", 4), ("LEADERS", 2), ("CELL", 16)):
+        monkeypatch.setattr(near, name, value)
+    r = random.Random(8)
+    base = [r.choice(WORDS) + str(r.randrange(50)) for _ in range(150)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for k in range(r.choice((1, 3, 4, 5))):
+            w[r.randrange(150)] = f"neu{i}x{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = near_brute(rows)
+    assert 1 < len(expected) < 60
+    assert sorted(x["doc_id"] for x in near.representatives(df).collect()) == expected
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
