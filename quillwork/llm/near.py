@@ -22,6 +22,7 @@ from .simhash import _grouped, fingerprint, one_of_each
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SMALL = 32, 4, 32
 LEADERS, CELL = 16, 4096
+FEW = 1_000_000
 _SLICE = 1 << 20
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -84,15 +85,20 @@ def _similar(batches):
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are alike; each text that a pair names is shingled once."""
+    """The pairs (a, b) whose texts are alike; each text that a pair names is shingled once.
+
+    The ids of these texts are counted: up to FEW are broadcast, so that only texts that a pair names move; beyond, the join shuffles.
+    """
     pairs = materialize(pairs.distinct(), "near-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    sets = materialize(small_batches(texts.join(needed, "th", "left_semi").dropDuplicates(["th"]).select("th", "text")).mapInArrow(trimmed(_sets), "th long, own binary"), "near-sets")
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "near-needed")
+    named = F.broadcast(needed) if needed.count() <= FEW else needed
+    sets = materialize(small_batches(texts.join(named, "th", "left_semi").dropDuplicates(["th"]).select("th", "text")).mapInArrow(trimmed(_sets), "th long, own binary"), "near-sets")
     both = pairs.join(sets.select(F.col("th").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
     both = both.where(F.least(F.length("x"), F.length("y")) >= F.greatest(F.length("x"), F.length("y")) * SIMILARITY)
     found = materialize(small_batches(both).mapInArrow(trimmed(_similar), "a long, b long"), "near-links")
     discard(sets)
     discard(pairs)
+    discard(needed)
     return found
 
 
@@ -124,7 +130,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, known: DataFrame) -> DataF
     """
     rows = materialize(nodes.select("th", F.posexplode("bands").alias("band", "key")), "near-bands")
     buckets = materialize(rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("th", F.xxhash64("th")).alias("lead")).where("n > 1"), "near-buckets")
-    met = rows.join(buckets, ["band", "key"])
+    met = materialize(rows.join(buckets, ["band", "key"]), "near-met")
+    discard(rows)
+    discard(buckets)
     large = met.where(F.col("n") > SMALL).where("th <> lead")
     small = met.where(F.col("n") <= SMALL).select("band", "key", "th")
     pairs = large.select(F.least("th", "lead").alias("a"), F.greatest("th", "lead").alias("b")).unionByName(
