@@ -137,10 +137,12 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     The row of the smallest doc_id stays, null being the largest; of rows of that id the one of the smallest hash of the text.
     """
     best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("b"))
-    keep = best.select(F.col("b.doc_id").alias("k_doc"), F.col("b.th").alias("k_th")).distinct()
-    own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
-    own = own.join(keep, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("th") == F.col("k_th")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.lit(0)))
+    # plain keys, the same for the join and the ranks, so that whole rows are shuffled once
+    key = lambda doc: (F.coalesce(doc, F.lit(0)).alias("id"), doc.isNull().alias("none"))
+    keep = best.select(*key(F.col("b.doc_id")), F.col("b.th").alias("th")).distinct()
+    own = docs.select(whole_row(docs), *key(F.col("doc_id").cast("long")), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    own = own.join(keep, ["id", "none", "th"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("id", "none", "th").orderBy(F.lit(0)))
     return own.select("row", nth.alias("nth")).where("nth = 1").select("row.*")
 
 
