@@ -1,11 +1,14 @@
 """Near copies by the similarity of five-word shingles, beside SimHash: the fingerprints of pairs at 0.8 differ in about ten bits of
 64, a radius that no covering masks reach with usable buckets.
 
-Min-hash bands find candidates (a pair at 0.8 meets in one of 32 bands of 4 with probability 1 - 5e-8), and the whole shingle sets
-decide. A bucket of up to SMALL texts is compared pair by pair; in a larger one all are compared with one of them, the leader, which
-joins most of a group of copies. What stands outside the largest component of such a bucket then leads in turn, LEADERS of a bucket,
-then LEADERS times as many, each compared with the members of other components, until a bucket is one component or all have led: no
-link between components is lost, and within a component none is looked for.
+Min-hash bands find the texts that may be alike (a pair at 0.8 meets in one of 32 bands of 4 with probability 1 - 5e-8), and the whole
+shingle sets decide. Each text of a bucket is compared with one of them, the leader, whose shingles are the most frequent: it joins most
+of a group of copies. What is left is found by prefixes: a pair of similarity 0.8 shares at least 4/9 of its two sizes, so that, with
+the shingles of each text ordered from the rarest, its first common one stands early in both (PPJoin; Xiao et al., 2008). Texts of
+different components that share such a shingle at such places are compared; shingles that one text alone has come first and meet none,
+so that a text with many of its own meets few others or none, however large its group. In a prefix bucket of more than SMALL texts,
+LEADERS of those outside its largest component lead in turn, then LEADERS times as many, until a bucket is one component or all have
+led: no link between components is lost, and within a component none is looked for.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tokens, components, discard, in_arrow_batches, materialize, mix64, small_batches, trimmed, window_hash
@@ -65,16 +68,16 @@ def _sets(batches):
     for whole in batches:
         for batch in in_arrow_batches(whole, _SLICE):
             h, first = shingles(batch.column(1))
-            own = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["th", "own"])
+            own = [np.unique(h[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["th", "own"])
 
 
 def _similar(batches):
     """The pairs alike: the hashes of a pair are shifted by a number of its own, so that one search counts those of a whole batch."""
     for batch in batches:
-        ends = [np.append(0, np.cumsum(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False) // 8)).astype(int) for k in (2, 3)]
+        ends = [np.append(0, np.cumsum(pc.list_value_length(batch.column(k)).to_numpy(zero_copy_only=False))).astype(int) for k in (2, 3)]
         own = mix64(np.arange(1, batch.num_rows + 1, dtype=np.uint64))
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64) + np.repeat(own, np.diff(e)) for k, e in zip((2, 3), ends))
+        x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).view(np.uint64) + np.repeat(own, np.diff(e)) for k, e in zip((2, 3), ends))
         y.sort()
         met = np.zeros(len(x), bool)
         if len(y):
@@ -84,67 +87,86 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are alike; each text that a pair names is shingled once.
-
-    The ids of these texts are counted: up to FEW are broadcast, so that only texts that a pair names move; beyond, the join shuffles.
-    """
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (th, own) are alike."""
     pairs = materialize(pairs.distinct(), "near-pairs")
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "near-needed")
-    named = F.broadcast(needed) if needed.count() <= FEW else needed
-    sets = materialize(small_batches(texts.join(named, "th", "left_semi").dropDuplicates(["th"]).select("th", "text")).mapInArrow(trimmed(_sets), "th long, own binary"), "near-sets")
     both = pairs.join(sets.select(F.col("th").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-    both = both.where(F.least(F.length("x"), F.length("y")) >= F.greatest(F.length("x"), F.length("y")) * SIMILARITY)
     found = materialize(small_batches(both).mapInArrow(trimmed(_similar), "a long, b long"), "near-links")
-    discard(sets)
     discard(pairs)
-    discard(needed)
     return found
 
 
-def _led(rows: DataFrame, links: DataFrame, most: int) -> tuple[DataFrame, DataFrame] | None:
-    """One round over the buckets of rows (band, key, th) that hold several components of links: the pairs of about most leaders a
-    bucket with its members in other components, and the rows left when the leaders, which met all they had to, leave their buckets.
+def _enough(shared: Column, sizes: Column) -> Column:
+    """Whether two sets of these sizes together may be of similarity SIMILARITY with so many shingles in common."""
+    return shared * (1 + SIMILARITY) >= sizes * SIMILARITY - 1e-6
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """th, n (size of the set), shared (shingles that another set has), weight (mean frequency of its shingles), sh, left: a row for
+    each shingle sh that may be the rarest a text has in common with one alike; left counts it and those after it.
+
+    Shingles are ordered by their number of sets, then by themselves; those of one set alone come first and are not listed. A text
+    has no rows if too few of its shingles are shared, and then none is like it; else at least one.
+    """
+    each = sets.select("th", F.size("own").alias("n"), F.explode("own").alias("sh"))
+    often = each.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
+    of = Window.partitionBy("th")
+    ranked = each.join(often, "sh").select(
+        "th", "n", "sh", F.count("*").over(of).alias("shared"), (F.sum("df").over(of) / F.col("n")).alias("weight"), F.row_number().over(of.orderBy("df", "sh")).alias("nth"))
+    left = F.col("shared") - F.col("nth") + 1
+    return ranked.select("th", "n", "shared", "weight", "sh", "nth", left.alias("left")).where(left >= F.col("n") * SIMILARITY - 1e-6)
+
+
+def _led(rows: DataFrame, roots: DataFrame, most: int) -> tuple[DataFrame, DataFrame] | None:
+    """One round over the buckets of rows (sh, th, n, left) that hold several components (roots: node, root): the pairs of about most
+    leaders a bucket with its members in other components, and the rows left when the leaders, which met all they had to, leave.
 
     Leaders come from outside the largest component of a bucket, since one end of any link between components lies there. Members of
     a bucket are dealt to cells of CELL, and leaders copied to each, so that no task holds a hot bucket. None: nothing is left.
     """
-    root = components(links).select(F.col("node").alias("th"), "root")
-    marked = materialize(rows.join(root, "th", "left").select("band", "key", "th", F.coalesce("root", "th").alias("c")), "near-bands")
-    sizes = marked.groupBy("band", "key", "c").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("c", "n").alias("top"), F.max("n").alias("first"), F.sum("n").alias("n"))
-    sizes = materialize(sizes.where("n > first").select("band", "key", "top", (F.col("n") - F.col("first")).alias("rest"), F.ceil(F.col("n") / CELL).alias("cells")), "near-buckets")
+    marked = materialize(rows.join(roots.withColumnRenamed("node", "th"), "th", "left").select("sh", "th", "n", "left", F.coalesce("root", "th").alias("c")), "near-marked")
+    sizes = marked.groupBy("sh", "c").agg(F.count("*").alias("texts")).groupBy("sh").agg(F.max_by("c", "texts").alias("top"), F.max("texts").alias("first"), F.sum("texts").alias("texts"))
+    sizes = sizes.where("texts > first").select("sh", "top", F.when(F.col("texts") > SMALL, F.col("texts") - F.col("first")).otherwise(0).alias("rest"), F.ceil(F.col("texts") / CELL).alias("cells"))
+    sizes = materialize(sizes, "near-buckets")
     if not sizes.limit(1).count():
         return None
-    turn = F.pmod(F.xxhash64("th", F.lit(most)), F.ceil(F.col("rest") / most)) == 0
-    members = marked.join(sizes, ["band", "key"]).withColumn("leads", (F.col("c") != F.col("top")) & turn)
-    leaders = members.where("leads").select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.col("th").alias("x"), F.col("c").alias("cx"))
-    dealt = members.select("band", "key", F.pmod(F.xxhash64("th"), F.col("cells")).alias("cell"), "th", "c")
-    pairs = leaders.join(dealt, ["band", "key", "cell"]).where("c <> cx").select(F.least("x", "th").alias("a"), F.greatest("x", "th").alias("b"))
-    return pairs, members.where("not leads").select("band", "key", "th")
+    turn = (F.col("rest") == 0) | (F.pmod(F.xxhash64("th", F.lit(most)), F.greatest(F.ceil(F.col("rest") / most), F.lit(1))) == 0)
+    members = marked.join(sizes, "sh").withColumn("leads", (F.col("c") != F.col("top")) & turn)
+    leaders = members.where("leads").select("sh", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.col("th").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    dealt = members.select("sh", F.pmod(F.xxhash64("th"), F.col("cells")).alias("cell"), "th", "c", "n", "left")
+    may = (F.col("c") != F.col("cx")) & _enough(F.least("left", "lx"), F.col("n") + F.col("nx"))
+    pairs = leaders.join(dealt, ["sh", "cell"]).where(may).select(F.least("x", "th").alias("a"), F.greatest("x", "th").alias("b"))
+    return pairs, members.where("not leads").select("sh", "th", "n", "left")
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
-    """known links (a, b) and those of similarity SIMILARITY or more that join whatever is alike among nodes (th, bands).
+    """Links (a, b) whose components are those of known and of all pairs of similarity SIMILARITY or more among nodes (th, bands).
 
-    texts: th, text of all nodes (more rows do no harm). Texts without words have no bands and no links of their own.
+    texts: th, text of all nodes (more rows do no harm). Texts without words have no bands and no links of their own. The ids of texts
+    that share a band are counted: up to FEW are broadcast, so that only these texts move; beyond, the join shuffles.
     """
     rows = materialize(nodes.select("th", F.posexplode("bands").alias("band", "key")), "near-bands")
-    buckets = materialize(rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("th", F.xxhash64("th")).alias("lead")).where("n > 1"), "near-buckets")
-    met = materialize(rows.join(buckets, ["band", "key"]), "near-met")
+    met = materialize(rows.join(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key"), ["band", "key"]), "near-met")
     discard(rows)
-    discard(buckets)
-    large = met.where(F.col("n") > SMALL).where("th <> lead")
-    small = met.where(F.col("n") <= SMALL).select("band", "key", "th")
-    pairs = large.select(F.least("th", "lead").alias("a"), F.greatest("th", "lead").alias("b")).unionByName(
-        small.withColumnRenamed("th", "a").join(small.withColumnRenamed("th", "b"), ["band", "key"]).where("a < b").select("a", "b"))
-    links = known.unionByName(_compared(pairs, texts))
-    left, most = materialize(large.select("band", "key", "th"), "near-bands"), LEADERS
-    while (led := _led(left, links, most)) is not None:
-        links = links.unionByName(_compared(led[0], texts))
-        after = materialize(led[1], "near-bands")
+    needed = materialize(met.select("th").distinct(), "near-needed")
+    named = F.broadcast(needed) if needed.count() <= FEW else needed
+    sets = materialize(small_batches(texts.join(named, "th", "left_semi").dropDuplicates(["th"]).select("th", "text")).mapInArrow(trimmed(_sets), "th long, own array<long>"), "near-sets")
+    discard(needed)
+    left = materialize(_prefixes(sets), "near-prefixes")
+    met = met.join(left.where("nth = 1").select("th", "n", "shared", "weight"), "th")
+    lead = met.groupBy("band", "key").agg(F.max_by(F.struct("th", "n", "shared"), F.struct("weight", "th")).alias("lead"))
+    may = (F.col("th") != F.col("lead.th")) & _enough(F.least("shared", "lead.shared"), F.col("n") + F.col("lead.n"))
+    pairs = met.join(lead, ["band", "key"]).where(may).select(F.least("th", "lead.th").alias("a"), F.greatest("th", "lead.th").alias("b"))
+    roots, most = components(known.unionByName(_compared(pairs, sets))), LEADERS
+    while (led := _led(left, roots, most)) is not None:
+        found = _compared(led[0], sets)
+        if found.limit(1).count():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        after = materialize(led[1], "near-left")
         discard(left)
         left, most = after, most * LEADERS
-    return links
+    discard(sets)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -577,6 +577,29 @@ def test_near_copies_around_the_threshold(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in near.representatives(df).collect()) == expected
 
 
+def test_near_copies_compare_few_pairs(spark, monkeypatch):
+    """Of a large group around the threshold, pairs are compared in proportion to its texts, not to their square; no link is lost."""
+    r = random.Random(9)
+    base = [r.choice(WORDS) + str(r.randrange(50)) for _ in range(150)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for k in range(r.choice((1, 3, 5, 7, 9))):
+            w[r.randrange(150)] = f"neu{i}x{k}"
+        rows.append((i, " ".join(w)))
+    compared, plain = [], near._compared
+
+    def counted(pairs, *rest):
+        compared.append(pairs.distinct().count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(near, "_compared", counted)
+    expected = near_brute(rows)
+    assert 60 < len(expected) < 200
+    assert sorted(x["doc_id"] for x in near.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == expected
+    assert sum(compared) < 4 * len(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
