@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_extract, licenses, mixing, quality, sharding, simhash, substring, toxicity
+from . import chat, chosen, codes, decontam, html_extract, licenses, mixing, quality, repair, sharding, simhash, substring, toxicity
 from .common import read
 
 
@@ -50,6 +50,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(read(spark, sf_dir, "pages"), html_extract.train())
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(read(spark, sf_dir, "conversations"), damage=True)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_tool_call_linking": op1_tool_call_linking,
     "op2_license_scan": op2_license_scan,
@@ -61,4 +73,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
