@@ -1,14 +1,15 @@
 """Near-duplicates by a chosen-path set similarity join (after Christiani and Pagh, 2017, and Christiani, Pagh and Sivertsen, 2018).
 
 Each text is its set of five-word shingles, and has AXES minwise tokens: two texts share the token of an axis with a probability that
-is their similarity. TREES trees deal the texts to nodes: from the root, and from each node too large to compare, the texts branch by
-the tokens of BRANCH axes that the node's path chooses. A pair at 0.85 loses every branch of a node with probability 0.15**2, so that
-it leaves a tree with at most 0.15**2 at the root and 0.031 at each of its other branchings together, and all 6 trees with about 1e-9.
+is their similarity. TREES trees deal the texts to nodes: by the tokens of BRANCH axes at the root, and from each node too large to
+compare by those of one axis, or in half of the nodes two, that the node's path chooses. A text has 1.5 copies a level, so that pairs
+below 0.67 thin out, while a pair at 0.85 has 1.275. Such a pair is lost below a node with a probability q of 0.24 at most
+(q = t (1 + t) / 2 with t = 0.15 + 0.85 q), and in all 12 nodes under the roots with (0.15 + 0.85 q)**12 = 4e-6.
 
 Nodes of up to SMALL texts are compared exhaustively. In a larger one all texts are compared with the leader, the text whose tokens are
 the most frequent; if all are then of one component, the node is done; if up to SMALL texts aren't of its largest component, these
-are compared with all others; else it branches. Nodes that still are too large when the axes end are compared to the end, in cells of
-CELL. Whole shingle sets decide on every link. Equal sets are one text from the start.
+are compared with all others; else it branches. When what is left can't hold more different pairs than LINEAR a text (or LEAST in all), met
+SEEN times each at most, or when the axes end, it is compared to the end, in cells of CELL. Whole shingle sets decide on every link. Equal sets are one text from the start.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .near import shingles
 PERCENT = 85
 TREES, BRANCH, CHOICES, AXES = 6, 2, 4, 60
 SMALL, CELL = 24, 4096
+LINEAR, LEAST, SEEN = 1, 20_000, 20
 #: Set ids of candidates are broadcast up to so many.
 FEW = 1_000_000
 _SLICE = 1 << 20
@@ -98,13 +100,13 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
     """node, sid, n, tokens: rows (node, sid, n, tokens) by the tokens of the axes that their nodes choose. At the root (level 0) each tree
-    has axes of its own; below, a node takes BRANCH of the level's CHOICES axes, by its number."""
+    has axes of its own; below, a node takes one or two of the level's CHOICES axes, by its number."""
     if level == 0:
         axes = F.sequence(F.lit(0), F.lit(TREES * BRANCH - 1))
         axis = F.col("k")
         tree = F.floor(F.col("k") / BRANCH)
     else:
-        axes = F.sequence(F.lit(0), F.lit(BRANCH - 1))
+        axes = F.when(F.xxhash64("node", F.lit("two")) % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         start = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(CHOICES)).cast("int")
         step = F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(CHOICES - 1)).cast("int") + 1
         axis = F.lit(TREES * BRANCH + (level - 1) * CHOICES) + (start + F.col("k") * step) % CHOICES
@@ -159,7 +161,8 @@ def joined(nodes: DataFrame, texts: DataFrame, levels: int | None = None) -> Dat
     rows = materialize(dealt.join(met, "node"), "chosen-rows")
     discard(dealt)
     needed = materialize(rows.select("sid").distinct(), "chosen-needed")
-    named = F.broadcast(needed) if needed.count() <= FEW else needed
+    candidates = needed.count()
+    named = F.broadcast(needed) if candidates <= FEW else needed
     sets = materialize(small_batches(texts.join(named, "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "text")).mapInArrow(trimmed(_sets), "sid long, own array<long>"), "chosen-sets")
     tokens = nodes.join(named, "sid", "left_semi").select("sid", "tokens")
     roots, weights = None, None
@@ -175,11 +178,14 @@ def joined(nodes: DataFrame, texts: DataFrame, levels: int | None = None) -> Dat
             pairs = pairs.unionByName(_led(large, weights))
         roots = materialize(_united(roots, compared(pairs, sets)), "chosen-roots")
         left = materialize(_inhabited(_named(large.select("node", "sid", "n"), roots)), "chosen-left")
-        close = left if level == most else left.where(F.col("rest") <= SMALL)
-        if close.limit(1).count():
+        work = left.where(F.col("c") != F.col("top")).agg(F.sum("texts")).first()[0] or 0
+        few, of = max(LINEAR * candidates, LEAST), left.select("sid").distinct().count()
+        last = level == most or work <= SEEN * few and min(work, of * (of - 1) // 2) <= few
+        close = left if last else left.where(F.col("rest") <= SMALL)
+        if work and close.limit(1).count():
             roots = materialize(_united(roots, compared(_exhaustive(close), sets)), "chosen-roots")
         open_ = left.where(F.col("rest") > SMALL)
-        if level == most or not open_.limit(1).count():
+        if last or not open_.limit(1).count():
             break
         discard(rows)
         rows = materialize(_children(open_.select("node", "sid", "n").join(tokens, "sid"), level + 1), "chosen-rows")

@@ -162,6 +162,6 @@ def coded(vectors: DataFrame) -> DataFrame:
         both = rows.join(F.broadcast(sums), key, "left")
     else:
         salt = F.pmod(F.xxhash64("vec_id", "code"), F.lit(SALTS))
-        rows, sums = rows.withColumn("salt", salt), sums.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        rows, sums = rows.withColumn("salt", salt), sums.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         both = rows.join(sums, [rows["label"].eqNullSafe(sums["label"]), F.col("salt") == F.col("s")], "left")
     return both.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles_more
 from .decontam import DRIFT, PIECE, PLAIN, PROMISING, SAME, SHORT, THRESHOLD, UNITS
 from .licenses import CONTAINMENT, PHRASES, TEMPLATES
 from .mixing import MOST, SHARE, WEIGHTS
@@ -102,4 +103,4 @@ def _decontamination() -> str:
 #: The table holds no tool calls, so its rows are messages in the order of their turns.
 _MESSAGES = "SELECT conv_id, turn, 0 AS idx, 'message' AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, NULL::BIGINT AS call_turn, 'ok' AS status, to_json({'content': coalesce(text, ''), 'role': role})::VARCHAR AS json FROM conversations"
 
-ORACLES: dict[str, str] = {"op1_tool_call_linking": _MESSAGES, "op2_license_scan": _licenses(), "op6_mixing_sources": _mixing(), "op9_benchmark_decontamination": _decontamination()}
+ORACLES: dict[str, str] = {"op1_tool_call_linking": _MESSAGES, "op2_license_scan": _licenses(), "op6_mixing_sources": _mixing(), "op9_benchmark_decontamination": _decontamination()} | oracles_more.ORACLES

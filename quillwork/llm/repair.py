@@ -23,6 +23,7 @@ from .prefix import running
 
 KEEP, REROLE, DELETE, INSERT, UNENDED = 0, 2, 3, 2, 1
 PIECE, FAN = 256, 16
+AHEAD = 64
 #: States: nothing yet; a system turn; a user turn; an assistant turn. What each initial leads to, and whether one may end there.
 START, SYSTEM, USER, ASSISTANT = range(4)
 FOLLOWS = ({"s": SYSTEM, "u": USER}, {"u": USER}, {"a": ASSISTANT}, {"u": USER})
@@ -195,12 +196,12 @@ def damaged(own: DataFrame) -> DataFrame:
 def placed(own: DataFrame) -> DataFrame:
     """key, pos, turn, role, text, fault of turns, written: pos grows through a conversation, by turn (null first), role and text.
 
-    Rows are dealt by ranges of (conversation, turn, role, hash of the text), so that a long conversation is many tasks. fault is the
+    Rows are dealt by ranges of (conversation, turn, role, first AHEAD characters), so that a long conversation is many tasks. fault is the
     row's first: blank, duplicate (role and text stood earlier), truncated (the last character that is not a space isn't one of
     .!?), or null.
     """
-    order = [F.col("key"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("th")]
-    rows = own.withColumn("th", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    order = [F.col("key"), F.col("turn").asc_nulls_first(), F.col("role")]
+    rows = own.repartitionByRange(*order, F.left("text", F.lit(AHEAD))).sortWithinPartitions(*order, "text")
     last = F.right(F.rtrim("text", F.lit(_SPACE)), F.lit(1))
     rows = rows.select("key", F.monotonically_increasing_id().alias("pos"), "turn", "role", "text", F.unhex(F.sha2("text", 256)).alias("digest"), last.alias("last"))
     rows = materialize(rows, "repair-rows")
