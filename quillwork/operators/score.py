@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions.tables import forget, numbered, written
 from quillwork.functions.text import tokens
 
 MODES = ("token", "span", "correction", "correction_type")
@@ -90,52 +91,77 @@ def total(counts: DataFrame, beta: float = 0.5) -> DataFrame:
     return with_scores(out, beta)
 
 
-def best_annotator(counts: DataFrame, sentences: DataFrame, beta: float = 0.5) -> DataFrame:
-    """sent_id, coder: the reference coder chosen for each sentence, in the order of sent_id.
+#: Sentences folded by one task at a time.
+FOLD = 4096
+
+
+def _f_score(tp: int, fp: int, fn: int, beta: float) -> float:
+    p = tp / (tp + fp) if fp else 1.0
+    r = tp / (tp + fn) if fn else 1.0
+    return round((1 + beta**2) * p * r / (beta**2 * p + r), 4) if p + r else 0.0
+
+
+def _fold(beta: float):
+    """The choices of one piece, sentence by sentence, on top of the totals (tp, fp, fn) that hold before it."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["rank", "place"])
+        now = [int(pdf[f"_{c}"].iloc[0]) for c in ("tp", "fp", "fn")] if len(pdf) else []
+        chosen, at, rows = [], None, list(pdf[["rank", "sent_id", "coder", "tp", "fp", "fn"]].itertuples(index=False, name=None))
+        best = None
+        for rank, sent, coder, *own in [*rows, (None, None, None, 0, 0, 0)]:
+            if rank != at:
+                if best is not None:
+                    now = [a + b for a, b in zip(now, best[2:])]
+                    chosen.append((pdf["piece"].iloc[0], *best[:2], *best[2:]))
+                at, best, top = rank, None, None
+            if rank is not None:
+                key = (_f_score(*[a + b for a, b in zip(now, own)], beta), own[0], -own[1], -own[2])
+                if top is None or key > top:
+                    top, best = key, (sent, coder, *own)
+        return pd.DataFrame(chosen, columns=["piece", "sent_id", "coder", "tp", "fp", "fn"])
+
+    return run
+
+
+def best_annotator(counts: DataFrame, sentences: DataFrame, beta: float = 0.5, fold: int = FOLD) -> DataFrame:
+    """sent_id, coder: the reference coder chosen for each sentence, in the order of sent_id (a whole number).
 
     The choice maximises F over the running totals (ties: more tp, fewer fp, fewer fn, the coder that comes first), so a sentence's
-    choice hangs on all before it. Sentences with one coder need no choice and are summed up; only those with more are folded
-    in order, in one task, with a few numbers each. sentences: sent_id, coder, place (order of coders within the sentence).
+    choice hangs on all before it. The fold is speculative: sentences are cut into pieces of `fold`, each piece is folded by a task of its
+    own from the totals that the last round left before it, and pieces whose totals come out otherwise are folded again, until none
+    is. The first piece that isn't final becomes so in each round, so that the end is that of one sequential fold; as totals grow, choices
+    hang less and less on them, and few rounds suffice. sentences: sent_id, coder, place (order of coders within the sentence).
     """
-    import pandas as pd
-
-    sums = counts.groupBy("sent_id", "coder").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    rows = sentences.join(sums, ["sent_id", "coder"], "left").na.fill(0, ["tp", "fp", "fn"])
-    sizes = sentences.groupBy("sent_id").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, "sent_id")
-    single, many = rows.where("n = 1"), rows.where("n > 1")
-    # what the single-coder sentences before each sentence with several coders add up to: prefix sums over pieces of 65,536 sentences
-    counts_of = ("tp", "fp", "fn")
-    stream = single.select("sent_id", *counts_of, F.lit(False).alias("open")).unionByName(many.select("sent_id", *[F.lit(0).cast("long").alias(c) for c in counts_of], F.lit(True).alias("open")).distinct())
-    stream = stream.withColumn("b", F.floor(F.col("sent_id") / 65536))
-    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
-    part = stream.groupBy("b").agg(*[F.sum(c).alias(c) for c in counts_of]).select("b", *[F.coalesce(F.sum(c).over(running), F.lit(0)).alias(f"_{c}") for c in counts_of])
-    inside = Window.partitionBy("b").orderBy("sent_id").rowsBetween(Window.unboundedPreceding, 0)
-    base = stream.join(part, "b").select("sent_id", "open", *[(F.col(f"_{c}") + F.sum(c).over(inside)).alias(f"s{c}") for c in counts_of]).where("open").drop("open")
-    stream = many.join(base, "sent_id").select("sent_id", "coder", "place", *counts_of, *[f"s{c}" for c in counts_of])
-
-    def score(tp, fp, fn):
-        p = tp / (tp + fp) if fp else 1.0
-        r = tp / (tp + fn) if fn else 1.0
-        return round((1 + beta**2) * p * r / (beta**2 * p + r), 4) if p + r else 0.0
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen, of_many = [], [0, 0, 0]
-        for sent, g in pdf.sort_values(["sent_id", "place"]).groupby("sent_id", sort=True):
-            of_single = [int(g[c].iloc[0]) for c in ("stp", "sfp", "sfn")]
-            best = None
-            for row in g.itertuples():
-                own = (int(row.tp), int(row.fp), int(row.fn))
-                f = score(*[a + b + c for a, b, c in zip(own, of_many, of_single)])
-                rank = (f, own[0], -own[1], -own[2])
-                if best is None or rank > best[0]:
-                    best = (rank, row.coder, own)
-            of_many = [a + b for a, b in zip(of_many, best[2])]
-            chosen.append((sent, best[1]))
-        return pd.DataFrame(chosen, columns=["sent_id", "coder"])
-
-    picked = stream.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fold, f"sent_id bigint, coder {dict(many.dtypes)['coder']}")
-    return single.select("sent_id", "coder").unionByName(picked)
+    of = ("tp", "fp", "fn")
+    sums = counts.groupBy("sent_id", "coder").agg(*[F.sum(c).alias(c) for c in of])
+    rows = sentences.join(sums, ["sent_id", "coder"], "left").na.fill(0, of)
+    order = numbered(sentences.select("sent_id").distinct(), [F.col("sent_id")], "fold-ranks")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    rows = rows.join(order, "sent_id").select(F.floor(F.col("rank") / fold).alias("piece"), "rank", "sent_id", "coder", "place", *[F.col(c).cast("long").alias(c) for c in of])
+    rows = written(rows, "fold-rows")
+    shape = f"piece long, sent_id {kind['sent_id']}, coder {kind['coder']}, tp long, fp long, fn long"
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row a piece
+
+    def starts(chosen: DataFrame) -> DataFrame:
+        total = chosen.groupBy("piece").agg(*[F.sum(c).alias(c) for c in of])
+        return written(total.select("piece", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in of]), "fold-starts")
+
+    first = rows.groupBy("piece", "sent_id").agg(F.min_by(F.struct(*of), "place").alias("c")).select("piece", "c.*")
+    now, picked = starts(first), None
+    again = now
+    while True:
+        folded = rows.join(again, "piece").groupBy("piece").applyInPandas(_fold(beta), shape)
+        then = written(folded if picked is None else picked.join(again, "piece", "left_anti").unionByName(folded), "fold-picks")
+        totals = starts(then)
+        again = totals.join(now, ["piece", *[f"_{c}" for c in of]], "left_anti")
+        if picked is not None:
+            forget(picked)
+        picked, now = then, totals
+        if not again.limit(1).count():
+            return picked.select("sent_id", "coder")
 
 
 def binary_scores(df: DataFrame, gold: Column, pred: Column, beta: float = 0.5) -> DataFrame:

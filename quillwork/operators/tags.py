@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions import twister
+from quillwork.functions.tables import numbered
 from quillwork.functions.text import let, strip_space, tokens
 
 KEEP, DELETE, APPEND, REPLACE, MORPH = "$KEEP", "$DELETE", "$APPEND", "$REPLACE", "$MORPH"
@@ -195,30 +199,31 @@ def vocabulary(tags: DataFrame) -> DataFrame:
 
 def sample_clean(df: DataFrame, tags: str = "tags", order: str = "sent_id", keep: float = 0.1, seed: int = 42) -> DataFrame:
     """df without most all-keep rows: one draw per such row, in row order, from a Mersenne twister (rows are kept where the draw
-    does not exceed keep). The draws need an order, so only the ids of all-keep rows are ranked."""
-    import random
-
-    import pandas as pd
-
-    clean = df.where(all_keep(F.col(tags))).select(order)
-    ranked = clean.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    sizes = {r["_p"]: r["n"] for r in ranked.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a number a partition
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-
-    offsets = F.create_map(*[F.lit(x) for p in before for x in (p, before[p])]) if before else F.lit(None).cast("map<int,bigint>")
-    ranked = ranked.withColumn("_r", F.element_at(offsets, F.col("_p")) + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
-
-    def keepers(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, start = random.Random(seed), int(pdf["_r"].min())
-        for _ in range(start):
-            rng.random()
-        pdf = pdf.sort_values("_r")
-        return pdf[[rng.random() <= keep for _ in range(len(pdf))]][[order]]
-
-    kept = ranked.groupBy("_p").applyInPandas(keepers, f"{order} bigint")
-    return df.where(~all_keep(F.col(tags))).unionByName(df.join(kept, order, "left_semi"))
+    does not exceed keep). order is a column of whole numbers, one a row.
+
+    The ids of all-keep rows alone are ranked, once; a task starts its draws at the rank of its first row, so that the rows kept are those
+    of one sequential pass, however the ids are dealt.
+    """
+    clean = df.where(all_keep(F.col(tags))).select(F.col(order).cast("long").alias("_id"))
+    ranked = numbered(clean, [F.col("_id")], "clean-ranks")
+
+    def keepers(batches):
+        rng, due = None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, ranks = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            starts = np.flatnonzero(np.diff(ranks, prepend=due - 1) != 1)  # a task may read more than one stretch of ranks
+            drawn = np.empty(len(ranks))
+            for a, b in zip(np.append(0, starts[starts > 0]), np.append(starts[starts > 0], len(ranks))):
+                if rng is None or ranks[a] != due:
+                    rng = twister.generator(seed, int(ranks[a]))
+                drawn[a:b] = [rng.random() for _ in range(b - a)]
+                due = int(ranks[b - 1]) + 1 if b > a else due
+            yield pa.RecordBatch.from_arrays([pa.array(ids[drawn <= keep], pa.int64())], ["_kept"])
+
+    kept = ranked.select("_id", "rank").mapInArrow(keepers, "_kept long")
+    return df.where(~all_keep(F.col(tags))).unionByName(df.where(all_keep(F.col(tags))).join(kept, F.col(order).cast("long").eqNullSafe(F.col("_kept")), "left_semi"))
 
 
 def sequences_by_source(rows: DataFrame) -> DataFrame:

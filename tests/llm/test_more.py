@@ -62,7 +62,7 @@ def variants(r, size, changed, n):
 def test_chosen_paths(spark):
     r = random.Random(5)
     texts = [None, "", " \n", "one", "One", "one two three four", "a b c d e", "b c d e a", "Wort " * 9000]
-    texts += variants(r, 90, 3, 120) + variants(r, 200, 4, 60) + variants(r, 60, 1, 40)
+    texts += variants(r, 90, 3, 70) + variants(r, 200, 4, 50) + variants(r, 60, 1, 30)
     for k in range(30):  # a chain, each link at most two words away from the one before
         texts.append(texts[-1].replace(texts[-1].split()[7 * k % 50], f"c{k}", 1) if k else " ".join(f"k{j}" for j in range(70)))
     passage = " ".join(f"p{j}" for j in range(60))
