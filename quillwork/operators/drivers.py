@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from quillwork.functions import text as X
 from quillwork.sources import io
 
-from . import reclass, score, tags
+from . import reclass, score, tagger, tags
 from .align import TOKEN, minimise, plain_tokens
 from .typing_rules import edit_type, typed_edits
 
-#: words array<string> -> array<TOKEN>. Linguistic annotation is a hook; plain_tokens is the one without any.
-Annotator = Callable[[Column], Column]
+#: words array<string> -> array<TOKEN>, or a trained tagger, which needs the table; plain_tokens is the annotation without any.
+Annotator = Callable[[Column], Column] | tagger.Model
+
+
+def _annotated(df: DataFrame, words: Column, out: str, annotate: Annotator) -> DataFrame:
+    """df (sent_id, one a row) with out, the annotation of words."""
+    if isinstance(annotate, tagger.Model):
+        return tagger.annotated(annotate, df.withColumn("_words", words), "sent_id", "_words", out).drop("_words")
+    return df.withColumn(out, annotate(words).cast(f"array<{TOKEN}>"))
 
 
 def _edit(start, end, err_type, correction, coder) -> Column:
@@ -26,20 +33,20 @@ def _noop(coder) -> Column:
     return _edit(F.lit(-1), F.lit(-1), F.lit("noop"), F.lit("-NONE-"), coder)
 
 
-def annotate_pairs(pairs: DataFrame, targets: list[str], annotate: Annotator = plain_tokens, word_list: DataFrame | None = None, merge: str = "rules") -> DataFrame:
+def annotate_pairs(pairs: DataFrame, targets: list[str], annotate: Annotator = plain_tokens, word_list: DataFrame | None = None, merge: str = "rules", stem: Callable | None = None) -> DataFrame:
     """sent_id, source, tokens, edits: pairs (row_idx, source, and a column for each corrector) aligned and typed.
 
     A blank source is left out. Equal strings give a no-op; strings that differ in white space alone give a block without edits
     for that corrector. The source is annotated once for all correctors.
     """
     base = pairs.select(F.col("row_idx").alias("sent_id"), X.strip_space(F.col("source")).alias("source"), *targets).where("source <> ''")
-    base = base.withColumn("tokens", X.tokens(F.col("source"))).withColumn("orig", annotate(F.col("tokens")).cast(f"array<{TOKEN}>"))
+    base = _annotated(base.withColumn("tokens", X.tokens(F.col("source"))), F.col("tokens"), "orig", annotate)
     found = None
     for k, t in enumerate(targets):
         text = X.strip_space(F.coalesce(F.col(t), F.lit("")))
         same = base.where(F.col("source") == text).select("sent_id", F.lit(k).alias("coder"), F.lit(0).alias("n"), _noop(F.lit(k)).alias("e"))
-        diff = base.where(F.col("source") != text).select("sent_id", "orig", annotate(X.tokens(text)).cast(f"array<{TOKEN}>").alias("cor"))
-        e = typed_edits(diff, word_list, merge)
+        diff = _annotated(base.where(F.col("source") != text), X.tokens(text), "cor", annotate).select("sent_id", "orig", "cor")
+        e = typed_edits(diff, word_list, merge, stem)
         e = e.select("sent_id", F.lit(k).alias("coder"), (F.col("o_start") * 2 + F.when(F.col("o_end") > F.col("o_start"), 1).otherwise(0)).alias("n"), _edit(F.col("o_start"), F.col("o_end"), F.col("err_type"), F.col("correction"), F.lit(k)).alias("e"))
         both = same.unionByName(e)
         found = both if found is None else found.unionByName(both)
@@ -55,17 +62,20 @@ def reannotate(blocks: DataFrame, mode: str = "auto", annotate: Annotator = plai
     noop = per.where(F.forall("edits", lambda e: e["err_type"] == "noop")).select("sent_id", "coder", F.lit(0).alias("n"), _noop(F.col("coder")).alias("e"))
     rest = per.where(F.exists("edits", lambda e: e["err_type"] != "noop"))
     if mode == "auto":
-        pair = rest.select(F.struct("sent_id", "coder").alias("sent_id"), annotate(F.col("tokens")).cast(f"array<{TOKEN}>").alias("orig"), annotate(F.col("corrected")).cast(f"array<{TOKEN}>").alias("cor"))
+        pair = rest.select(F.struct("sent_id", "coder").alias("sent_id"), "tokens", "corrected")
+        pair = _annotated(_annotated(pair, F.col("tokens"), "orig", annotate), F.col("corrected"), "cor", annotate)
         e = typed_edits(pair, word_list, merge)
         made = e.select("sent_id.sent_id", "sent_id.coder", (F.col("o_start") * 2 + F.when(F.col("o_end") > F.col("o_start"), 1).otherwise(0)).alias("n"), _edit(F.col("o_start"), F.col("o_end"), F.col("err_type"), F.col("correction"), F.col("sent_id.coder")).alias("e"))
     elif mode == "gold":
-        e = rest.select("sent_id", "coder", "tokens", "corrected", F.posexplode("edits").alias("n", "g")).where("g.err_type <> 'noop'")
+        both = rest.select(F.struct("sent_id", "coder").alias("sent_id"), "tokens", "corrected", "edits")
+        both = _annotated(_annotated(both, F.col("tokens"), "orig", annotate), F.col("corrected"), "cor", annotate)
+        e = both.select("sent_id.*", "tokens", "orig", "cor", F.posexplode("edits").alias("n", "g")).where("g.err_type <> 'noop'")
         m = minimise(X.span(F.col("tokens"), F.col("g.start"), F.col("g.end")), X.tokens(F.col("g.correction")), F.col("g.start"), F.col("g.end"))
         e = e.withColumn("m", m)
         unsure = F.col("g.err_type") == "Um"
         start, end, cor = F.when(unsure, F.col("g.start")).otherwise(F.col("m.start")), F.when(unsure, F.col("g.end")).otherwise(F.col("m.end")), F.when(unsure, F.col("g.correction")).otherwise(F.col("m.cor"))
         c_start = F.col("g.c_start") + F.col("m.start") - F.col("g.start")
-        typ = edit_type(annotate(F.col("tokens")).cast(f"array<{TOKEN}>"), annotate(F.col("corrected")).cast(f"array<{TOKEN}>"), start, end, c_start, c_start + F.size(X.tokens(cor)), F.lit(False))
+        typ = edit_type(F.col("orig"), F.col("cor"), start, end, c_start, c_start + F.size(X.tokens(cor)), F.lit(False))
         new = F.when(F.lit(old_cats), F.col("g.err_type")).when(unsure, "UNK").otherwise(typ)
         e = e.where(unsure | (F.col("m.end") > F.col("m.start")) | (F.col("m.cor") != ""))
         made = e.select("sent_id", "coder", "n", _edit(start, end, new, cor, F.col("coder")).alias("e"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillwork.functions import stem, tables
 from quillwork.functions import text as X
-from quillwork.operators import align, cluster, image, loop, reclass, score, tags, typing_rules
+from quillwork.operators import align, cluster, drivers, image, loop, reclass, score, tagger, tags, typing_rules
 from quillwork.sources import io
 
-from .derived import derived_edits, doc_tokens, flat, hypotheses, sentence_pairs, table
+from .derived import TAG_MAP, derived_edits, doc_tokens, flat, hypotheses, sentence_pairs, table, tagged_sentences
 from .oracles import ORACLES
 from .roundtrips import QUERIES as ROUNDTRIPS
 
@@ -289,7 +292,39 @@ def align_edits(spark, sf_dir):
 
 def typed_edits(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(X.tokens(F.lower("text"))).alias("word")).distinct()
-    return typing_rules.typed_edits(sentence_pairs(spark, sf_dir), words)
+    return typing_rules.typed_edits(sentence_pairs(spark, sf_dir), words, stem=lambda t: stem.romanian(t["text"]))
+
+
+def stem_words(spark, sf_dir):
+    """The Romanian stem of each distinct word of the documents."""
+    w = doc_tokens(spark, sf_dir).select(F.explode("toks").alias("w")).select(F.lower("w").alias("word")).distinct()
+    return w.select("word", stem.romanian(F.col("word")).alias("stem"), stem.romanian(F.col("word"), comma=True).alias("comma_stem"))
+
+
+def _tagger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tagger.Model]:
+    """All tagged sentences, and a tagger that has learned four fifths of them; its tag map is read from a file."""
+    s = tagged_sentences(spark, sf_dir)
+    path = f"{tables.shared_dir(spark)}/quillwork/tag-map-{uuid.uuid4().hex}"
+    spark.createDataFrame(TAG_MAP, "ptb string, upos string").write.csv(path, sep="\t")
+    return s, tagger.train(s.where("sent_id % 5 <> 0"), io.read_tag_map(spark, path))
+
+
+def pos_tags(spark, sf_dir):
+    """All sentences tagged: held_out (not learned), sentences, tokens, right, and tokens of each universal part of speech."""
+    s, model = _tagger(spark, sf_dir)
+    found = tagger.annotated(model, s, "sent_id", "words", "toks")
+    each = found.select((F.col("sent_id") % 5 == 0).alias("held_out"), F.explode(F.arrays_zip(F.col("tags").alias("gold"), F.transform("toks", lambda t: t["tag"]).alias("tag"), F.transform("toks", lambda t: t["pos"]).alias("pos"))).alias("x"))
+    return each.groupBy("held_out", "x.pos").agg(F.count("*").alias("tokens"), F.count_if(F.col("x.gold") == F.col("x.tag")).alias("right"))
+
+
+def annotated_pairs(spark, sf_dir):
+    """The sentences with words changed against themselves, annotated by the tagger, aligned, typed and written as blocks; the edits by type."""
+    model = _tagger(spark, sf_dir)[1]
+    p = sentence_pairs(spark, sf_dir)
+    text = lambda c: F.array_join(F.transform(c, lambda t: t["text"]), " ")
+    known = table(spark, sf_dir, "benchmark").select(F.explode(X.tokens(F.lower("text"))).alias("word")).distinct()
+    blocks = drivers.annotate_pairs(p.select(F.col("sent_id").alias("row_idx"), text("orig").alias("source"), text("cor").alias("target")), ["target"], model, known, stem=lambda t: stem.romanian(t["text"]))
+    return blocks.select("sent_id", F.explode("edits").alias("e")).select("sent_id", "e.start", "e.end", "e.err_type", "e.correction")
 
 
 def sobel_edges(spark, sf_dir):
@@ -342,6 +377,6 @@ QUERIES = {f.__name__: f for f in (
     sanitize_tokens, diacritic_fix_pairs, punct_and_case, ordinal_split_counts, row_slice, annotated_left_join, first_target_per_source, full_tag_build, rare_tag_collapse, top_tags, class_weights,
     edits_to_tags, edits_to_tags_a, apply_tags, reconstruct_target, all_keep_counts, clean_sample, reclassify_pass1, msd_decode, lexicon_reclass, lexicon_reclass_noise, threshold_mask,
     prf_by_category, prf_token_detection, prf_span_detection, prf_correction_type, prf_rollup, best_annotator, binary_fbeta, class_fbeta, class_fbeta_exact, sequence_run_f1, char_levenshtein,
-    similarity_ratio, align_edits, typed_edits, sobel_edges, edge_profile, autocorr_peak, reflection_score_axis0, image_features, correction_loop,
+    similarity_ratio, align_edits, typed_edits, stem_words, pos_tags, annotated_pairs, sobel_edges, edge_profile, autocorr_peak, reflection_score_axis0, image_features, correction_loop,
 )}
 QUERIES |= ROUNDTRIPS

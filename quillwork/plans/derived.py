@@ -92,3 +92,22 @@ def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.transform(toks, one).cast(f"array<{TOKEN}>")
 
     return c.select("sent_id", annotated(F.flatten(F.transform("toks", worse))).alias("orig"), annotated(F.col("toks")).alias("cor"))
+
+
+#: Treebank tags of tagged_sentences() and their universal parts of speech.
+TAG_MAP = ((".", "PUNCT"), ("DT", "DET"), ("NN", "NOUN"), ("VB", "VERB"), ("JJ", "ADJ"), ("FW", "X"))
+
+
+def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sent_id, words, tags of the sentences of all conversations: tags by the ending and length of a word, and a verb after a
+    determiner is a noun, so that words alone don't tell all."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "s"))
+    c = c.select((F.col("conv_id") * 1000000 + F.col("turn") * 1000 + F.col("k")).alias("sent_id"), X.tokens(F.col("s")).alias("words")).where(F.size("words") > 0)
+
+    def tag(w):
+        low = F.lower(w)
+        return F.when(low.rlike(r"^[\p{Punct}]+$"), ".").when(F.length(low) <= 3, "DT").when(low.rlike("(ing|ion|ment|heit|keit|ción)[.,]?$"), "NN").when(low.rlike("(ed|er|ar|en)[.,]?$"), "VB").when(low.rlike("[aeiouéèäöü][.,]?$"), "JJ").otherwise("FW")
+
+    first = c.withColumn("t", F.transform("words", tag))
+    last = F.transform("t", lambda t, i: F.when((t == "VB") & (F.coalesce(F.get("t", i - 1), F.lit("")) == "DT"), "NN").otherwise(t))
+    return first.select("sent_id", "words", last.alias("tags"))
