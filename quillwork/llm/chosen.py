@@ -6,7 +6,9 @@ compare by those of one axis, or in half of the nodes two, that the node's path
 below 0.67 thin out, while a pair at 0.85 has 1.275. Such a pair is lost below a node with a probability q of 0.24 at most
 (q = t (1 + t) / 2 with t = 0.15 + 0.85 q), and in all 12 nodes under the roots with (0.15 + 0.85 q)**12 = 4e-6.
 
-Nodes of up to SMALL texts are compared exhaustively. In a larger one all texts are compared with the leader, the text whose tokens are
+A text whose shingles aren't, PERCENT of them, in other texts that a root node holds too has no link and leaves the trees.
+
+Nodes of up to SMALL texts are compared exhaustively. In a larger one all texts are compared with the leader, the text whose shingles are
 the most frequent; if all are then of one component, the node is done; if up to SMALL texts aren't of its largest component, these
 are compared with all others; else it branches. When what is left can't hold more different pairs than LINEAR a text (or LEAST in all), met
 SEEN times each at most, or when the axes end, it is compared to the end, in cells of CELL. Whole shingle sets decide on every link. Equal sets are one text from the start.
@@ -85,17 +87,28 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """sid, n, weight (mean frequency of its shingles) of the sets that may have a link: a link's intersection is PERCENT of the union or
+    more, so that such a part of either set is in another one."""
+    each = sets.select("sid", F.size("own").alias("n"), F.explode("own").alias("sh"))
+    often = each.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
+    of = each.join(often, "sh").groupBy("sid", "n").agg(F.count("*").alias("shared"), F.sum("df").alias("df"))
+    return of.where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("sid", F.col("n").cast("long").alias("n"), (F.col("df") / F.col("n")).alias("weight"))
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets (sid, own) that are linked."""
-    pairs = materialize(pairs.distinct(), "chosen-pairs")
+def compared(pairs: DataFrame, sets: DataFrame, before: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) of sets (sid, own) that are linked. before: the pairs already compared, which are left out; these join them."""
+    pairs = pairs.distinct()
+    for done in before:
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
+    pairs = materialize(pairs, "chosen-pairs")
+    before.append(pairs)
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-    found = materialize(small_batches(both).mapInArrow(trimmed(_linked), "a long, b long"), "chosen-links")
-    discard(pairs)
-    return found
+    return materialize(small_batches(both).mapInArrow(trimmed(_linked), "a long, b long"), "chosen-links")
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
@@ -164,26 +177,27 @@ def joined(nodes: DataFrame, texts: DataFrame, levels: int | None = None) -> Dat
     candidates = needed.count()
     named = F.broadcast(needed) if candidates <= FEW else needed
     sets = materialize(small_batches(texts.join(named, "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "text")).mapInArrow(trimmed(_sets), "sid long, own array<long>"), "chosen-sets")
-    tokens = nodes.join(named, "sid", "left_semi").select("sid", "tokens")
-    roots, weights = None, None
+    weights = materialize(_shared(sets), "chosen-weights")
+    alive = weights.select("sid")
+    alive = F.broadcast(alive) if candidates <= FEW else alive
+    dealt, rows = rows, materialize(rows.join(alive, "sid", "left_semi"), "chosen-rows")
+    discard(dealt)
+    tokens = nodes.join(alive, "sid", "left_semi").select("sid", "tokens")
+    roots, before = None, []
     for level in range(most + 1):
         now = materialize(_inhabited(_named(rows, roots)), "chosen-open")
         large = now.where(F.col("texts") > SMALL)
         pairs = _exhaustive(now.where(F.col("texts") <= SMALL))
         if large.limit(1).count():
-            if weights is None:
-                each = tokens.join(large.select("sid").distinct(), "sid", "left_semi").select("sid", F.posexplode("tokens").alias("axis", "token")).where(F.col("axis") < TREES * BRANCH)
-                often = each.groupBy("axis", "token").agg(F.count("*").alias("df")).where("df > 1")
-                weights = materialize(each.join(often, ["axis", "token"]).groupBy("sid").agg(F.sum("df").alias("weight")), "chosen-weights")
-            pairs = pairs.unionByName(_led(large, weights))
-        roots = materialize(_united(roots, compared(pairs, sets)), "chosen-roots")
+            pairs = pairs.unionByName(_led(large, weights.select("sid", "weight")))
+        roots = materialize(_united(roots, compared(pairs, sets, before)), "chosen-roots")
         left = materialize(_inhabited(_named(large.select("node", "sid", "n"), roots)), "chosen-left")
         work = left.where(F.col("c") != F.col("top")).agg(F.sum("texts")).first()[0] or 0
         few, of = max(LINEAR * candidates, LEAST), left.select("sid").distinct().count()
         last = level == most or work <= SEEN * few and min(work, of * (of - 1) // 2) <= few
         close = left if last else left.where(F.col("rest") <= SMALL)
         if work and close.limit(1).count():
-            roots = materialize(_united(roots, compared(_exhaustive(close), sets)), "chosen-roots")
+            roots = materialize(_united(roots, compared(_exhaustive(close), sets, before)), "chosen-roots")
         open_ = left.where(F.col("rest") > SMALL)
         if last or not open_.limit(1).count():
             break
@@ -191,7 +205,8 @@ def joined(nodes: DataFrame, texts: DataFrame, levels: int | None = None) -> Dat
         rows = materialize(_children(open_.select("node", "sid", "n").join(tokens, "sid"), level + 1), "chosen-rows")
         discard(now)
         discard(left)
-    discard(sets)
+    for done in (sets, weights, rows, *before):
+        discard(done)
     return roots
 
 
