@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .decode import decoded as decode_picture
+
 FEATURES = "S_ref double, theta_deg double, S_per_x double, per_x_lag double, S_per_y double, per_y_lag double, edge_density double, anisotropy double, H double, W double"
 SOBEL_X = ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1))
 SOBEL_Y = tuple(zip(*SOBEL_X))
@@ -57,14 +59,27 @@ def bilinear(img: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (1 - fx) * ((1 - fy) * at(0, 0) + fy * at(1, 0)) + fx * ((1 - fy) * at(0, 1) + fy * at(1, 1))
 
 
-def reflection_score(e: np.ndarray, theta: float, rho: float, step: int = 2, mask: np.ndarray | None = None) -> float:
-    """How much of the weighted edges meets an edge in the mirror at (theta, rho)."""
+#: Values of one array in the search for an axis, at most.
+_AT_ONCE = 1 << 21
+
+
+def reflection_scores(e: np.ndarray, theta: float, rhos: np.ndarray, step: int = 2, mask: np.ndarray | None = None) -> np.ndarray:
+    """How much of the weighted edges meets an edge in each of the mirrors (theta, rho): blocks of rhos are one array."""
     h, w = e.shape
     ys, xs = np.mgrid[0:h:step, 0:w:step].astype(np.float32)
     nx, ny = math.cos(theta), math.sin(theta)
-    off = 2.0 * (nx * xs + ny * ys - rho)
     a = (weights(h, w) if mask is None else mask)[::step, ::step] * e[::step, ::step]
-    return float((a * bilinear(e, xs - off * nx, ys - off * ny)).sum()) / (float((a * a).sum()) + 1e-6)
+    along, whole = nx * xs + ny * ys, float((a * a).sum()) + 1e-6
+    out, block = np.zeros(len(rhos)), max(1, _AT_ONCE // max(a.size, 1))
+    for at in range(0, len(rhos), block):
+        off = np.float32(2.0) * (along[None] - rhos[at : at + block, None, None].astype(np.float32))
+        met = a[None] * bilinear(e, xs[None] - off * np.float32(nx), ys[None] - off * np.float32(ny))
+        out[at : at + block] = met.reshape(len(met), -1).sum(1) / whole
+    return out
+
+
+def reflection_score(e: np.ndarray, theta: float, rho: float, step: int = 2, mask: np.ndarray | None = None) -> float:
+    return float(reflection_scores(e, theta, np.array([rho], np.float32), step, mask)[0])
 
 
 def best_axis(e: np.ndarray, theta_step: float = 2.0, rho_step: int = 8, step: int = 4, reach: float = 15.0) -> tuple[float, float, float]:
@@ -72,13 +87,15 @@ def best_axis(e: np.ndarray, theta_step: float = 2.0, rho_step: int = 8, step: i
     h, w = e.shape
     diag, mask = math.hypot(w, h), weights(h, w)
     best = (math.radians(-reach), -diag, 0.0)
+    every = np.arange(-diag, diag + 1e-9, rho_step, dtype=np.float32)
     for theta in np.deg2rad(np.arange(-reach, reach + 1e-9, theta_step)):
         corners = [math.cos(theta) * x + math.sin(theta) * y for x in (0, w) for y in (0, h)]
-        for rho in np.arange(-diag, diag + 1e-9, rho_step, dtype=np.float32):
-            if min(corners) - 1 <= rho <= max(corners) + 1:  # else the mirror image lies outside and scores 0
-                s = reflection_score(e, float(theta), float(rho), step, mask)
-                if s > best[2]:
-                    best = (float(theta), float(rho), s)
+        rhos = every[(every >= min(corners) - 1) & (every <= max(corners) + 1)]  # else the mirror image lies outside and scores 0
+        if len(rhos):
+            scores = reflection_scores(e, float(theta), rhos, step, mask)
+            k = int(np.argmax(scores))
+            if scores[k] > best[2]:
+                best = (float(theta), float(rhos[k]), float(scores[k]))
     return best
 
 
@@ -109,14 +126,15 @@ def features(img: np.ndarray, theta_step: float = 1.0, rho_step: int = 4, step:
     return {"S_ref": score, "theta_deg": math.degrees(theta), "S_per_x": sx, "per_x_lag": float(lx), "S_per_y": sy, "per_y_lag": float(ly), "edge_density": float((e > 0.1).mean()), "anisotropy": float(across.mean() / (down.mean() + 1e-6)), "H": float(h), "W": float(w)}
 
 
-def decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """image, img for binary files (path, content). decode gives a greyscale array of 0 to 255, at most 800 a side; it is
-    a hook, since no decoder is part of the library."""
+def decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray] = decode_picture) -> DataFrame:
+    """image, img for binary files (path, content). decode gives a greyscale array of 0 to 255, at most 800 a side; the library's own reads
+    PNG and PNM. A file is a row, and a task holds one picture at a time."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            arrays = [np.asarray(decode(c), np.float32) / 255.0 for c in pdf["content"]]
-            yield pd.DataFrame({"image": pdf["path"].str.rsplit("/", n=1).str[-1], "img": [{"h": a.shape[0], "w": a.shape[1], "px": a.ravel().tolist()} for a in arrays]})
+            for path, content in zip(pdf["path"], pdf["content"]):
+                a = np.asarray(decode(bytes(content)), np.float32) / np.float32(255.0)
+                yield pd.DataFrame({"image": [path.rsplit("/", 1)[-1]], "img": [{"h": a.shape[0], "w": a.shape[1], "px": a.ravel()}]})
 
     return files.mapInPandas(run, "image string, img struct<h:int,w:int,px:array<float>>")
 
@@ -131,7 +149,7 @@ def extract(images: DataFrame, **grid) -> DataFrame:
     return images.mapInPandas(run, f"image string, {FEATURES}")
 
 
-# ---- pixel tables: the same kernels as joins-free Column expressions on small grids ----
+# ---- pixel tables: the same kernels as Column expressions on small grids ----
 
 
 def pixel(px: Column, w: int, h: int, x: Column, y: Column) -> Column:
@@ -141,13 +159,17 @@ def pixel(px: Column, w: int, h: int, x: Column, y: Column) -> Column:
 
 
 def sobel_pixels(images: DataFrame, id_: str, px: str, w: int, h: int, threshold: float = 0.25) -> DataFrame:
-    """id, x, y, e: the edge map of w x h grids, a row for each pixel."""
-    grid = images.select(F.col(id_).alias("id"), F.col(px).alias("px"), F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("k"))
-    grid = grid.select("id", "px", (F.col("k") % w).alias("x"), F.floor(F.col("k") / w).cast("int").alias("y"))
+    """id, x, y, e: the edge map of w x h grids, a row for each pixel. A grid is worked on as one array and dealt to rows at the end."""
+    at = F.sequence(F.lit(0), F.lit(w * h - 1))
+
+    def magnitude(k: Column) -> Column:
+        x, y = k % w, F.floor(k / w).cast("int")
+
+        def total(kernel) -> Column:
+            return sum((F.lit(float(kernel[a][b])) * pixel(F.col("px"), w, h, x + b - 1, y + a - 1) for a in range(3) for b in range(3) if kernel[a][b]), F.lit(0.0))
 
-    def total(kernel) -> Column:
-        return sum((F.lit(float(kernel[a][b])) * pixel(F.col("px"), w, h, F.col("x") + b - 1, F.col("y") + a - 1) for a in range(3) for b in range(3) if kernel[a][b]), F.lit(0.0))
+        return F.sqrt(F.pow(total(SOBEL_X), 2) + F.pow(total(SOBEL_Y), 2))
 
-    mag = grid.select("id", "x", "y", F.sqrt(F.pow(total(SOBEL_X), 2) + F.pow(total(SOBEL_Y), 2)).alias("m"))
-    top = mag.groupBy("id").agg(F.max("m").alias("top"))
-    return mag.join(top, "id").select("id", "x", "y", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("m") / (F.col("top") + 1e-8) - threshold) / (1.0 - threshold))).alias("e"))
+    mag = images.select(F.col(id_).alias("id"), F.col(px).alias("px")).select("id", F.transform(at, magnitude).alias("m"))
+    each = mag.select("id", F.array_max("m").alias("top"), F.posexplode("m").alias("k", "m"))
+    return each.select("id", (F.col("k") % w).alias("x"), F.floor(F.col("k") / w).cast("int").alias("y"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("m") / (F.col("top") + 1e-8) - threshold) / (1.0 - threshold))).alias("e"))

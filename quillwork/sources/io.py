@@ -227,8 +227,8 @@ def read_tag_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, content of .jpg, .jpeg and .png files, whatever the case."""
-    return spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.(jpe?g|png)$")).select("path", "content")
+    """path, content of .jpg, .jpeg, .png and PNM files, whatever the case."""
+    return spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.(jpe?g|png|p[bgnp]m)$")).select("path", "content")
 
 
 def write_features(df: DataFrame, path: str, mode: str = "error") -> None:
