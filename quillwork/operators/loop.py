@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions.tables import shared_dir
 from quillwork.functions.text import sanitize, tokens
 
 from .tags import apply_tags, mask
 
 #: predictor: DataFrame(sent_id, tokens) -> DataFrame(sent_id, tags array<string>, confs array<double>); words beyond the tags are kept.
 Predictor = Callable[[DataFrame], DataFrame]
+#: Names of datasets broadcast at most.
+DATASETS = 100_000
 
 
 def masked(tags, confs, threshold: float):
@@ -52,6 +56,41 @@ def correct(sentences: DataFrame, predictor: Predictor, threshold: float = 0.8,
     return out.select("sent_id", "iteration", "text")
 
 
+def correct_datasets(sentences: DataFrame, predictor: Predictor, threshold: float = 0.8, rounds: int = 3, path: str | None = None) -> DataFrame:
+    """dataset, sent_id, iteration (1..rounds), text: every round's result, the rounds of each dataset being its own.
+
+    sentences: dataset, sent_id, text; a sent_id may stand in several datasets. A dataset none of whose sentences changed in a round has
+    settled: later rounds repeat its result and only the others are predicted, all in one job a round. What is kept by dataset is one
+    number, its last round of work. Each round is written once, by dataset and iteration, under path or the shared folder.
+    """
+    spark = sentences.sparkSession
+    out = path or f"{shared_dir(spark)}/quillwork/datasets-{uuid.uuid4().hex}"
+    text = sanitize(F.trim("text")).alias("text")
+    written = sentences.select("dataset", "sent_id", text, F.lit(0).alias("iteration")).where("text <> ''")
+    schema = written.select("sent_id", "text", "dataset", "iteration").schema
+    written.write.partitionBy("dataset", "iteration").parquet(out)
+
+    def step(i: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(out).where(F.col("iteration") == i).drop("iteration")
+
+    settled = None
+    for i in range(1, rounds + 1):
+        now = step(i - 1)
+        if settled is not None:
+            now = now.join(F.broadcast(settled) if settled.count() <= DATASETS else settled, "dataset", "left_anti")
+        if not now.limit(1).count():
+            break
+        own = now.select(F.struct("dataset", "sent_id").alias("sent_id"), "text")
+        correct_once(own, predictor, threshold).select("sent_id.sent_id", "text", "sent_id.dataset", F.lit(i).alias("iteration")).write.mode("append").partitionBy("dataset", "iteration").parquet(out)
+        moved = step(i).join(now.withColumnRenamed("text", "was"), ["dataset", "sent_id"]).groupBy("dataset").agg(F.max(F.col("text") != F.col("was")).alias("moved"))
+        quiet = moved.where("not moved").select("dataset")
+        settled = spark.createDataFrame(quiet.collect() + (settled.collect() if settled is not None else []), quiet.schema)  # a name a dataset
+    done = spark.read.schema(schema).parquet(out).where("iteration > 0")
+    last = done.groupBy("dataset").agg(F.max("iteration").alias("last"))
+    again = done.join(last, "dataset").withColumn("more", F.when(F.col("iteration") == F.col("last"), F.sequence(F.col("iteration"), F.lit(rounds))).otherwise(F.array("iteration")))
+    return again.select("dataset", "sent_id", F.explode("more").alias("iteration"), "text")
+
+
 def dictionary_predictor(fixes: DataFrame) -> Predictor:
     """A stand-in for a trained tagger: fixes (word, tag, conf) by exact word; other words are kept with certainty."""
 
