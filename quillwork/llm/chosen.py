@@ -6,12 +6,15 @@ compare by those of one axis, or in half of the nodes two, that the node's path
 below 0.67 thin out, while a pair at 0.85 has 1.275. Such a pair is lost below a node with a probability q of 0.24 at most
 (q = t (1 + t) / 2 with t = 0.15 + 0.85 q), and in all 12 nodes under the roots with (0.15 + 0.85 q)**12 = 4e-6.
 
-A text whose shingles aren't, PERCENT of them, in other texts that a root node holds too has no link and leaves the trees.
+Texts that have no link leave the trees before any set is looked at: a linked one shares MET of the axes of the roots, and MET_ALL of
+all, with the same text, but with a probability of 3e-7 and 3e-8; most share fewer with any. Of the rest a text stays whose shingles are,
+PERCENT of them, in others, which a link implies.
 
 Nodes of up to SMALL texts are compared exhaustively. In a larger one all texts are compared with the leader, the text whose shingles are
 the most frequent; if all are then of one component, the node is done; if up to SMALL texts aren't of its largest component, these
-are compared with all others; else it branches. When what is left can't hold more different pairs than LINEAR a text (or LEAST in all), met
-SEEN times each at most, or when the axes end, it is compared to the end, in cells of CELL. Whole shingle sets decide on every link. Equal sets are one text from the start.
+are compared with all others; else it branches, LEVELS times at most. What is left then, texts that are nearly alike in great numbers, is
+settled exactly: of two linked texts the first shingle that both have, rarest first, stands early in either, so that texts of
+different components that share such a one are compared, in cells of CELL. Whole shingle sets decide on every link. Equal sets are one text from the start.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, in_arrow_batches, materialize, mix64, small_batches, trimmed
@@ -28,8 +31,9 @@ from .near import shingles
 #: Links are pairs with 100 * intersection >= PERCENT * union.
 PERCENT = 85
 TREES, BRANCH, CHOICES, AXES = 6, 2, 4, 60
+MET, MET_ALL = 3, 34
 SMALL, CELL = 24, 4096
-LINEAR, LEAST, SEEN = 1, 20_000, 20
+LEVELS = 2
 #: Set ids of candidates are broadcast up to so many.
 FEW = 1_000_000
 _SLICE = 1 << 20
@@ -87,6 +91,13 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
+def _meeting(tokens: DataFrame) -> DataFrame:
+    """sid of the texts (sid, tokens) MET_ALL of whose tokens are in others too."""
+    each = tokens.select("sid", F.posexplode("tokens").alias("axis", "token"))
+    often = each.groupBy("axis", "token").agg(F.count("*").alias("k")).where("k > 1").select("axis", "token")
+    return each.join(often, ["axis", "token"]).groupBy("sid").agg(F.count("*").alias("k")).where(F.col("k") >= MET_ALL).select("sid")
+
+
 def _shared(sets: DataFrame) -> DataFrame:
     """sid, n, weight (mean frequency of its shingles) of the sets that may have a link: a link's intersection is PERCENT of the union or
     more, so that such a part of either set is in another one."""
@@ -145,6 +156,22 @@ def _exhaustive(rows: DataFrame) -> DataFrame:
     return ahead.join(dealt, ["node", "cell"]).where((F.col("c") != F.col("cx")) & _sizes_fit(F.col("n"), F.col("nx"))).select(*_pair("x", "sid"))
 
 
+def _early(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components among the texts of left (sid, n, c) whose first common shingle, rarest first, may stand as early in
+    both as it does in two linked texts: so many shingles from it on must be left."""
+    texts = left.select("sid", "n", "c").distinct()
+    each = sets.join(texts, "sid").select("sid", "n", "c", F.explode("own").alias("node"))
+    often = each.groupBy("node").agg(F.count("*").alias("df")).where("df > 1")
+    of = Window.partitionBy("sid")
+    ranked = each.join(often, "node").select("sid", "n", "c", "node", (F.count("*").over(of) - F.row_number().over(of.orderBy("df", "node")) + 1).alias("left"))
+    rows = _inhabited(materialize(ranked.where(F.col("left") * 100 >= F.col("n") * PERCENT), "chosen-early"))
+    cells = F.ceil(F.col("texts") / CELL)
+    ahead = rows.where("c <> top").select("node", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)).alias("cell"), F.col("sid").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    dealt = rows.select("node", F.pmod(F.xxhash64("sid"), cells).alias("cell"), "sid", "c", "n", "left")
+    enough = F.least("left", "lx") * (100 + PERCENT) >= (F.col("n") + F.col("nx")) * PERCENT
+    return ahead.join(dealt, ["node", "cell"]).where((F.col("c") != F.col("cx")) & enough).select(*_pair("x", "sid"))
+
+
 def _led(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Pairs of each node's leader with its texts of other components."""
     lead = rows.join(weights, "sid").groupBy("node").agg(F.max_by(F.struct("sid", "n", "c"), F.struct("weight", "sid")).alias("lead"))
@@ -163,17 +190,18 @@ def _united(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return components(edges, "chosen-cc")
 
 
-def joined(nodes: DataFrame, texts: DataFrame, levels: int | None = None) -> DataFrame:
+def joined(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """node, root: the components of all linked pairs among the sets of nodes (sid, n, tokens; each sid once); sets alone are missing.
 
-    texts: sid, text of all nodes (repeated rows do no harm). levels: branchings below the root, as many as the axes allow by default.
+    texts: sid, text of all nodes (repeated rows do no harm).
     """
-    most = (AXES - TREES * BRANCH) // CHOICES if levels is None else levels
     dealt = materialize(_children(nodes, 0), "chosen-dealt")
     met = dealt.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").select("node")
     rows = materialize(dealt.join(met, "node"), "chosen-rows")
     discard(dealt)
-    needed = materialize(rows.select("sid").distinct(), "chosen-needed")
+    many = materialize(rows.groupBy("sid").agg(F.count("*").alias("k")).where(F.col("k") >= MET).select("sid"), "chosen-many")
+    needed = materialize(_meeting(nodes.select("sid", "tokens").join(F.broadcast(many) if many.count() <= FEW else many, "sid", "left_semi")), "chosen-needed")
+    discard(many)
     candidates = needed.count()
     named = F.broadcast(needed) if candidates <= FEW else needed
     sets = materialize(small_batches(texts.join(named, "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "text")).mapInArrow(trimmed(_sets), "sid long, own array<long>"), "chosen-sets")
@@ -184,7 +212,7 @@ def joined(nodes: DataFrame, texts: DataFrame, levels: int | None = None) -> Dat
     discard(dealt)
     tokens = nodes.join(alive, "sid", "left_semi").select("sid", "tokens")
     roots, before = None, []
-    for level in range(most + 1):
+    for level in range(LEVELS + 1):
         now = materialize(_inhabited(_named(rows, roots)), "chosen-open")
         large = now.where(F.col("texts") > SMALL)
         pairs = _exhaustive(now.where(F.col("texts") <= SMALL))
@@ -192,14 +220,14 @@ def joined(nodes: DataFrame, texts: DataFrame, levels: int | None = None) -> Dat
             pairs = pairs.unionByName(_led(large, weights.select("sid", "weight")))
         roots = materialize(_united(roots, compared(pairs, sets, before)), "chosen-roots")
         left = materialize(_inhabited(_named(large.select("node", "sid", "n"), roots)), "chosen-left")
-        work = left.where(F.col("c") != F.col("top")).agg(F.sum("texts")).first()[0] or 0
-        few, of = max(LINEAR * candidates, LEAST), left.select("sid").distinct().count()
-        last = level == most or work <= SEEN * few and min(work, of * (of - 1) // 2) <= few
-        close = left if last else left.where(F.col("rest") <= SMALL)
-        if work and close.limit(1).count():
-            roots = materialize(_united(roots, compared(_exhaustive(close), sets, before)), "chosen-roots")
         open_ = left.where(F.col("rest") > SMALL)
-        if last or not open_.limit(1).count():
+        going, close = bool(open_.limit(1).count()), left.where(F.col("rest") <= SMALL)
+        pairs = _exhaustive(close)
+        if going and level == LEVELS:
+            pairs = pairs.unionByName(_early(open_, sets))
+        if close.limit(1).count() or going and level == LEVELS:
+            roots = materialize(_united(roots, compared(pairs, sets, before)), "chosen-roots")
+        if not going or level == LEVELS:
             break
         discard(rows)
         rows = materialize(_children(open_.select("node", "sid", "n").join(tokens, "sid"), level + 1), "chosen-rows")

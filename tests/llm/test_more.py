@@ -75,12 +75,11 @@ def test_chosen_paths(spark):
     assert got == near_brute(rows)
 
 
-def test_chosen_paths_below_the_root(spark, monkeypatch):
-    """With nodes closed at 2 texts nearly all go through leaders, two branchings and what is left."""
+@pytest.mark.parametrize("levels", [0, 1])
+def test_chosen_paths_below_the_root(spark, monkeypatch, levels):
+    """With nodes closed at 2 texts nearly all go through leaders, branchings and early shingles."""
     monkeypatch.setattr(chosen, "SMALL", 2)
-    monkeypatch.setattr(chosen, "LINEAR", 0)
-    monkeypatch.setattr(chosen, "LEAST", 0)
-    monkeypatch.setattr(chosen, "AXES", chosen.TREES * chosen.BRANCH + 2 * chosen.CHOICES)
+    monkeypatch.setattr(chosen, "LEVELS", levels)
     monkeypatch.setattr(chosen, "CELL", 8)
     r = random.Random(8)
     rows = list(enumerate(variants(r, 80, 4, 70) + variants(r, 80, 3, 30)))
