@@ -49,4 +49,6 @@ def numbered(df: DataFrame, order: list, name: str, number: str = "rank") -> Dat
         before.append((p, total))
         total += n
     offsets = F.create_map(*[F.lit(x) for pair in before for x in pair]) if before else F.lit(None).cast("map<bigint,bigint>")
-    return placed.withColumn(number, F.element_at(offsets, part) + place).drop("_at")
+    out = placed.withColumn(number, F.element_at(offsets, part) + place).drop("_at")
+    out._quillwork_rows = total
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as X
+from quillwork.functions.counters import Counters
 from quillwork.sources import io
 
 from . import reclass, score, tagger, tags
@@ -96,16 +97,29 @@ def pass_two_blocks(blocks: DataFrame, lexicon: DataFrame) -> DataFrame:
     return blocks.where(~has).unionByName(done)
 
 
-def sequences(blocks: DataFrame, keep: float = 0.1, seed: int = 42) -> DataFrame:
-    """sent_id, tokens, tags, source, target of blocks, with most of the sentences without an edit left out by seeded draws."""
+def sequences(blocks: DataFrame, keep: float = 0.1, seed: int = 42, counters: Counters | None = None) -> DataFrame:
+    """sent_id, tokens, tags, source, target of blocks, with most of the sentences without an edit left out by seeded draws. counters: see
+    tags.sample_clean()."""
     out = blocks.select("sent_id", "tokens", tags.edits_to_tags(F.col("tokens"), F.col("edits")).alias("tags"), "source", tags.reconstruct_target(F.col("tokens"), F.col("edits")).alias("target"))
-    return tags.sample_clean(out, keep=keep, seed=seed)
+    return tags.sample_clean(out, keep=keep, seed=seed, counters=counters)
 
 
-def training_table(pairs: DataFrame, lexicon: DataFrame, annotate: Annotator = plain_tokens, word_list: DataFrame | None = None) -> DataFrame:
-    """Pairs (row_idx, source, target) to token sequences in one lazy chain: align, type, two passes of reclassification, tags."""
+def training_table(pairs: DataFrame, lexicon: DataFrame, annotate: Annotator = plain_tokens, word_list: DataFrame | None = None, counters: Counters | None = None) -> DataFrame:
+    """Pairs (row_idx, source, target) to token sequences: align, type, two passes of reclassification, tags. counters: those of
+    sequences()."""
     blocks = reclass.pass_one_blocks(annotate_pairs(pairs, ["target"], annotate, word_list))
-    return sequences(pass_two_blocks(blocks, lexicon))
+    return sequences(pass_two_blocks(blocks, lexicon), counters=counters)
+
+
+def with_edits(rows: DataFrame, edits: DataFrame, on: str = "source") -> DataFrame:
+    """rows, each with every edit of edits (start_tok, end_tok, err_type, correction) of its `on`: m rows and n edits of one value give
+    m * n. A row without an edit is correct: (-1, -1), no correction; so is an edit's field that is null. Null values of `on` are one
+    value. Columns of rows with the names of an edit's give way to them."""
+    own = rows.drop("err_type", "correction", "start_tok", "end_tok")
+    e = edits.select(F.col(on).alias("_on"), "start_tok", "end_tok", "err_type", "correction")
+    out = own.join(e, F.col(on).eqNullSafe(F.col("_on")), "left").drop("_on")
+    fill = {"start_tok": F.lit(-1), "end_tok": F.lit(-1), "err_type": F.lit("correct"), "correction": F.lit("")}
+    return out.select(*own.columns, *[F.coalesce(F.col(c).cast("int") if c.endswith("_tok") else F.col(c), v).alias(c) for c, v in fill.items()])
 
 
 def block_edits(blocks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as X
+from quillwork.functions.counters import Counters
 
 # Fixed values.
 AGREEMENT = (
@@ -76,9 +77,19 @@ def pass_one(orig: Column, cor: Column, err_type: Column, start: Column, end: Co
     )
 
 
-def pass_one_blocks(blocks: DataFrame) -> DataFrame:
-    """blocks (tokens, edits array<struct<start,end,err_type,correction,...>>) with the edits reclassified in place."""
+def retyped(old: Column, new: Column) -> Column:
+    """How many edits of an array, placeholders aside, have another type in the other."""
+    return F.size(F.filter(F.zip_with(old, new, lambda a, b: (a["start"] != -1) & (a["err_type"] != b["err_type"])), lambda x: x))
+
+
+def pass_one_blocks(blocks: DataFrame, counters: Counters | None = None) -> DataFrame:
+    """blocks (tokens, edits array<struct<start,end,err_type,correction,...>>) with the edits reclassified in place. counters: gets
+    edits and retyped (by pass one) when the result is computed."""
     toks = F.col("tokens")
+    if counters is not None:
+        made = pass_one_blocks(blocks.withColumn("_old", F.col("edits")))
+        own = F.size(F.filter("edits", lambda e: e["start"] != -1))
+        return counters.observe(made, edits=own, retyped=retyped(F.col("_old"), F.col("edits"))).drop("_old")
     return blocks.withColumn("edits", F.transform("edits", lambda e: e.withField("err_type", pass_one(X.span_text(toks, e["start"], e["end"]), e["correction"], e["err_type"], e["start"], e["end"]))))
 
 

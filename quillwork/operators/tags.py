@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.functions import twister
+from quillwork.functions.counters import Counters
 from quillwork.functions.tables import numbered
 from quillwork.functions.text import let, strip_space, tokens
 
@@ -197,12 +198,12 @@ def vocabulary(tags: DataFrame) -> DataFrame:
     return tags.select("tag").distinct().withColumn("id", F.row_number().over(Window.orderBy("tag")) - 1)
 
 
-def sample_clean(df: DataFrame, tags: str = "tags", order: str = "sent_id", keep: float = 0.1, seed: int = 42) -> DataFrame:
+def sample_clean(df: DataFrame, tags: str = "tags", order: str = "sent_id", keep: float = 0.1, seed: int = 42, counters: Counters | None = None) -> DataFrame:
     """df without most all-keep rows: one draw per such row, in row order, from a Mersenne twister (rows are kept where the draw
     does not exceed keep). order is a column of whole numbers, one a row.
 
     The ids of all-keep rows alone are ranked, once; a task starts its draws at the rank of its first row, so that the rows kept are those
-    of one sequential pass, however the ids are dealt.
+    of one sequential pass, however the ids are dealt. counters: gets clean, and written and kept_clean when the result is computed.
     """
     clean = df.where(all_keep(F.col(tags))).select(F.col(order).cast("long").alias("_id"))
     ranked = numbered(clean, [F.col("_id")], "clean-ranks")
@@ -223,7 +224,11 @@ def sample_clean(df: DataFrame, tags: str = "tags", order: str = "sent_id", keep
             yield pa.RecordBatch.from_arrays([pa.array(ids[drawn <= keep], pa.int64())], ["_kept"])
 
     kept = ranked.select("_id", "rank").mapInArrow(keepers, "_kept long")
-    return df.where(~all_keep(F.col(tags))).unionByName(df.where(all_keep(F.col(tags))).join(kept, F.col(order).cast("long").eqNullSafe(F.col("_kept")), "left_semi"))
+    out = df.where(~all_keep(F.col(tags))).unionByName(df.where(all_keep(F.col(tags))).join(kept, F.col(order).cast("long").eqNullSafe(F.col("_kept")), "left_semi"))
+    if counters is not None:
+        counters.put(clean=ranked._quillwork_rows)
+        out = counters.observe(out, written=F.lit(1), kept_clean=all_keep(F.col(tags)))
+    return out
 
 
 def sequences_by_source(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.functions import stem, tables
+from quillwork.functions.counters import Counters
 from quillwork.functions import text as X
 from quillwork.operators import align, cluster, drivers, image, loop, reclass, score, tagger, tags, typing_rules
 from quillwork.sources import io
@@ -115,9 +116,38 @@ def row_slice(spark, sf_dir):
 
 
 def annotated_left_join(spark, sf_dir):
-    e = flat(derived_edits(spark, sf_dir)).drop("orig")
-    j = table(spark, sf_dir, "documents").select("doc_id", "lang").join(e, "doc_id", "left")
-    return j.select("doc_id", "lang", F.coalesce("start", F.lit(-1)).alias("start_tok"), F.coalesce("end", F.lit(-1)).alias("end_tok"), F.coalesce("err_type", F.lit("correct")).alias("err_type"), F.coalesce("correction", F.lit("")).alias("correction"))
+    e = flat(derived_edits(spark, sf_dir)).withColumnsRenamed({"start": "start_tok", "end": "end_tok"})
+    return drivers.with_edits(table(spark, sf_dir, "documents").select("doc_id", "lang"), e, "doc_id")
+
+
+def edits_by_text(spark, sf_dir):
+    """The join by the text itself: copies of a document each get the edits of all, so that m copies have m * m rows an edit."""
+    t = doc_tokens(spark, sf_dir).select("doc_id", F.md5("text").alias("source"))
+    e = flat(derived_edits(spark, sf_dir)).join(t, "doc_id").withColumnsRenamed({"start": "start_tok", "end": "end_tok"})
+    j = drivers.with_edits(t, e)
+    return j.groupBy("doc_id", "err_type").agg(F.count("*").alias("n"), F.sum("start_tok").alias("starts"))
+
+
+def run_counters(spark, sf_dir):
+    """What passes the chain from edits to training rows, counted as it passes: edits and those retyped, sentences without an edit."""
+    e = derived_edits(spark, sf_dir)
+    own = F.transform("edits", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["err_type"].alias("err_type"), x["correction"].alias("correction")))
+    counters = Counters()
+    blocks = reclass.pass_one_blocks(e.select(F.col("doc_id").alias("sent_id"), F.col("toks").alias("tokens"), own.alias("edits")), counters)
+    rows = blocks.select("sent_id", "edits", tags.edits_to_tags(F.col("tokens"), F.col("edits")).alias("tags"))
+    rows = tables.written(counters.observe(rows, sentences=F.lit(1), tokens=F.size("tags")), "counted")
+    tags.sample_clean(rows, keep=1.0, counters=counters).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(sorted(counters.get().items()), "counter string, n long")
+
+
+def grey_pictures(spark, sf_dir):
+    """Each vector as an 8 x 8 picture file, decoded again: its size and the sum of its values."""
+    values = F.transform("embedding", lambda v: F.floor(F.abs(v) * 400).cast("int") % 256)
+    body = F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    files = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("x/"), "vec_id", F.lit(".pgm")).alias("path"), F.concat(F.lit("P5 8 8 255\n").cast("binary"), F.unhex(body)).alias("content"))
+    pixels = F.transform("img.px", lambda p: F.round(p * 255).cast("long"))
+    got = image.decoded(files).select(F.split("image", r"\.")[0].cast("long").alias("vec_id"), "img.h", "img.w", pixels.alias("px"))
+    return got.select("vec_id", "h", "w", F.aggregate("px", F.lit(0).cast("long"), lambda a, p: a + p).alias("total"), F.array_max("px").alias("top"))
 
 
 def first_target_per_source(spark, sf_dir):
@@ -374,7 +404,7 @@ def correction_loop(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     nearest_center_confidence, confidence_summary, per_cluster_confidence, cluster_means_zspace, silhouette, silhouette_rows, davies_bouldin, pca_project, kmeans_model, pca_explained,
-    sanitize_tokens, diacritic_fix_pairs, punct_and_case, ordinal_split_counts, row_slice, annotated_left_join, first_target_per_source, full_tag_build, rare_tag_collapse, top_tags, class_weights,
+    sanitize_tokens, diacritic_fix_pairs, punct_and_case, ordinal_split_counts, row_slice, annotated_left_join, edits_by_text, run_counters, grey_pictures, first_target_per_source, full_tag_build, rare_tag_collapse, top_tags, class_weights,
     edits_to_tags, edits_to_tags_a, apply_tags, reconstruct_target, all_keep_counts, clean_sample, reclassify_pass1, msd_decode, lexicon_reclass, lexicon_reclass_noise, threshold_mask,
     prf_by_category, prf_token_detection, prf_span_detection, prf_correction_type, prf_rollup, best_annotator, binary_fbeta, class_fbeta, class_fbeta_exact, sequence_run_f1, char_levenshtein,
     similarity_ratio, align_edits, typed_edits, stem_words, pos_tags, annotated_pairs, sobel_edges, edge_profile, autocorr_peak, reflection_score_axis0, image_features, correction_loop,

@@ -195,3 +195,63 @@ f AS (SELECT src, unnest(generate_series(0, n - 1)) AS pos FROM s)"""
 ORACLES |= ROUNDTRIPS | {
     "tags_by_source": f"{_E}, {_BY_SOURCE} SELECT md5(src) AS source_md5, any_value(target) AS target, 'd' AS dataset, md5(string_agg(coalesce(tag, '$KEEP'), chr(10) ORDER BY pos)) AS tags_md5 FROM f LEFT JOIN l USING (src, pos) JOIN s USING (src) GROUP BY src",
 }
+
+
+def _annotators() -> str:
+    """Sentence after sentence, the coder that leads to the best F over the totals so far."""
+    with_h = "(SELECT 1 FROM hk WHERE hk.doc_id = r.doc_id AND hk.key = r.key)"
+    f = "round(CASE WHEN p + r > 0 THEN 1.25 * p * r / (0.25 * p + r) ELSE 0.0 END, 4)"
+    ratio = lambda x: f"CASE WHEN {x} > 0 THEN tp / (tp + {x}) ELSE 1.0 END"
+    return f"""{_E.replace("WITH", "WITH RECURSIVE", 1)}, {HYP_SQL}, {_keys("correction")},
+r2 AS MATERIALIZED (SELECT doc_id, 0 AS coder, key FROM rk UNION ALL SELECT doc_id, 1, key FROM rk WHERE (doc_id + split_part(key, '|', 1)::BIGINT) % 2 = 0),
+co AS (SELECT DISTINCT doc_id, coder FROM r2),
+n AS (SELECT doc_id, coder, count(*) FILTER (EXISTS {with_h}) AS tp, 0 AS fp, count(*) FILTER (NOT EXISTS {with_h}) AS fn FROM r2 r GROUP BY doc_id, coder
+  UNION ALL SELECT hk.doc_id, co.coder, 0, count(*), 0 FROM hk JOIN co USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM r2 r WHERE r.doc_id = hk.doc_id AND r.coder = co.coder AND r.key = hk.key) GROUP BY hk.doc_id, co.coder),
+g AS (SELECT doc_id, list({{'coder': coder, 'tp': tp, 'fp': fp, 'fn': fn}} ORDER BY coder) AS c FROM (SELECT doc_id, coder, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM n GROUP BY doc_id, coder) GROUP BY doc_id),
+s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, c FROM g),
+a AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS doc_id, NULL::INT AS coder, 0::BIGINT AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn
+  UNION ALL SELECT k, doc_id, b.coder, tp + b.tp, fp + b.fp, fn + b.fn FROM (SELECT s.k, s.doc_id, a.tp, a.fp, a.fn, (SELECT arg_max(x, {{'f': {f}, 'tp': x.tp, 'fp': -x.fp, 'fn': -x.fn, 'k': -x.coder}})
+    FROM (SELECT x, {ratio("fp")}::DOUBLE AS p, {ratio("fn")}::DOUBLE AS r FROM (SELECT x, a.tp + x.tp AS tp, a.fp + x.fp AS fp, a.fn + x.fn AS fn FROM (SELECT unnest(s.c) AS x)))) AS b FROM a JOIN s ON s.k = a.k + 1))
+SELECT doc_id AS sent_id, coder FROM a WHERE k > 0"""
+
+
+def _stems() -> str:
+    """The stemmer's steps one after another, with room for eight combined suffixes."""
+    from quillwork.functions import stem as S
+
+    def case(rules, s: str) -> str:
+        return f"CASE {s} " + " ".join(f"WHEN {_q(x)} THEN {_q(new)}" for suffixes, new in rules for x in suffixes) + " END"
+
+    def found(suffixes, w: str = "w") -> str:
+        return f"regexp_extract({w}, {_q(S.ending(suffixes))}, 0)"
+
+    def listed(x) -> str:
+        return "(" + ", ".join(map(_q, x)) + ")"
+
+    every = lambda rules: [x for suffixes, _ in rules for x in suffixes]
+    cut = "left(w, length(w) - length(s))"
+    region = lambda before: f"CASE WHEN length(regexp_extract(w, {_q(before)}, 0)) > 0 THEN length(regexp_extract(w, {_q(before)}, 0)) ELSE length(w) END"
+    marked = f"regexp_replace(low, '([{S.VOWELS}])([ui])([{S.VOWELS}])', '\\1' || chr(1) || '\\2\\3', 'g')"
+    steps = [f"z AS (SELECT word, rv, r1, r2, false AS gone, CASE WHEN s <> '' AND length(w) - length(s) >= r1 AND NOT (s = 'ile' AND ends_with({cut}, 'ab')) THEN {cut} || {case(S.STEP_0, 's')} ELSE w END AS w FROM (SELECT *, {found(every(S.STEP_0))} AS s FROM v))"]
+    last = "z"
+    for k in range(8):
+        steps.append(f"c{k} AS (SELECT word, rv, r1, r2, gone OR ok AS gone, CASE WHEN ok THEN {cut} || {case(S.COMBINED, 's')} ELSE w END AS w FROM (SELECT *, s <> '' AND length(w) - length(s) >= r1 AS ok FROM (SELECT *, {found(every(S.COMBINED))} AS s FROM {last})))")
+        last = f"c{k}"
+    steps += [
+        f"d AS (SELECT word, rv, gone OR ok AS gone, CASE WHEN NOT ok THEN w WHEN s IN {listed(S.AFTER_T)} THEN left(b, length(b) - 1) || 't' WHEN s IN {listed(S.PERSONS)} THEN b || 'ist' ELSE b END AS w FROM (SELECT *, s <> '' AND length(w) - length(s) >= r2 AND (s NOT IN {listed(S.AFTER_T)} OR ends_with(b, 'ţ')) AS ok FROM (SELECT *, {cut} AS b FROM (SELECT *, {found((*S.STANDARD, *S.AFTER_T, *S.PERSONS))} AS s FROM {last}))))",
+        f"e AS (SELECT word, rv, CASE WHEN NOT gone AND s <> '' AND (s IN {listed(S.VERB_ANYWHERE)} OR regexp_matches(left(i, length(i) - length(s)), '([^{S.VOWELS}]|u)$')) THEN {cut} ELSE w END AS w FROM (SELECT *, {found((*S.VERB_AFTER_CONSONANT, *S.VERB_ANYWHERE), 'i')} AS s FROM (SELECT *, substr(w, rv + 1) AS i FROM d)))",
+        f"f AS (SELECT word, translate(CASE WHEN s <> '' AND length(w) - length(s) >= rv THEN {cut} ELSE w END, 'UI', 'ui') AS stem FROM (SELECT *, {found(S.LAST)} AS s FROM e))",
+    ]
+    words = f"{_T}, q AS (SELECT DISTINCT lower(unnest(toks)) AS word FROM t), "
+    chain = f"l AS (SELECT DISTINCT word, word AS low FROM q UNION SELECT DISTINCT translate(word, 'șț', 'şţ'), translate(word, 'șț', 'şţ') FROM q), p AS (SELECT word, replace(replace({marked}, chr(1) || 'u', 'U'), chr(1) || 'i', 'I') AS w FROM l), v AS (SELECT word, w, {region(S.BEFORE_RV)} AS rv, {region(S.BEFORE_R1)} AS r1, {region(S.BEFORE_R2)} AS r2 FROM p), {', '.join(steps)}"
+    return f"{words}{chain} SELECT q.word, a.stem, b.stem AS comma_stem FROM q JOIN f AS a ON a.word = q.word JOIN f AS b ON b.word = translate(q.word, 'șț', 'şţ')"
+
+
+_GREY = "(floor(abs(x) * 400)::INT % 256)"
+ORACLES |= {
+    "best_annotator": _annotators(),
+    "stem_words": _stems(),
+    "edits_by_text": f"{_E}, k AS (SELECT doc_id, md5(text) AS source FROM t), ke AS (SELECT k.source, err_type, \"start\" FROM e JOIN k USING (doc_id)) SELECT k.doc_id, coalesce(err_type, 'correct') AS err_type, count(*) AS n, sum(coalesce(\"start\", -1))::BIGINT AS starts FROM k LEFT JOIN ke USING (source) GROUP BY 1, 2",
+    "run_counters": f"{_E}, {_ORIG}, yy AS (SELECT *, CASE WHEN err_type = 'M:OTHER' THEN c ELSE o END AS s FROM y), rt AS (SELECT err_type, {_PASS1} AS new_type FROM yy), cl AS (SELECT t.doc_id FROM t WHERE t.doc_id NOT IN (SELECT doc_id FROM e)) SELECT * FROM (VALUES ('edits', (SELECT count(*) FROM e)), ('retyped', (SELECT count(*) FROM rt WHERE err_type <> new_type)), ('sentences', (SELECT count(*) FROM t)), ('tokens', (SELECT sum(len(toks))::BIGINT FROM t)), ('written', (SELECT count(*) FROM t)), ('clean', (SELECT count(*) FROM cl)), ('kept_clean', (SELECT count(*) FROM cl))) AS x(counter, n)",
+    "grey_pictures": f"SELECT vec_id, 8 AS h, 8 AS w, list_sum(list_transform(embedding, lambda x: {_GREY}))::BIGINT AS total, list_max(list_transform(embedding, lambda x: {_GREY}))::BIGINT AS top FROM embeddings",
+}
