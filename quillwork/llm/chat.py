@@ -1,7 +1,7 @@
 """Tool-call linking in conversations: calls and results joined by identifier, ordered, validated, and written as canonical JSON.
 
-A turn's text is a message, unless it is a JSON object with `tool_calls` (a list of {id, name, arguments}) or with
-`tool_call_id` (and content): then it holds calls, or the result of a call. A call depends on the calls whose ids its arguments
+A turn's text is a message, unless it is a JSON object with `tool_calls` (a list of {id, name, arguments}, or of {id, type, function:
+{name, arguments}}) or with `tool_call_id` (and content): then it holds calls, or the result of a call. A call depends on the calls whose ids its arguments
 name as ${id}.
 """
 
@@ -30,7 +30,8 @@ SCHEMAS = {
     "get_weather": _flat(("city",), city="string", unit="string"),
     "run_code": _flat(("code",), code="string", timeout="number"),
 }
-_TURN = "tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string, content string"
+_TURN = "tool_calls array<string>, tool_call_id string, content string"
+_CALL = "id string, name string, arguments string, function struct<name:string,arguments:string>"
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -67,6 +68,30 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(canonical)
 
 
+def _other_fields(text: str | None) -> str | None:
+    """The fields of a call but its id, name and arguments, those of its function too, as canonical JSON; null if there are none."""
+    try:
+        call = _loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    if not isinstance(call, dict):
+        return None
+    named = call.get("function")
+    rest = {k: v for k, v in call.items() if k not in ("id", "function", *(("name", "arguments") if not isinstance(named, dict) else ()))}
+    if isinstance(named, dict):
+        own = {k: v for k, v in named.items() if k not in ("name", "arguments")}
+        rest |= {"function": own} if own else {}
+        rest.pop("type", None) if rest.get("type") == "function" else None
+    elif named is not None:
+        rest["function"] = named
+    return canonical(json.dumps(rest)) if rest else None
+
+
+@F.pandas_udf(StringType())
+def other_fields(text: pd.Series) -> pd.Series:
+    return text.map(_other_fields).astype(object)
+
+
 def fault_of(value, schema: dict, at: str = "") -> str | None:
     """The first fault of a value by its schema, or null: a wrong type, a value outside enum, missing or unknown properties."""
     kind = schema.get("type")
@@ -118,19 +143,20 @@ def validator(schemas: dict):
 
 
 def events(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, idx, kind (message, call, result), role, id, name, body: an event for each message, call and result.
+    """conv_id, turn, idx, kind (message, call, result), role, id, name, body, extra: an event for each message, call and result. extra: a
+    call's other fields, as JSON; `type` is not among them if it says that the call is of a function.
 
     Text beside a turn's calls is an event before them: a result if the turn has a tool_call_id, else a message.
     """
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     t = t.withColumn("j", F.when(F.ltrim("text").startswith("{"), F.from_json("text", _TURN, {"mode": "PERMISSIVE"})))
     beside = "j.tool_call_id is not null or coalesce(j.content, '') <> ''"
-    calls = t.where("size(j.tool_calls) > 0").select("conv_id", "turn", "role", F.expr(f"if({beside}, 1, 0)").alias("before"), F.posexplode("j.tool_calls").alias("idx", "c"))
-    calls = calls.select("conv_id", "turn", (F.col("idx") + F.col("before")).alias("idx"), F.lit("call").alias("kind"), "role", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("body"))
+    calls = t.where("size(j.tool_calls) > 0").select("conv_id", "turn", "role", F.expr(f"if({beside}, 1, 0)").alias("before"), F.posexplode("j.tool_calls").alias("idx", "raw"))
+    calls = calls.withColumn("c", F.from_json("raw", _CALL)).select("conv_id", "turn", (F.col("idx") + F.col("before")).alias("idx"), F.lit("call").alias("kind"), "role", F.col("c.id").alias("id"), F.coalesce("c.function.name", "c.name").alias("name"), F.coalesce("c.function.arguments", "c.arguments", F.lit("{}")).alias("body"), other_fields("raw").alias("extra"))
     has_calls = F.coalesce(F.size("j.tool_calls"), F.lit(0)) > 0
     rest = t.where(f"j is null or coalesce(size(j.tool_calls), 0) <= 0 or {beside}")
     result = F.col("j.tool_call_id").isNotNull()
-    rest = rest.select("conv_id", "turn", F.lit(0).alias("idx"), F.when(result, "result").otherwise("message").alias("kind"), "role", F.col("j.tool_call_id").alias("id"), F.lit(None).cast("string").alias("name"), F.when(result, F.coalesce("j.content", F.lit(""))).when(has_calls, F.col("j.content")).otherwise(F.col("text")).alias("body"))
+    rest = rest.select("conv_id", "turn", F.lit(0).alias("idx"), F.when(result, "result").otherwise("message").alias("kind"), "role", F.col("j.tool_call_id").alias("id"), F.lit(None).cast("string").alias("name"), F.when(result, F.coalesce("j.content", F.lit(""))).when(has_calls, F.col("j.content")).otherwise(F.col("text")).alias("body"), F.lit(None).cast("string").alias("extra"))
     return calls.unionByName(rest)
 
 
@@ -186,7 +212,7 @@ def linked(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
         .when(call & fault.isNotNull(), fault).when(call & F.col("answered").isNull(), "no result").when(result & F.col("call_turn").isNull(), "orphan").otherwise("ok")
     )
     body = F.when(call, F.coalesce(canonical_json(F.col("body")), F.col("body"))).otherwise(F.col("body"))
-    text = F.when(call, F.to_json(F.struct(body.alias("arguments"), "id", "name", "role"))).when(result, F.to_json(F.struct(F.col("body").alias("content"), "role", F.col("id").alias("tool_call_id")))).otherwise(F.to_json(F.struct(F.col("body").alias("content"), "role")))
+    text = F.when(call, F.to_json(F.struct(body.alias("arguments"), "extra", "id", "name", "role"))).when(result, F.to_json(F.struct(F.col("body").alias("content"), "role", F.col("id").alias("tool_call_id")))).otherwise(F.to_json(F.struct(F.col("body").alias("content"), "role")))
     step = F.coalesce(F.col("level") * 2, F.lit(0)) + F.when(result & F.col("call_turn").isNotNull(), 1).otherwise(0)
     at = F.coalesce(F.greatest("turn", "upto"), F.lit(-1))
     out = own.select("conv_id", "turn", "idx", "kind", F.when(result, F.col("call_turn")).alias("call_turn"), status.alias("status"), text.alias("json"), step.alias("step"), at.alias("at"), F.floor(at / 256).alias("piece"))

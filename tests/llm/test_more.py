@@ -269,3 +269,28 @@ def test_screening_is_exact():
     assert again > len(x)
     ties = np.zeros((3, 16), np.int64)
     assert codes.nearest(ties[:1], ties)[0].tolist() == [0]
+
+
+# ---- tool calls as they are usually written ----
+
+
+def test_usual_tool_calls(spark):
+    import json
+
+    from quillwork.llm import chat
+
+    calls = [
+        {"id": "a", "type": "function", "function": {"name": "search", "arguments": '{"query": "q", "limit": 2}'}},
+        {"id": "b", "type": "function", "index": 1, "function": {"name": "calculator", "arguments": {"expression": "${a}+1"}, "strict": True}},
+        {"id": "c", "name": "search", "arguments": "{}", "note": {"y": 1, "x": "ä"}}, {"id": "d", "type": "other"}, "no call",
+    ]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": calls})), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "1"})), (1, 2, "tool", json.dumps({"tool_call_id": "b", "content": "2"}))]
+    got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    own = {json.loads(r["json"]).get("id"): (r["status"], r["json"]) for r in got if r["kind"] == "call"}
+    assert own["a"] == ("ok", '{"arguments":"{\\"limit\\":2,\\"query\\":\\"q\\"}","id":"a","name":"search","role":"assistant"}')
+    b = json.loads(own["b"][1])
+    assert own["b"][0] == "ok" and b["name"] == "calculator" and b["arguments"] == '{"expression":"${a}+1"}' and json.loads(b["extra"]) == {"function": {"strict": True}, "index": 1}
+    assert own["c"][0] == "missing query" and json.loads(own["c"][1])["extra"] == '{"note":{"x":"ä","y":1}}'
+    assert own["d"][0] == "unknown tool" and json.loads(json.loads(own["d"][1])["extra"]) == {"type": "other"} and len(got) == 7
+    place = {(r["kind"], json.loads(r["json"]).get("id") or json.loads(r["json"]).get("tool_call_id")): r["position"] for r in got}
+    assert place["result", "a"] < place["call", "b"] < place["result", "b"]
