@@ -1,7 +1,7 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license templates.
 
 DataFrame functions only. A block is a line, or a run of words about as long as a template wherever lines end (places()). A block meets a template when it has at least CONTAINMENT of the template's
-distinct words. Words are ordered by their frequency over all blocks, the rarest first. A block with enough of a template's
+distinct words, those that name the license among them, and none that names another. Words are ordered by their frequency over all blocks, the rarest first. A block with enough of a template's
 words has one of the template's first n - needed + 1 words (prefix filter), has enough template words at all (length filter),
 and has enough of them from the shared word's place on (positional filter); what passes is counted exactly.
 """
@@ -33,11 +33,29 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "licensed under creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "licensed under creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", "licensed under creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nd", "licensed under creative commons attribution noderivatives 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal"),
     ("proprietary", "all rights reserved no part of this work may be reproduced without permission"),
 )
+#: The words without which a template isn't met, however many of the others there are: those that name its license.
+MUST = {
+    "released under the mit license": ("mit",), "licensed under the apache license version 2 0": ("apache",), "this work is licensed under the gnu general public license version 3": ("gnu", "3"),
+    "this work is licensed under the gnu general public license version 2": ("gnu", "2"), "licensed under the gnu lesser general public license": ("lesser",), "licensed under the gnu affero general public license version 3": ("affero",),
+    "this source code form is subject to the terms of the mozilla public license v 2 0": ("mozilla",), "licensed under creative commons attribution 4 0 international license": ("attribution",),
+    "licensed under creative commons attribution noncommercial 4 0 international license": ("noncommercial",), "licensed under creative commons attribution sharealike 4 0 international license": ("sharealike",),
+    "licensed under creative commons attribution noderivatives 4 0 international license": ("noderivatives",), "licensed under cc by sa 4 0": ("sa",), "licensed under cc by nc 4 0": ("nc",), "dedicated to the public domain under cc0 1 0 universal": ("cc0",),
+    "all rights reserved no part of this work may be reproduced without permission": ("reserved",),
+}
+#: The words beside which a template isn't met: they make its license another one.
+BARRED = {
+    "licensed under creative commons attribution 4 0 international license": ("noncommercial", "sharealike", "noderivatives"),
+    "licensed under creative commons attribution noncommercial 4 0 international license": ("sharealike", "noderivatives"), "licensed under creative commons attribution sharealike 4 0 international license": ("noncommercial",),
+    "licensed under creative commons attribution noderivatives 4 0 international license": ("noncommercial",),
+}
 
 
 def _lower(text: Column) -> Column:
@@ -69,17 +87,17 @@ def _needed(template: str) -> int:
 def places(docs: DataFrame, counted: dict[str, int]) -> DataFrame:
     """doc_id, row_hash, label, score for the labels whose template a run of words meets, whatever the lines.
 
-    A run is SLACK words longer than the template. One that meets it has one of the template's rarest n - needed + 1 words
+    A run is SLACK words longer than the template; words that name another license bar it from SLACK words before to as many after it. One that meets it has one of the template's rarest n - needed + 1 words
     (by counted), so only the runs around these are looked at, and each is counted exactly. Its place goes from the first to the
     last of the template's words; a template goes where half of its place or more lies in that of a label contained more.
     """
     index = []
     for k, (label, template) in enumerate(TEMPLATES):
         own, needed = sorted(set(template.split()), key=lambda w: (counted.get(w, 0), w)), _needed(template)
-        index += [(word, k, label, own, needed, len(template.split()) + SLACK) for word in own[: len(own) - needed + 1]]
-    most = max(x[-1] for x in index)
+        index += [(word, k, label, own, needed, len(template.split()) + SLACK, list(MUST.get(template, ())), list(BARRED.get(template, ()))) for word in own[: len(own) - needed + 1]]
+    most = max(x[5] for x in index)
     spark = docs.sparkSession
-    prefix = F.broadcast(spark.createDataFrame(index, "word string, template int, label string, own array<string>, needed int, run int"))  # at most a row a word of TEMPLATES
+    prefix = F.broadcast(spark.createDataFrame(index, "word string, template int, label string, own array<string>, needed int, run int, must array<string>, barred array<string>"))  # at most a row a word of TEMPLATES
     rare = sorted({x[0] for x in index})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.split(_lower(F.col("text")), _GAP).alias("w"))
     rows = rows.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(x.isin(rare), i)), lambda i: i.isNotNull())).where(F.size("at") > 0)
@@ -88,7 +106,14 @@ def places(docs: DataFrame, counted: dict[str, int]) -> DataFrame:
     near = rows.select("doc_id", "row_hash", F.explode(around).alias("x")).select("doc_id", "row_hash", "x.*").join(prefix, "word")
     near = near.where(F.size(F.array_intersect("seg", "own")) >= F.col("needed"))
     starts = F.sequence(F.greatest(F.col("i") - F.col("run") + 1, F.lit(0)), F.col("i"))
-    runs = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(F.slice("seg", s - F.col("low") + 1, F.col("run")), F.col("own"))).alias("n"), (-s).alias("s")))
+
+    def counted_run(s: Column) -> Column:
+        run = F.slice("seg", s - F.col("low") + 1, F.col("run"))
+        about = F.slice("seg", F.greatest(s - F.col("low") - SLACK, F.lit(0)) + 1, F.col("run") + 2 * SLACK)
+        named = (F.size(F.array_except("must", run)) == 0) & ~F.arrays_overlap("barred", about)
+        return F.struct(F.when(named, F.size(F.array_intersect(run, F.col("own")))).otherwise(0).alias("n"), (-s).alias("s"))
+
+    runs = F.transform(starts, counted_run)
     near = near.withColumn("best", F.array_max(runs)).where(F.col("best.n") >= F.col("needed"))
     first = -F.col("best.s")
     inside = F.filter(F.sequence(F.lit(0), F.col("run") - 1), lambda j: F.coalesce(F.array_contains("own", F.get("seg", first - F.col("low") + j)), F.lit(False)))
@@ -114,10 +139,10 @@ def similar(docs: DataFrame) -> DataFrame:
     for k, (label, template) in enumerate(TEMPLATES):
         ranks, needed = sorted({order[w] for w in template.split()}), _needed(template)
         index += [(r, k, p, len(ranks), needed) for p, r in enumerate(ranks[: len(ranks) - needed + 1])]
-        whole.append((k, label, ranks, needed))
+        whole.append((k, label, ranks, needed, [order[w] for w in MUST.get(template, ())], [order[w] for w in BARRED.get(template, ())]))
     spark = docs.sparkSession
     prefix = F.broadcast(spark.createDataFrame(index, "rank int, template int, tpos int, n int, needed int"))  # at most a row a word of TEMPLATES
-    templates = F.broadcast(spark.createDataFrame(whole, "template int, label string, ranks array<int>, needed int"))
+    templates = F.broadcast(spark.createDataFrame(whole, "template int, label string, ranks array<int>, needed int, must array<int>, barred array<int>"))
     rank = F.create_map(*[F.lit(x) for w, r in order.items() for x in (w, r)])
     ranked = table.select("doc_id", "row_hash", "block", F.array_sort(F.transform("words", lambda w: F.element_at(rank, w))).alias("b"))
     each = ranked.select("doc_id", "row_hash", "block", "b", F.posexplode("b").alias("bpos", "rank"))
@@ -125,7 +150,8 @@ def similar(docs: DataFrame) -> DataFrame:
     found = each.join(prefix, "rank").where((F.size("b") >= F.col("needed")) & (left + F.least("tpos", "bpos") >= F.col("needed")))
     found = found.select("doc_id", "row_hash", "block", "b", "template").distinct().join(templates, "template")
     common = F.size(F.array_intersect("b", "ranks"))
-    met = found.where(common >= F.col("needed")).select("doc_id", "row_hash", "block", "label", (common / F.size("ranks")).alias("score"))
+    named = (F.size(F.array_except("must", "b")) == 0) & ~F.arrays_overlap("barred", "b")
+    met = found.where((common >= F.col("needed")) & named).select("doc_id", "row_hash", "block", "label", (common / F.size("ranks")).alias("score"))
     of_block = met.groupBy("doc_id", "row_hash", "block").agg(F.max("score").alias("score"), F.collect_set(F.struct("label", "score")).alias("all"))
     best = of_block.select("doc_id", "row_hash", "score", F.explode(F.filter("all", lambda x: x["score"] == F.col("score"))["label"]).alias("label"))
     return best.unionByName(places(docs, counted)).groupBy("doc_id", "row_hash", "label").agg(F.max("score").alias("score"))

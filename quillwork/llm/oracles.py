@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import oracles_more
 from .decontam import DRIFT, PIECE, PLAIN, PROMISING, SAME, SHORT, THRESHOLD, UNITS
-from .licenses import CONTAINMENT, PHRASES, TEMPLATES
+from .licenses import BARRED, CONTAINMENT, MUST, PHRASES, TEMPLATES
 from .mixing import MOST, SHARE, WEIGHTS
 
 #: Passes of the selection written out; at the small scale factors fewer leave no document that fits.
@@ -23,7 +23,7 @@ def _list(words) -> str:
 
 def _licenses() -> str:
     gap = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-    templates = ", ".join(f"({_q(label)}, {_list(sorted(set(t.split())))})" for label, t in TEMPLATES)
+    templates = ", ".join(f"({_q(label)}, {_list(sorted(set(t.split())))}, {_list(MUST.get(t, ()))}::VARCHAR[], {_list(BARRED.get(t, ()))}::VARCHAR[])" for label, t in TEMPLATES)
     places = ", ".join("list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] IS NOT DISTINCT FROM {_q(x)}" for k, x in enumerate(p.split())) + ")" for _, p in PHRASES)
     labels = ", ".join(f"CASE WHEN len(p[{k}]) > 0 THEN {_q(label)} END" for k, (label, _) in enumerate(PHRASES, 1))
     return f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
@@ -31,8 +31,8 @@ def _licenses() -> str:
     p AS (SELECT doc_id, w, [{places}] AS p FROM b),
     q AS (SELECT doc_id, len(w) AS n_words, flatten(p) AS f, list_sort(list_filter([{labels}], lambda x: x IS NOT NULL)) AS bl FROM p),
     l AS (SELECT doc_id, k, list_distinct(list_filter(regexp_split_to_array(ls[k], {gap}), lambda x: x <> '')) AS w FROM (SELECT doc_id, string_split(t, chr(10)) AS ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS k FROM d)),
-    t AS (SELECT * FROM (VALUES {templates}) AS v(label, tw)),
-    h AS (SELECT doc_id, k, label, len(list_intersect(w, tw)) / len(tw) AS s FROM l, t WHERE len(list_intersect(w, tw)) >= ceil(round({CONTAINMENT} * len(tw), 3))),
+    t AS (SELECT * FROM (VALUES {templates}) AS v(label, tw, must, barred)),
+    h AS (SELECT doc_id, k, label, len(list_intersect(w, tw)) / len(tw) AS s FROM l, t WHERE list_has_all(w, must) AND NOT list_has_any(w, barred) AND len(list_intersect(w, tw)) >= ceil(round({CONTAINMENT} * len(tw), 3))),
     m AS (SELECT *, max(s) OVER (PARTITION BY doc_id, k) AS top FROM h),
     n AS (SELECT doc_id, list(DISTINCT label) AS nl, max(s) AS s FROM m WHERE s = top GROUP BY doc_id)
     SELECT doc_id, n_words, len(f) AS n_base, list_min(f) - 1 AS first_word, list_max(f) - 1 AS last_word, array_to_string(bl, ',') AS base_labels,

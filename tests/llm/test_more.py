@@ -294,3 +294,19 @@ def test_usual_tool_calls(spark):
     assert own["d"][0] == "unknown tool" and json.loads(json.loads(own["d"][1])["extra"]) == {"type": "other"} and len(got) == 7
     place = {(r["kind"], json.loads(r["json"]).get("id") or json.loads(r["json"]).get("tool_call_id")): r["position"] for r in got}
     assert place["result", "a"] < place["call", "b"] < place["result", "b"]
+
+
+# ---- licenses named by the words that tell them apart ----
+
+
+def test_licenses_are_named_by_their_own_words(spark):
+    from quillwork.llm import licenses
+
+    rows = [
+        (1, "Licensed under the GNU General Public License."), (2, "The film was released under the name Dawn, and the license of the theatre ran out."),
+        (3, "Licensed under Creative Commons Attribution-NonCommercial 4.0 International license"), (4, "Licensed under Creative Commons Attribution 4.0 International license"),
+        (5, "Licensed under the GNU Lesser General Public License."), (6, "Er ging mit ihr. " * 40 + "Released under the MIT License. " + "Und so weiter. " * 40), (7, "Licensed under\nCreative Commons Attribution-\nShareAlike 4.0 International license."),
+        (8, "This work is licensed under the GNU General Public License, version 1."), (9, "Licensed under Creative Commons Attribution 4.0 International license. " + "text between them goes on " * 5 + "Licensed under Creative Commons Attribution-NoDerivatives 4.0 International license."),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "", 3: "cc-by-nc", 4: "cc-by", 5: "lgpl", 6: "mit", 7: "cc-by-sa", 8: "", 9: "cc-by,cc-by-nd"}
