@@ -113,7 +113,28 @@ def edits_to_tags_a(toks: Column, edits: Column) -> Column:
 
 
 def reconstruct_target(toks: Column, edits: Column) -> Column:
-    """The edits applied from right to left (stable by start): delete, insert one string, or replace by words."""
+    """The edits applied from right to left (stable by start): delete, insert one string, or replace by words. Edits apart from each other,
+    as nearly all are, are laid with what lies between them in one pass; others are applied one after another."""
+    none = F.array().cast("array<string>")
+
+    def placed(e: Column) -> Column:
+        base, cor = base_for(e["err_type"]), strip_space(e["correction"])
+        new = F.when(base == DELETE, none).when(base == APPEND, F.array(cor)).otherwise(tokens(cor))
+        return F.struct(e["start"].alias("start"), F.when(base == APPEND, e["start"]).otherwise(F.greatest(e["end"], e["start"])).alias("upto"), new.alias("new"))
+
+    def laid(t: Column, s: Column) -> Column:
+        n, last = F.size(t), F.coalesce(F.get(s, F.size(s) - 1)["upto"], F.lit(0))
+        before = lambda i: F.coalesce(F.get(s, i - 1)["upto"], F.lit(0))
+        apart = F.forall(F.transform(s, lambda x, i: (x["start"] >= before(i)) & (x["upto"] <= n) & ((i == 0) | (x["start"] > F.get(s, i - 1)["start"]))), lambda ok: ok)
+        pieces = F.transform(s, lambda x, i: F.concat(F.slice(t, before(i) + 1, F.greatest(x["start"] - before(i), F.lit(0))), x["new"]))
+        whole = F.flatten(F.concat(pieces, F.array(F.slice(t, last + 1, F.greatest(n - last, F.lit(0))))))
+        return F.when(apart, F.array_join(whole, " ")).otherwise(_one_by_one(t, edits))
+
+    real = F.filter(edits, lambda e: e["err_type"] != "noop")
+    return let(F.struct(toks.alias("t"), F.array_sort(F.transform(real, placed)).alias("s")), lambda x: laid(x["t"], x["s"]))
+
+
+def _one_by_one(toks: Column, edits: Column) -> Column:
     order = F.array_sort(F.transform(edits, lambda e, i: F.struct((-e["start"]).alias("k"), i.alias("i"), e.alias("e"))))
 
     def apply(acc: Column, x: Column) -> Column:

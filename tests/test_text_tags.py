@@ -105,3 +105,25 @@ def test_unicode_words(spark):
 def test_similarity_is_asymmetric(spark):
     assert one(spark, X.similarity_ratio(F.col("a"), F.col("b")), a="tide", b="diet") == 0.25
     assert one(spark, X.similarity_ratio(F.col("a"), F.col("b")), a="diet", b="tide") == 0.5
+
+
+def test_target_in_one_pass(spark):
+    """Edits apart, touching, overlapping, at one place and out of bounds: as when they are applied one after another."""
+    import random
+
+    r = random.Random(5)
+    edit = "struct<start:int,end:int,err_type:string,correction:string>"
+    rows = []
+    for k in range(600):
+        n = r.randint(0, 9)
+        toks, edits = [f"t{i}" for i in range(n)], []
+        at = 0
+        for _ in range(r.randint(0, 4)):
+            start = r.randint(at, n) if k % 2 and at <= n else r.randint(0, n + 1)
+            end = start + r.choice([0, 1, 1, 2])
+            at = end
+            edits.append((start, end, r.choice(["R:OTHER", "U:OTHER", "M:OTHER", "R:SPELL", "noop"]), r.choice(["x", "y z", "", " w "])))
+        rows.append((k, toks, edits))
+    df = spark.createDataFrame(rows, f"k int, toks array<string>, edits array<{edit}>")
+    got = df.select("k", tags.reconstruct_target(F.col("toks"), F.col("edits")).alias("a"), tags._one_by_one(F.col("toks"), F.col("edits")).alias("b")).collect()
+    assert len(got) == 600 and all(r["a"] == r["b"] for r in got)
