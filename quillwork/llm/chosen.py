@@ -33,7 +33,7 @@ PERCENT = 85
 TREES, BRANCH, CHOICES, AXES = 6, 2, 4, 60
 MET, MET_ALL = 3, 34
 SMALL, CELL = 24, 4096
-LEVELS = 2
+LEVELS = 1
 #: Set ids of candidates are broadcast up to so many.
 FEW = 1_000_000
 _SLICE = 1 << 20

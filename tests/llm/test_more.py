@@ -75,7 +75,7 @@ def test_chosen_paths(spark):
     assert got == near_brute(rows)
 
 
-@pytest.mark.parametrize("levels", [0, 1])
+@pytest.mark.parametrize("levels", [0, 2])
 def test_chosen_paths_below_the_root(spark, monkeypatch, levels):
     """With nodes closed at 2 texts nearly all go through leaders, branchings and early shingles."""
     monkeypatch.setattr(chosen, "SMALL", 2)
