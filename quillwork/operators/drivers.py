@@ -13,7 +13,7 @@ from quillwork.sources import io
 
 from . import reclass, score, tagger, tags
 from .align import TOKEN, minimise, plain_tokens
-from .typing_rules import edit_type, typed_edits
+from .typing_rules import typed_edits, with_type
 
 #: words array<string> -> array<TOKEN>, or a trained tagger, which needs the table; plain_tokens is the annotation without any.
 Annotator = Callable[[Column], Column] | tagger.Model
@@ -76,8 +76,8 @@ def reannotate(blocks: DataFrame, mode: str = "auto", annotate: Annotator = plai
         unsure = F.col("g.err_type") == "Um"
         start, end, cor = F.when(unsure, F.col("g.start")).otherwise(F.col("m.start")), F.when(unsure, F.col("g.end")).otherwise(F.col("m.end")), F.when(unsure, F.col("g.correction")).otherwise(F.col("m.cor"))
         c_start = F.col("g.c_start") + F.col("m.start") - F.col("g.start")
-        typ = edit_type(F.col("orig"), F.col("cor"), start, end, c_start, c_start + F.size(X.tokens(cor)), F.lit(False))
-        new = F.when(F.lit(old_cats), F.col("g.err_type")).when(unsure, "UNK").otherwise(typ)
+        e = with_type(e, "_type", F.col("orig"), F.col("cor"), start, end, c_start, c_start + F.size(X.tokens(cor)), F.lit(False))
+        new = F.when(F.lit(old_cats), F.col("g.err_type")).when(unsure, "UNK").otherwise(F.col("_type"))
         e = e.where(unsure | (F.col("m.end") > F.col("m.start")) | (F.col("m.cor") != ""))
         made = e.select("sent_id", "coder", "n", _edit(start, end, new, cor, F.col("coder")).alias("e"))
     else:

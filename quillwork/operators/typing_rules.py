@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.functions.text import is_alpha, similarity_ratio
+from quillwork.functions.text import is_alpha, let, similarity_ratio
 
 # Fixed values.
 RARE = ("INTJ", "NUM", "SYM", "X")
@@ -40,15 +40,27 @@ def one_sided(toks: Column) -> Column:
     return F.when((F.size(pos) == 1) & ~p.isin(*RARE), p).when((F.size(dep) == 1) & _mapped(d).isNotNull(), _mapped(d)).when(F.array_sort(pos) == F.array(F.lit("PART"), F.lit("VERB")), "VERB").otherwise("OTHER")
 
 
-def two_sided(o: Column, c: Column, in_list: Column, stem: Callable | None = None) -> Column:
-    """The category of a replacement, the first rule that holds. in_list: whether the original word or its lower case is known."""
+def _unknown(o: Column, c: Column, in_list: Column) -> Column:
+    """Whether one word that no list knows is replaced by one of another lemma."""
+    a, b = F.try_element_at(o, F.lit(1)), F.try_element_at(c, F.lit(1))
+    return (F.size(o) == 1) & (F.size(c) == 1) & is_alpha(a["text"]) & ~in_list & (a["lemma"] != b["lemma"])
+
+
+def _alike(o: Column, c: Column, in_list: Column) -> Column:
+    unknown = _unknown(o, c, in_list)
+    return similarity_ratio(F.when(unknown, F.try_element_at(o, F.lit(1))["text"]), F.when(unknown, F.try_element_at(c, F.lit(1))["text"])) > 0.5
+
+
+def two_sided(o: Column, c: Column, in_list: Column, stem: Callable | None = None, alike: Column | None = None) -> Column:
+    """The category of a replacement, the first rule that holds. in_list: whether the original word or its lower case is known; alike:
+    whether an unknown word is like its replacement, if that is a column already."""
     one = (F.size(o) == 1) & (F.size(c) == 1)
     a, b = F.try_element_at(o, F.lit(1)), F.try_element_at(c, F.lit(1))
     pos = F.array_distinct(F.concat(_get(o, "pos"), _get(c, "pos")))
     dep = F.array_distinct(F.concat(_get(o, "dep"), _get(c, "dep")))
     low = lambda toks: F.array_sort(F.transform(toks, lambda t: F.lower(t["text"])))
-    unknown = one & is_alpha(a["text"]) & ~in_list & (a["lemma"] != b["lemma"])
-    alike = similarity_ratio(F.when(unknown, a["text"]), F.when(unknown, b["text"])) > 0.5
+    unknown = _unknown(o, c, in_list)
+    alike = _alike(o, c, in_list) if alike is None else alike
     inflected = a["pos"].isin(*INFLECTED) & b["pos"].isin(*INFLECTED)
     stems = (stem(a) == stem(b)) if stem else F.lit(False)
     p, d = F.try_element_at(pos, F.lit(1)), F.try_element_at(dep, F.lit(1))
@@ -82,17 +94,23 @@ def trimmed(o: Column, c: Column) -> Column:
     return F.when(last > 0, F.array_min(F.filter(F.sequence(F.lit(0), last), stops))).otherwise(F.lit(0))
 
 
-def edit_type(orig: Column, cor: Column, o_start: Column, o_end: Column, c_start: Column, c_end: Column, in_list: Column, stem: Callable | None = None) -> Column:
-    """M:, U:, R: with a category, or UNK, for the spans of two annotated sentences. The span itself is not trimmed."""
+def with_type(df: DataFrame, out: str, orig: Column, cor: Column, o_start: Column, o_end: Column, c_start: Column, c_end: Column, in_list: Column, stem: Callable | None = None) -> DataFrame:
+    """df with out: M:, U:, R: with a category, or UNK, for the spans of two annotated sentences. The span itself is not trimmed.
+
+    The trimmed sides are a column, and so is the likeness of their words, which is the one Python step: the rules ask for them many times.
+    """
     empty = F.array().cast("array<struct<text:string,lemma:string,pos:string,tag:string,dep:string>>")
     part = lambda toks, a, b: F.when(b > a, F.slice(toks, a + 1, b - a)).otherwise(empty)
-    o, c = part(orig, o_start, o_end), part(cor, c_start, c_end)
-    k = trimmed(o, c)
-    o, c = F.slice(o, 1, F.size(o) - k), F.slice(c, 1, F.size(c) - k)
-    return (
+    cut = lambda s, k: F.struct(*[F.slice(s[x], 1, F.size(s[x]) - k).alias(x) for x in ("o", "c")])
+    sides = let(F.struct(part(orig, o_start, o_end).alias("o"), part(cor, c_start, c_end).alias("c")), lambda s: let(trimmed(s["o"], s["c"]), lambda k: cut(s, k)))
+    df = df.withColumn("_in", in_list).withColumn("_sides", sides)
+    o, c = F.col("_sides.o"), F.col("_sides.c")
+    df = df.withColumn("_alike", _alike(o, c, F.col("_in")))
+    kind = (
         F.when((F.size(o) == 0) & (F.size(c) == 0), "UNK").when(F.size(o) == 0, F.concat(F.lit("M:"), one_sided(c))).when(F.size(c) == 0, F.concat(F.lit("U:"), one_sided(o)))
-        .when(_get(o, "text") == _get(c, "text"), "UNK").otherwise(F.concat(F.lit("R:"), two_sided(o, c, in_list, stem)))
+        .when(_get(o, "text") == _get(c, "text"), "UNK").otherwise(F.concat(F.lit("R:"), two_sided(o, c, F.col("_in"), stem, F.col("_alike"))))
     )
+    return df.withColumn(out, kind).drop("_in", "_sides", "_alike")
 
 
 def typed_edits(pairs: DataFrame, word_list: DataFrame | None = None, merge: str = "rules", stem: Callable | None = None) -> DataFrame:
@@ -114,6 +132,6 @@ def typed_edits(pairs: DataFrame, word_list: DataFrame | None = None, merge: str
         in_list = F.coalesce("_k", "_kl", F.lit(False))
     else:
         in_list = F.lit(False)
-    cat = edit_type(F.col("orig"), F.col("cor"), F.col("o_start"), F.col("o_end"), F.col("c_start"), F.col("c_end"), in_list, stem)
+    e = with_type(e, "err_type", F.col("orig"), F.col("cor"), F.col("o_start"), F.col("o_end"), F.col("c_start"), F.col("c_end"), in_list, stem)
     words = F.when(F.col("c_end") > F.col("c_start"), F.slice(F.transform("cor", lambda t: t["text"]), F.col("c_start") + 1, F.col("c_end") - F.col("c_start"))).otherwise(F.array().cast("array<string>"))
-    return e.select("sent_id", "o_start", "o_end", cat.alias("err_type"), F.array_join(words, " ").alias("correction"), "c_start", "c_end")
+    return e.select("sent_id", "o_start", "o_end", "err_type", F.array_join(words, " ").alias("correction"), "c_start", "c_end")
