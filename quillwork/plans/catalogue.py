@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import stem, tables
 from quillwork.functions.counters import Counters
 from quillwork.functions import text as X
-from quillwork.operators import align, cluster, drivers, image, loop, reclass, score, tagger, tags, typing_rules
+from quillwork.operators import align, cluster, drivers, image, loop, net, reclass, score, tagger, tags, typing_rules
 from quillwork.sources import io
 
 from .derived import TAG_MAP, derived_edits, doc_tokens, flat, hypotheses, sentence_pairs, table, tagged_sentences
@@ -396,6 +396,21 @@ def image_features(spark, sf_dir):
     return image.extract(img, rho_step=2, step=1, lag=2)
 
 
+def datasets_corrected(spark, sf_dir):
+    """Three rounds over all turns, each role a dataset that stops when it has settled."""
+    c = table(spark, sf_dir, "conversations").select(F.col("role").alias("dataset"), (F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), "text")
+    fixes = spark.createDataFrame([("of", "$DELETE", 0.9), ("the", "$REPLACE_SPELL_a", 0.95), ("a", "$APPEND_an", 0.6), ("de", "$REPLACE_la", 0.85)], "word string, tag string, conf double")
+    return loop.correct_datasets(c, loop.dictionary_predictor(fixes)).select("dataset", "sent_id", F.col("iteration").cast("int").alias("iteration"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def trained_tagger(spark, sf_dir):
+    """A tagger trained on four fifths of the tagged sentences of all turns, judged on the rest: what each epoch came to."""
+    s = tagged_sentences(spark, sf_dir).withColumnRenamed("words", "tokens")
+    config = net.Config(rows=2048, width=12, steps=3, epochs=3, cold=1, rate=0.1, cold_rate=0.2)
+    state = net.train(s.where("sent_id % 5 <> 0"), s.where("sent_id % 5 = 0"), sorted(t for t, _ in TAG_MAP), config=config)
+    return spark.createDataFrame([(h["epoch"], round(h["loss"], 6), h["tokens"], h["right"]) for h in state.history], "epoch int, loss double, tokens long, right long")
+
+
 def correction_loop(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), "text")
     fixes = spark.createDataFrame([("of", "$DELETE", 0.9), ("the", "$REPLACE_SPELL_a", 0.95), ("a", "$APPEND_an", 0.6), ("de", "$REPLACE_la", 0.85)], "word string, tag string, conf double")
@@ -407,6 +422,6 @@ QUERIES = {f.__name__: f for f in (
     sanitize_tokens, diacritic_fix_pairs, punct_and_case, ordinal_split_counts, row_slice, annotated_left_join, edits_by_text, run_counters, grey_pictures, first_target_per_source, full_tag_build, rare_tag_collapse, top_tags, class_weights,
     edits_to_tags, edits_to_tags_a, apply_tags, reconstruct_target, all_keep_counts, clean_sample, reclassify_pass1, msd_decode, lexicon_reclass, lexicon_reclass_noise, threshold_mask,
     prf_by_category, prf_token_detection, prf_span_detection, prf_correction_type, prf_rollup, best_annotator, binary_fbeta, class_fbeta, class_fbeta_exact, sequence_run_f1, char_levenshtein,
-    similarity_ratio, align_edits, typed_edits, stem_words, pos_tags, annotated_pairs, sobel_edges, edge_profile, autocorr_peak, reflection_score_axis0, image_features, correction_loop,
+    similarity_ratio, align_edits, typed_edits, stem_words, pos_tags, annotated_pairs, sobel_edges, edge_profile, autocorr_peak, reflection_score_axis0, image_features, correction_loop, datasets_corrected, trained_tagger,
 )}
 QUERIES |= ROUNDTRIPS

@@ -255,3 +255,9 @@ ORACLES |= {
     "run_counters": f"{_E}, {_ORIG}, yy AS (SELECT *, CASE WHEN err_type = 'M:OTHER' THEN c ELSE o END AS s FROM y), rt AS (SELECT err_type, {_PASS1} AS new_type FROM yy), cl AS (SELECT t.doc_id FROM t WHERE t.doc_id NOT IN (SELECT doc_id FROM e)) SELECT * FROM (VALUES ('edits', (SELECT count(*) FROM e)), ('retyped', (SELECT count(*) FROM rt WHERE err_type <> new_type)), ('sentences', (SELECT count(*) FROM t)), ('tokens', (SELECT sum(len(toks))::BIGINT FROM t)), ('written', (SELECT count(*) FROM t)), ('clean', (SELECT count(*) FROM cl)), ('kept_clean', (SELECT count(*) FROM cl))) AS x(counter, n)",
     "grey_pictures": f"SELECT vec_id, 8 AS h, 8 AS w, list_sum(list_transform(embedding, lambda x: {_GREY}))::BIGINT AS total, list_max(list_transform(embedding, lambda x: {_GREY}))::BIGINT AS top FROM embeddings",
 }
+
+ORACLES |= {
+    "datasets_corrected": r"""WITH c AS (SELECT role AS dataset, conv_id * 1000 + turn AS sent_id, translate(trim(text), 'ţşŢŞ', 'țșȚȘ') AS text FROM conversations),
+    w AS (SELECT dataset, sent_id, list_filter(string_split_regex(text, '[\t-\r ]+'), lambda x: x <> '' AND x <> 'of') AS w FROM c WHERE text <> '')
+    SELECT dataset, sent_id, i::INT AS iteration, md5(array_to_string(list_transform(w, lambda x: CASE x WHEN 'the' THEN 'a' WHEN 'de' THEN 'la' ELSE x END), ' ')) AS text_md5 FROM w, (SELECT unnest([1, 2, 3]) AS i)""",
+}
