@@ -140,7 +140,12 @@ def decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray] = decode_pic
 
 
 def extract(images: DataFrame, **grid) -> DataFrame:
-    """images (image, img) with their features; images are independent, and partitions are the parallelism."""
+    """images (image, img) with their features; images are independent, and partitions are the parallelism: a table of fewer than the cluster
+    has cores is dealt out first, since an image costs far more to search than to move."""
+    cores = images.sparkSession.sparkContext.defaultParallelism
+    if images.rdd.getNumPartitions() < cores:
+        images = images.repartition(cores)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             got = [features(np.asarray(i["px"], np.float32).reshape(i["h"], i["w"]), **grid) for i in pdf["img"]]
