@@ -10,13 +10,14 @@ from quillwork.functions.counters import Counters
 
 # Fixed values.
 AGREEMENT = (
-    ("a", "au"), ("este", "sunt"), ("era", "erau"), ("a fost", "au fost"), ("fusese", "fuseseră"), ("face", "fac"), ("vine", "vin"), ("merge", "merg"),
-    ("poate", "pot"), ("vrea", "vor"), ("știe", "știu"), ("are", "au"),
+    ("a", "au"), ("au", "a"), ("este", "sunt"), ("sunt", "este"), ("era", "erau"), ("erau", "era"), ("a fost", "au fost"), ("au fost", "a fost"), ("fusese", "fuseseră"), ("fuseseră", "fusese"),
+    ("face", "fac"), ("fac", "face"), ("vine", "vin"), ("vin", "vine"), ("merge", "merg"), ("merg", "merge"), ("poate", "pot"), ("pot", "poate"), ("vrea", "vor"), ("vor", "vrea"),
+    ("știe", "știu"), ("știu", "știe"), ("are", "au"), ("au", "are"), ("trebuie", "trebuiesc"),
 )
-AGREEMENT_ONE_WAY = (("trebuie", "trebuiesc"),)
 TENSE = (
-    ("merge", "a mers"), ("face", "a făcut"), ("vine", "a venit"), ("este", "a fost"), ("are", "a avut"), ("știe", "a știut"), ("vede", "a văzut"),
-    ("zice", "a zis"), ("pune", "a pus"), ("vine", "va veni"), ("merge", "va merge"),
+    ("merge", "a mers"), ("a mers", "merge"), ("face", "a făcut"), ("a făcut", "face"), ("vine", "a venit"), ("a venit", "vine"), ("este", "a fost"), ("a fost", "este"),
+    ("are", "a avut"), ("a avut", "are"), ("știe", "a știut"), ("a știut", "știe"), ("vede", "a văzut"), ("a văzut", "vede"), ("zice", "a zis"), ("a zis", "zice"),
+    ("pune", "a pus"), ("a pus", "pune"), ("vine", "va veni"), ("va veni", "vine"), ("merge", "va merge"), ("va merge", "merge"),
 )
 AGREEMENT_2 = (
     ("a", "au"), ("au", "a"), ("su", "au"), ("su", "și"), ("ai", "au"), ("au", "ai"), ("am", "a"), ("a", "am"), ("vi", "fi"), ("ri", "fi"), ("vor", "va"), ("va", "vor"),
@@ -31,10 +32,9 @@ TENSES = {"p": "pres", "i": "imperf", "s": "past", "l": "pluperf", "f": "fut"}
 CASES = {"n": "nom", "g": "gen", "d": "dat", "a": "acc", "v": "voc", "r": "nom/acc", "y": "gen/dat"}
 
 
-def pair_in(orig: Column, cor: Column, pairs: tuple, both_ways: bool = False) -> Column:
+def pair_in(orig: Column, cor: Column, pairs: tuple) -> Column:
     """Whether the lower-cased (orig, cor) is among pairs."""
-    every = pairs + tuple((b, a) for a, b in pairs) if both_ways else pairs
-    return F.concat_ws("\t", F.lower(orig), F.lower(cor)).isin(*dict.fromkeys(f"{a}\t{b}" for a, b in every))
+    return F.concat_ws("\t", F.lower(orig), F.lower(cor)).isin(*[f"{a}\t{b}" for a, b in pairs])
 
 
 def verb_form(orig: Column, cor: Column) -> Column:
@@ -53,7 +53,7 @@ def replace_type(orig: Column, cor: Column, err_type: Column) -> Column:
     return (
         F.when(err_type != "R:OTHER", err_type)
         .when(X.whitespace_fix(orig, cor) | X.case_fix(o, c), "R:ORTH").when(X.punct_only(orig, cor), "R:PUNCT").when(X.diacritic_fix(o, c), "R:SPELL")
-        .when(pair_in(o, c, AGREEMENT, True) | pair_in(o, c, AGREEMENT_ONE_WAY), "R:VERB:SVA").when(pair_in(o, c, TENSE, True), "R:VERB:TENSE")
+        .when(pair_in(o, c, AGREEMENT), "R:VERB:SVA").when(pair_in(o, c, TENSE), "R:VERB:TENSE")
         .when(verb_form(o, c), "R:VERB:FORM").when(noun_form(o, c), "R:NOUN:FORM").otherwise(err_type)
     )
 

@@ -56,10 +56,6 @@ def _pairs(o: str, c: str, pairs) -> str:
     return f"(lower({o}) || chr(9) || lower({c})) IN (" + ", ".join(_q(f"{a}\t{b}") for a, b in dict.fromkeys(pairs)) + ")"
 
 
-def _both(pairs):
-    return [*pairs, *[(b, a) for a, b in pairs]]
-
-
 def _diacritic(o: str, c: str, frm: str = "ăâșțĂÂȘȚ", to: str = "aastAAST") -> str:
     return f"(translate(lower({o}), {_q(frm)}, {_q(to)}) = translate(lower({c}), {_q(frm)}, {_q(to)}) AND lower({o}) <> lower({c}))"
 
@@ -70,7 +66,7 @@ _R1 = _RATIO.format(o="po", c="pc")
 _PASS1 = f"""CASE WHEN err_type = 'R:OTHER' THEN CASE
  WHEN (replace(orig, ' ', '') = replace(correction, ' ', '') AND orig <> correction) OR (lower(o) = lower(c) AND o <> c) THEN 'R:ORTH'
  WHEN o = c OR o = '' OR c = '' THEN 'R:PUNCT' WHEN {_diacritic('o', 'c')} THEN 'R:SPELL'
- WHEN {_pairs('o', 'c', [*_both(reclass.AGREEMENT), *reclass.AGREEMENT_ONE_WAY])} THEN 'R:VERB:SVA' WHEN {_pairs('o', 'c', _both(reclass.TENSE))} THEN 'R:VERB:TENSE'
+ WHEN {_pairs('o', 'c', reclass.AGREEMENT)} THEN 'R:VERB:SVA' WHEN {_pairs('o', 'c', reclass.TENSE)} THEN 'R:VERB:TENSE'
  WHEN NOT {_diacritic('o', 'c')} AND {_R1} > 0.7 AND po <> pc AND len(o) > 2 THEN 'R:VERB:FORM'
  WHEN len(po) >= 3 AND len(pc) >= 3 AND {_R1} > 0.6 AND po <> pc THEN 'R:NOUN:FORM' ELSE err_type END
  WHEN err_type IN ('M:OTHER', 'U:OTHER') THEN CASE WHEN translate(s, {_q(PUNCT)}, '') = '' THEN left(err_type, 1) || ':PUNCT'
