@@ -54,6 +54,20 @@ def test_cluster_metrics(spark):
     assert cluster.davies_bouldin(p).first()[0] == pytest.approx(want)
 
 
+def test_silhouette_blocks_meet_in_every_partition(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(60, 3)), np.arange(60) % 3
+    p = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))], "id long, x array<double>, cluster int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = cluster.silhouette_rows(p, block=10).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(rows) == 60 and np.mean([r["s"] for r in rows]) == pytest.approx(brute_silhouette(x, y))
+
+
 def test_confidence_and_ties(spark):
     p = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "id long, x array<double>")
     c = spark.createDataFrame([(0, [1.0]), (1, [-1.0]), (2, [9.0])], "cluster int, c array<double>")
