@@ -161,8 +161,11 @@ def base_of(tag: Column) -> Column:
 
 
 def correction_of(tag: Column, compat_v2: bool = False) -> Column:
-    """What follows the base and an underscore, else null. compat_v2: the third part of a split at underscores, for replacements."""
+    """What follows the base and an underscore, else null: $REPLACE_VERBE replaces by VERBE and is no $REPLACE_VERB. compat_v2: the third
+    part of a split at underscores, for replacements."""
     base = base_of(tag)
+    for whole in reversed(BASES[1:]):
+        base = F.when((tag == whole) | tag.startswith(whole + "_"), whole).otherwise(base)
     after = F.substr(tag, F.length(base) + 2, F.length(tag))
     found = F.when(~base.isin(KEEP, DELETE) & tag.startswith(F.concat(base, F.lit("_"))) & (F.length(tag) > F.length(base) + 1), after)
     if compat_v2:

@@ -58,6 +58,11 @@ def test_apply_tags_keeps_unseen_words(spark):
     assert df.select(tags.apply_tags(F.col("toks"), F.col("tags")).alias("t")).first()["t"] == "a c x d e"
 
 
+def test_corrections_that_begin_like_a_base(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "d", "e"], ["$REPLACE_VERBERGE", "$REPLACE_NOUNS", "$REPLACE_VERB_x", "$REPLACE_SPELL_VERBS", "$REPLACE_ADJ"])], "toks array<string>, tags array<string>")
+    assert df.select(tags.apply_tags(F.col("toks"), F.col("tags")).alias("t")).first()["t"] == "VERBERGE NOUNS x VERBS e"
+
+
 def test_rare_tags_and_weights(spark):
     t = spark.createDataFrame([("$REPLACE_a",)] * 5 + [("$REPLACE_b",)] * 2 + [("$KEEP",)], "tag string")
     assert {r["tag"]: r["n"] for r in tags.collapse_rare(t).groupBy("tag").agg(F.count("*").alias("n")).collect()} == {"$REPLACE_a": 5, "$REPLACE": 2, "$KEEP": 1}
