@@ -29,6 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, tasks: int = 4) -> DataFrame:
+    """df dealt evenly to `tasks` tasks a core, before a step that costs far more than moving a row: partitions are made by bytes, which
+    may put all rows of such a step into one."""
+    return df.repartition(tasks * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a written() table that nothing reads any more."""
     path = getattr(df, "_quillwork_path", None)

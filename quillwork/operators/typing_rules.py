@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions.tables import dealt
 from quillwork.functions.text import is_alpha, let, similarity_ratio
 
 # Fixed values.
@@ -120,8 +121,8 @@ def typed_edits(pairs: DataFrame, word_list: DataFrame | None = None, merge: str
     """
     from .align import align
 
-    e = pairs.select("sent_id", "orig", "cor", F.posexplode(align(F.col("orig"), F.col("cor"), merge)).alias("n", "e"))
-    e = e.select("sent_id", "orig", "cor", "n", "e.*")
+    e = dealt(pairs).select("sent_id", "orig", "cor", F.posexplode_outer(align(F.col("orig"), F.col("cor"), merge)).alias("n", "e"))  # not outer, a filter would align again
+    e = e.where("e is not null").select("sent_id", "orig", "cor", "n", "e.*")
     word = F.try_element_at(F.col("orig"), F.col("o_start") + 1)["text"]
     e = e.withColumn("_w", F.when((F.col("o_end") - F.col("o_start") >= 1) & (F.size("orig") > F.col("o_start")), word))
     if word_list is not None:
