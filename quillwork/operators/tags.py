@@ -259,7 +259,13 @@ def sequences_by_source(rows: DataFrame) -> DataFrame:
     """source, tokens, tags, target, dataset for rows (row_idx, source, target, dataset, start, end, tag): the edits of equal sources
     are laid on one tag array in the order of row_idx, later ones over earlier; target and dataset are those of the first row."""
     e = F.struct("row_idx", "start", "end", "tag")
-    by = rows.groupBy("source").agg(F.array_sort(F.collect_list(e)).alias("e"), F.min_by("target", "row_idx").alias("target"), F.min_by("dataset", "row_idx").alias("dataset"))
+    return sequences_by_text(rows.select("source", F.array(e).alias("e"), "row_idx", "target", "dataset"))
+
+
+def sequences_by_text(texts: DataFrame) -> DataFrame:
+    """sequences_by_source() of texts (source, e array<struct<row_idx,start,end,tag>>, row_idx, target, dataset), each with all its edits, so
+    that a text is moved once and not with each of its edits. row_idx is that of its first edit."""
+    by = texts.groupBy("source").agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"), F.min_by("target", "row_idx").alias("target"), F.min_by("dataset", "row_idx").alias("dataset"))
     own = F.transform("e", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["tag"].alias("tag")))
     by = by.select("source", tokens(F.col("source")).alias("tokens"), own.alias("e"), "target", "dataset")
     return by.select("source", "tokens", edits_to_tags_a(F.col("tokens"), F.col("e")).alias("tags"), "target", "dataset")

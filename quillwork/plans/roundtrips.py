@@ -163,10 +163,12 @@ def epoch_loss(spark, sf_dir):
 
 def tags_by_source(spark, sf_dir):
     """The edits of documents with equal words on one tag array, in the order of documents and places."""
-    e = derived_edits(spark, sf_dir).select("doc_id", F.array_join("toks", " ").alias("source"), F.explode("edits").alias("e"))
-    tag = tags.full_tag(tags.base_for(F.col("e.err_type"), tags.GENERATION_A), F.col("e.correction"), False)
-    rows = e.select((F.col("doc_id") * 1000000 + F.col("e.start")).alias("row_idx"), "source", F.concat(F.lit("t"), "doc_id").alias("target"), F.lit("d").alias("dataset"), "e.start", "e.end", tag.alias("tag"))
-    out = tags.sequences_by_source(rows)
+    def tagged(e):
+        tag = tags.full_tag(tags.base_for(e["err_type"], tags.GENERATION_A), e["correction"], False)
+        return F.struct((F.col("doc_id") * 1000000 + e["start"]).alias("row_idx"), e["start"].alias("start"), e["end"].alias("end"), tag.alias("tag"))
+
+    e = derived_edits(spark, sf_dir).select("doc_id", F.array_join("toks", " ").alias("source"), F.transform("edits", tagged).alias("e"))
+    out = tags.sequences_by_text(e.where(F.size("e") > 0).select("source", "e", F.get("e", F.lit(0))["row_idx"].alias("row_idx"), F.concat(F.lit("t"), "doc_id").alias("target"), F.lit("d").alias("dataset")))
     return out.select(F.md5(F.col("source").cast("binary")).alias("source_md5"), "target", "dataset", F.md5(F.array_join("tags", "\n").cast("binary")).alias("tags_md5"))
 
 

@@ -132,3 +132,20 @@ def test_target_in_one_pass(spark):
     df = spark.createDataFrame(rows, f"k int, toks array<string>, edits array<{edit}>")
     got = df.select("k", tags.reconstruct_target(F.col("toks"), F.col("edits")).alias("a"), tags._one_by_one(F.col("toks"), F.col("edits")).alias("b")).collect()
     assert len(got) == 600 and all(r["a"] == r["b"] for r in got)
+
+
+def test_a_text_is_moved_once_and_edits_are_made_once(spark, tmp_path):
+    from quillwork.plans import roundtrips
+    from quillwork.plans.derived import derived_edits, flat
+
+    spark.createDataFrame([(k, "s", " ".join(f"w{i}" for i in range(40))) for k in range(3)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan(roundtrips.tags_by_source(spark, str(tmp_path)))
+    edits = flat(derived_edits(spark, str(tmp_path)))
+    assert plan(edits).count("split(") == 1 and edits.count() == 7
+
+
+def test_white_space_is_what_it_was(spark):
+    chars = "a".join(chr(i) for i in range(1, 0x3100))
+    want = [x for x in __import__("re").split("[\x09-\x0d\x1c-\x20\x85\xa0  -     　]+", chars) if x]
+    assert spark.createDataFrame([(chars,)], "c string").select(X.tokens(F.col("c")).alias("t")).first()["t"] == want
