@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillwork.functions import text as X
 from quillwork.plans import derived
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +11,24 @@ SF = "/root/testdata/sf0.001"
 def test_sentences_of_a_small_file_are_made_by_several_tasks(spark):
     for made in (derived.sentence_pairs(spark, SF), derived.tagged_sentences(spark, SF)):
         assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_scored_edits_are_made_once(spark):
+    hyp, ref = derived.hypotheses(spark, SF)
+    for edits in (hyp, ref):
+        assert edits.inputFiles() and all("/quillwork/edits-" in f for f in edits.inputFiles())
+
+
+def test_white_space_is_that_of_python(spark):
+    space = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = ["", " ", "a", "".join(space), None, *[f"{x}a{x}{x}b​{x}" for x in space]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", X.tokens(F.col("t")).alias("k"), X.strip_space(F.col("t")).alias("s"), X.has_word(F.col("t")).alias("h")).collect()
+    assert all((r["k"], r["s"], r["h"]) == ((None, None, None) if r["t"] is None else (r["t"].split(), r["t"].strip(), bool(r["t"].split()))) for r in got)
+
+
+def test_places_of_edits_are_those_of_their_law(spark, tmp_path):
+    rows = [(d, "s", " ".join("w" * n)) for d in (-40, -17, -1, 0, 1, 16, 17, 40) for n in (0, 1, 16, 17, 18, 60)] + [(None, "s", "w w"), (3, "s", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in derived.derived_edits(spark, str(tmp_path)).collect():
+        assert [e["start"] for e in r["edits"]] == ([] if r["doc_id"] is None else [p for p in range(len(r["toks"] or [])) if (r["doc_id"] + p) % 17 == 0])
