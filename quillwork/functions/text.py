@@ -38,6 +38,10 @@ def strip_space(c: Column) -> Column:
     return F.btrim(c, F.lit(_WS_CHARS))
 
 
+def lstrip_space(c: Column) -> Column:
+    return F.ltrim(c, F.lit(_WS_CHARS))
+
+
 def strip_punct(c: Column) -> Column:
     """Without punctuation at both ends, then without white space at both ends."""
     return strip_space(F.btrim(c, F.lit(PUNCT)))

@@ -13,16 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text", X.tokens(F.col("text")).alias("toks"))
+def doc_tokens(spark: SparkSession, sf_dir: str, some: bool = False) -> DataFrame:
+    """doc_id, source, text, toks; some: only documents with a word, which is known before they are split."""
+    d = table(spark, sf_dir, "documents")
+    return (d.where(X.has_word(F.col("text"))) if some else d).select("doc_id", "source", "text", X.tokens(F.col("text")).alias("toks"))
 
 
 TOKENS_SQL = r"t AS (SELECT doc_id, source, text, list_filter(string_split_regex(text, '[\t-\r ]+'), lambda x: x <> '') AS toks FROM documents)"
 
 
-def derived_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_edits(spark: SparkSession, sf_dir: str, some: bool = False) -> DataFrame:
     """doc_id, source, toks, edits: an edit at each place p of a document with (doc_id + p) mod 17 = 0, of one of four kinds."""
-    t = doc_tokens(spark, sf_dir)
+    t = doc_tokens(spark, sf_dir, some)
 
     def every(toks):
         n = F.size(toks)

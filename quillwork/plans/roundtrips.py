@@ -26,7 +26,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def _blocks(spark, sf_dir) -> DataFrame:
-    e = derived_edits(spark, sf_dir).where(F.size("toks") > 0)
+    e = derived_edits(spark, sf_dir, some=True)
     own = F.transform("edits", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["err_type"].alias("err_type"), F.translate(x["correction"], "|", "/").alias("correction"), F.lit("REQUIRED").alias("required"), F.lit("-NONE-").alias("comment"), F.lit("0").alias("coder")))
     return e.select(F.col("doc_id").alias("sent_id"), F.array_join("toks", " ").alias("source"), own.alias("edits"))
 

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillwork.functions.text import sanitize, split_fields, strip_space, tokens
+from quillwork.functions.tables import forget, written
+from quillwork.functions.text import has_word, let, lstrip_space, sanitize, split_fields, strip_space, tokens
 
 EDITS = "array<struct<start:int,end:int,err_type:string,correction:string,required:string,comment:string,coder:string>>"
 
@@ -22,7 +23,7 @@ def with_row_idx(df: DataFrame) -> DataFrame:
     splits = at.groupBy("_file", "_from").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
     splits = splits.select("_file", "_from", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return at.join(splits, ["_file", "_from"]).withColumn("row_idx", F.col("_before") + F.col("_id") - F.col("_first")).drop("_file", "_from", "_id", "_n", "_first", "_before")
+    return at.join(F.broadcast(splits), ["_file", "_from"]).withColumn("row_idx", F.col("_before") + F.col("_id") - F.col("_first")).drop("_file", "_from", "_id", "_n", "_first", "_before")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -84,22 +85,47 @@ def slice_rows(df: DataFrame, start: int, end: int, order: str = "row_idx") -> D
 
 def parse_m2(block: Column) -> Column:
     """struct<source, tokens, edits> of a block that begins with S; else null."""
-    lines = F.split(strip_space(block), "\n")
-    source = strip_space(F.substr(F.element_at(lines, 1), F.lit(3)))
+
+    def parsed(lines: Column) -> Column:
+        source = _m2_source(lines)
+        return F.when(F.element_at(lines, 1).startswith("S "), F.struct(source.alias("source"), tokens(source).alias("tokens"), _m2_edits(lines).alias("edits")))
+
+    return let(_m2_lines(block), parsed)
+
+
+def _m2_lines(block: Column) -> Column:
+    return F.split(strip_space(block), "\n")
+
+
+def _m2_source(lines: Column) -> Column:
+    return strip_space(F.substr(F.element_at(lines, 1), F.lit(3)))
+
+
+def _m2_edits(lines: Column) -> Column:
     parts = F.filter(F.transform(F.filter(lines, lambda x: x.startswith("A ")), split_fields), lambda p: F.size(p) >= 3)
+    placed = F.filter(F.transform(parts, lambda p: F.struct(p.alias("p"), tokens(F.substr(p[0], F.lit(3))).alias("at"))), lambda x: F.size(x["at"]) >= 2)
 
-    def one(p: Column) -> Column:
-        at = tokens(F.substr(p[0], F.lit(3)))
+    def one(x: Column) -> Column:
+        p, at = x["p"], x["at"]
         get = lambda i: strip_space(F.coalesce(F.try_element_at(p, F.lit(i)), F.lit("")))
         return F.struct(at[0].cast("int").alias("start"), at[1].cast("int").alias("end"), get(2).alias("err_type"), get(3).alias("correction"), get(4).alias("required"), get(5).alias("comment"), get(6).alias("coder"))
 
-    return F.when(F.element_at(lines, 1).startswith("S "), F.struct(source.alias("source"), tokens(source).alias("tokens"), F.transform(F.filter(parts, lambda p: F.size(tokens(F.substr(p[0], F.lit(3)))) >= 2), one).cast(EDITS).alias("edits")))
+    return F.transform(placed, one).cast(EDITS)
 
 
 def read_m2(spark: SparkSession, path: str) -> DataFrame:
-    """sent_id, source, tokens, edits for each block; empty or malformed blocks are left out, but keep their number."""
+    """sent_id, source, tokens, edits for each block; empty or malformed blocks are left out, but keep their number. Each is made by itself,
+    so that one not asked for isn't made, and the blocks left out are told by how they begin."""
     raw = with_row_idx(spark.read.option("lineSep", "\n\n").text(path))
-    return raw.select(F.col("row_idx").alias("sent_id"), parse_m2(F.col("value")).alias("b")).where("b is not null").select("sent_id", "b.*")
+    blocks = raw.where(_begins(F.col("value"))).select(F.col("row_idx").alias("sent_id"), _m2_lines(F.col("value")).alias("_lines"))
+    blocks = blocks.select("sent_id", "_lines", _m2_source(F.col("_lines")).alias("source"))
+    return blocks.select("sent_id", "source", tokens(F.col("source")).alias("tokens"), _m2_edits(F.col("_lines")).alias("edits"))
+
+
+def _begins(block: Column) -> Column:
+    """Whether the block, stripped, begins with S and a space."""
+    rest = lstrip_space(block)
+    return rest.startswith("S ") & has_word(F.substr(rest, F.lit(3)))
 
 
 def m2_text(source: Column, edits: Column) -> Column:
@@ -110,8 +136,10 @@ def m2_text(source: Column, edits: Column) -> Column:
 
 def write_m2(blocks: DataFrame, path: str, mode: str = "error") -> None:
     """blocks (sent_id, source, edits), in order across the part files."""
-    out = blocks.repartitionByRange("sent_id").sortWithinPartitions("sent_id").select(m2_text(F.col("source"), F.col("edits")).alias("value"))
+    lines = written(blocks.select("sent_id", m2_text(F.col("source"), F.col("edits")).alias("value")), "m2-lines")  # ranges are found by a pass of their own
+    out = lines.repartitionByRange("sent_id").sortWithinPartitions("sent_id").select("value")
     out.write.mode(mode).option("lineSep", "\n\n").text(path)
+    forget(lines)
 
 
 def merge_m2(spark: SparkSession, paths: list[str], path: str, mode: str = "error") -> None:
@@ -148,7 +176,7 @@ def report_lines(scores: DataFrame, name: str = "class", columns: tuple[str, ...
 
 def flat_edits(blocks: DataFrame) -> DataFrame:
     """sent_id, source, start_tok, end_tok, err_type, correction; a no-op becomes (-1, -1, correct, '')."""
-    e = blocks.select("sent_id", "source", F.posexplode("edits").alias("edit_idx", "e"))
+    e = blocks.select("sent_id", "source", F.posexplode_outer("edits").alias("edit_idx", "e")).where("edit_idx is not null")  # not outer, a filter would make edits twice
     noop = F.col("e.err_type") == "noop"
     return e.select("sent_id", "edit_idx", "source", F.when(noop, -1).otherwise(F.col("e.start")).alias("start_tok"), F.when(noop, -1).otherwise(F.col("e.end")).alias("end_tok"), F.when(noop, "correct").otherwise(F.col("e.err_type")).alias("err_type"), F.when(noop, "").otherwise(F.col("e.correction")).alias("correction"))
 

@@ -1,9 +1,13 @@
 """Steps that a query's time or memory hangs on as its tables grow: they are dealt, made once, and made right."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as X
-from quillwork.plans import derived
+from quillwork.operators import score, tags
+from quillwork.plans import catalogue, derived
+from quillwork.sources import io
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +36,13 @@ def test_places_of_edits_are_those_of_their_law(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for r in derived.derived_edits(spark, str(tmp_path)).collect():
         assert [e["start"] for e in r["edits"]] == ([] if r["doc_id"] is None else [p for p in range(len(r["toks"] or [])) if (r["doc_id"] + p) % 17 == 0])
+
+
+def test_m2_blocks_are_parsed_once(spark, tmp_path):
+    blocks = ["S a b\nA 0 1|||R:X|||c|||REQUIRED|||-NONE-|||0\nA 1 1|||M:X", "S ", "S  \n ", " \nS x \nA 1|||U:X|||", "A 0 1|||R:X|||c", "Sx", "S \nA 0 0|||M:X|||d|||REQUIRED|||-NONE-|||1"]
+    spark.createDataFrame([("\n\n".join(blocks),)], "value string").write.text(f"{tmp_path}/m2")
+    raw = io.with_row_idx(spark.read.option("lineSep", "\n\n").text(f"{tmp_path}/m2"))
+    want = raw.select(F.col("row_idx").alias("sent_id"), io.parse_m2(F.col("value")).alias("b")).where("b is not null").select("sent_id", "b.*")
+    got = io.read_m2(spark, f"{tmp_path}/m2")
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 3
+    assert io.flat_edits(got).select("start_tok")._jdf.queryExecution().optimizedPlan().toString().count(r"\|\|\|") == 1
