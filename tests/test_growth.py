@@ -66,3 +66,13 @@ def test_m2_blocks_are_parsed_once(spark, tmp_path):
     got = io.read_m2(spark, f"{tmp_path}/m2")
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 3
     assert io.flat_edits(got).select("start_tok")._jdf.queryExecution().optimizedPlan().toString().count(r"\|\|\|") == 1
+
+
+def test_tags_are_counted_before_they_are_joined(spark):
+    t = spark.createDataFrame([("$REPLACE_a",)] * 5 + [("$REPLACE_b",)] * 4 + [("$DELETE",)], "tag string")
+    n = t.groupBy("tag").agg(F.count("*").alias("n"))
+    assert set(tags.collapse_rare(n, weight="n").groupBy("tag").agg(F.sum("n").alias("n")).collect()) == set(tags.collapse_rare(t).groupBy("tag").agg(F.count("*").alias("n")).collect())
+    vocab = spark.createDataFrame([("$REPLACE",), ("$REPLACE_a",), ("$KEEP",)], "tag string")
+    assert set(tags.class_weights(n, vocab, "n").collect()) == set(tags.class_weights(t, vocab).collect())
+    for query in (catalogue.rare_tag_collapse, catalogue.class_weights):
+        assert all("/quillwork/tag-counts-" in f for f in query(spark, SF).inputFiles())
