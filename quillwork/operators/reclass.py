@@ -138,7 +138,8 @@ def pass_two(edits: DataFrame, lexicon: DataFrame, short_noise: bool = True) ->
 
     noise = F.lit(False)
     if short_noise:
-        noise = (F.length(X.strip_punct(orig)) <= 4) & (X.similarity_ratio(F.col("_o"), F.col("_c")) >= 0.5) & (F.col("_o") != F.col("_c"))
+        asked = (F.col("err_type") == "R:OTHER") & (F.length(X.strip_punct(orig)) <= 4) & (F.col("_o") != F.col("_c"))
+        noise = asked & (X.similarity_ratio(F.when(asked, F.col("_o")), F.when(asked, F.col("_c"))) >= 0.5)
     only = F.when(o.isNotNull() & c.isNull(), o["cat"]).when(o.isNull() & c.isNotNull(), c["cat"])
     new = (
         F.when(X.punct_only_nocase(orig, cor), "R:PUNCT").when(X.diacritic_fix(F.col("_o"), F.col("_c"), X.DIACRITICS_2), "R:SPELL").when(noise, "R:SPELL").when(pair_in(F.col("_o"), F.col("_c"), AGREEMENT_2), "R:VERB:SVA")

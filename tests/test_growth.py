@@ -76,3 +76,7 @@ def test_tags_are_counted_before_they_are_joined(spark):
     assert set(tags.class_weights(n, vocab, "n").collect()) == set(tags.class_weights(t, vocab).collect())
     for query in (catalogue.rare_tag_collapse, catalogue.class_weights):
         assert all("/quillwork/tag-counts-" in f for f in query(spark, SF).inputFiles())
+
+
+def test_a_lexicon_is_made_of_distinct_words(spark):
+    assert all("/quillwork/words-" in f for f in catalogue._lexicon(spark, SF).inputFiles())
