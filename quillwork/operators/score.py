@@ -24,18 +24,22 @@ def edit_keys(edits: DataFrame, mode: str = "correction", multi: bool = False) -
         df = df.where("err_type <> 'UNK'")
     if multi:
         df = df.where((F.col("end") - F.col("start") >= 2) | (F.size(tokens(F.col("correction"))) >= 2))
-    start, end = F.col("start"), F.col("end")
     if mode == "token":
-        at = F.when(start == -1, F.array(start)).when(start == end, F.array(start)).when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
-        df = df.withColumn("_t", F.explode(at))
-        key = F.concat_ws("|", "_t", F.when(start == -1, F.col("_t")).otherwise(F.col("_t") + 1))
-    elif mode == "span":
-        key = F.concat_ws("|", start, end)
-    elif mode == "correction":
-        key = F.concat_ws("|", start, end, "correction")
-    else:
-        key = F.concat_ws("|", start, end, "err_type", "correction")
-    return df.select("sent_id", "coder", key.alias("key"), F.col("err_type").alias("cat"))
+        df = df.withColumn("_t", F.explode(_covered(F.col)))
+    return df.select("sent_id", "coder", _key(F.col, mode, F.col("_t") if mode == "token" else None).alias("key"), F.col("err_type").alias("cat"))
+
+
+def _covered(of) -> Column:
+    """The tokens of an edit, of(name) being its fields."""
+    start, end = of("start"), of("end")
+    return F.when(start == -1, F.array(start)).when(start == end, F.array(start)).when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _key(of, mode: str, t: Column | None = None) -> Column:
+    """What an edit is compared by, of(name) being its fields; in token mode, for its token t."""
+    if mode == "token":
+        return F.concat_ws("|", t, F.when(of("start") == -1, t).otherwise(t + 1))
+    return F.concat_ws("|", *[of(c) for c in {"span": ("start", "end"), "correction": ("start", "end", "correction"), "correction_type": ("start", "end", "err_type", "correction")}[mode]])
 
 
 def compare(hyp: DataFrame, ref: DataFrame) -> DataFrame:
@@ -50,12 +54,70 @@ def compare(hyp: DataFrame, ref: DataFrame) -> DataFrame:
     coder = F.lit(0).cast(dict(ref.dtypes)["coder"])  # a sentence without a reference edit has coder 0
     h = h.join(coders, "sent_id", "left").withColumn("coder", F.coalesce("coder", coder))
     j = h.join(r, ["sent_id", "coder", "key"], "full_outer")
-    noop_h, noop_r = F.coalesce(F.element_at("hc", 1) == "noop", F.lit(False)), F.coalesce(F.element_at("rc", 1) == "noop", F.lit(False))
+    noop_h, noop_r = F.coalesce(F.get("hc", 0) == "noop", F.lit(False)), F.coalesce(F.get("rc", 0) == "noop", F.lit(False))  # empty if the type is null
     kind = F.when(F.col("hc").isNotNull() & F.col("rc").isNotNull() & ~noop_h, "tp").when(F.col("rc").isNull() & ~noop_h, "fp").when(F.col("hc").isNull() & ~noop_r, "fn")
     j = j.withColumn("kind", kind).where("kind is not null").select("sent_id", "coder", "kind", F.explode(F.when(F.col("kind") == "fp", F.col("hc")).otherwise(F.col("rc"))).alias("cat"))
     return j.groupBy("sent_id", "coder", "cat").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")])
 
 
+_KEYS = "array<struct<key:string,cat:string>>"
+
+
+def _array_keys(edits: Column, mode: str) -> Column:
+    """edit_keys() of an array of edits, as an array of (key, cat)."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    if mode in ("correction", "correction_type"):
+        edits = F.filter(edits, lambda x: x["err_type"] != "UNK")
+    pair = lambda x, t=None: F.struct(_key(x.__getitem__, mode, t).alias("key"), x["err_type"].alias("cat"))
+    if mode == "token":
+        found = F.flatten(F.transform(edits, lambda x: F.transform(_covered(x.__getitem__), lambda t: pair(x, t))))
+    else:
+        found = F.transform(edits, lambda x: pair(x))
+    return F.coalesce(found.cast(_KEYS), F.array().cast(_KEYS))
+
+
+def _array_counts(x: Column) -> Column:
+    """array<(cat, tp, fp, fn)> of a sentence's keys, struct<h,r>, by hashed sets of keys; null if a key repeats on a side."""
+    h, r = x["h"], x["r"]
+    noop = lambda c: F.coalesce(c == "noop", F.lit(False))
+    none, size = F.lit(0).cast("long"), lambda a: F.size(a).cast("long")
+
+    def each(k: Column) -> Column:
+        def one(c: Column) -> Column:
+            own = F.struct(*[F.filter(k[s], lambda y: y["cat"].eqNullSafe(c))["key"].alias(s) for s in ("h", "r")])
+            return let(own, lambda o: F.struct(
+                c.alias("cat"), size(F.array_intersect(o["r"], k["real"])).alias("tp"), F.when(noop(c), none).otherwise(size(F.array_except(o["h"], k["r"]["key"]))).alias("fp"),
+                F.when(noop(c), none).otherwise(size(F.array_except(o["r"], k["h"]["key"]))).alias("fn"),
+            ))
+
+        once = (F.size(F.array_distinct(k["h"]["key"])) == F.size(k["h"])) & (F.size(F.array_distinct(k["r"]["key"])) == F.size(k["r"]))
+        return F.when(once, F.transform(F.array_compact(F.array_distinct(F.concat(k["h"]["cat"], k["r"]["cat"]))), one))
+
+    return let(F.struct(h.alias("h"), r.alias("r"), F.filter(h, lambda y: ~noop(y["cat"]))["key"].alias("real")), each)
+
+
+def array_compare(df: DataFrame, mode: str = "correction") -> DataFrame:
+    """compare() of sentences that are a row each, with arrays of edits and one reference coder, 0: no edit is moved, joined or sorted, so
+    that a task holds a row at a time and what is shuffled are counts.
+
+    df: sent_id, hyp, ref (array<struct<start,end,err_type,correction>>). Rows that share a sent_id or have none, and sentences with two
+    edits of one key on a side, go through compare().
+    """
+    keys = F.struct(_array_keys(F.col("hyp"), mode).alias("h"), _array_keys(F.col("ref"), mode).alias("r"))
+    counts = written(df.select("sent_id", let(keys, _array_counts).alias("n")), "sentence-counts")
+    odd = counts.groupBy("sent_id").agg(F.count("*").alias("_rows"), F.count("n").alias("_n")).where((F.col("_rows") > 1) | (F.col("_n") == 0) | F.col("sent_id").isNull())
+    odd, own, parts = odd.select(F.col("sent_id").alias("_odd")), counts, []
+    if odd.limit(1).count():
+        odd = written(odd, "odd-sentences")
+        among = F.col("sent_id").eqNullSafe(F.col("_odd"))
+        own, rest = counts.join(odd, among, "left_anti"), written(df.join(odd, among, "left_semi"), "odd-edits")
+        hyp, ref = (edit_keys(rest.select("sent_id", F.lit(0).alias("coder"), F.inline(side)), mode) for side in ("hyp", "ref"))
+        parts.append(compare(hyp.drop("coder"), ref))
+    own = own.select("sent_id", F.lit(0).alias("coder"), F.inline("n")).where("tp + fp + fn > 0")
+    return own.unionByName(parts[0]) if parts else own
+
+
 def precision(tp: Column, fp: Column) -> Column:
     return F.when(fp > 0, tp / (tp + fp)).otherwise(F.lit(1.0))
 

@@ -22,8 +22,9 @@ def doc_tokens(spark: SparkSession, sf_dir: str, some: bool = False) -> DataFram
 TOKENS_SQL = r"t AS (SELECT doc_id, source, text, list_filter(string_split_regex(text, '[\t-\r ]+'), lambda x: x <> '') AS toks FROM documents)"
 
 
-def derived_edits(spark: SparkSession, sf_dir: str, some: bool = False) -> DataFrame:
-    """doc_id, source, toks, edits: an edit at each place p of a document with (doc_id + p) mod 17 = 0, of one of four kinds."""
+def derived_edits(spark: SparkSession, sf_dir: str, some: bool = False, orig: bool = True) -> DataFrame:
+    """doc_id, source, toks, edits: an edit at each place p of a document with (doc_id + p) mod 17 = 0, of one of four kinds; orig: with
+    the words that it replaces."""
     t = doc_tokens(spark, sf_dir, some)
 
     def every(toks):
@@ -40,7 +41,7 @@ def derived_edits(spark: SparkSession, sf_dir: str, some: bool = False) -> DataF
             end = F.when(kind == 2, p).when(kind == 3, F.least(p + 2, n)).otherwise(p + 1)
             err = F.when(kind == 0, "R:OTHER").when(kind == 1, "U:OTHER").when(kind == 2, "M:OTHER").otherwise("R:SPELL")
             cor = F.when(kind == 0, changed).when(kind == 1, "").when(kind == 2, tok).otherwise(high)
-            return F.struct(p.cast("int").alias("start"), end.cast("int").alias("end"), err.alias("err_type"), cor.alias("correction"), X.span_text(toks, p, end).alias("orig"))
+            return F.struct(p.cast("int").alias("start"), end.cast("int").alias("end"), err.alias("err_type"), cor.alias("correction"), *([X.span_text(toks, p, end).alias("orig")] if orig else []))
 
         return F.transform(places, one)
 
@@ -72,6 +73,14 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return hyp, ref
 
 
+def hypotheses_by_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sent_id, hyp, ref: what hypotheses() has, a row a document with both sides as arrays."""
+    e = derived_edits(spark, sf_dir, orig=False).select(F.col("doc_id").alias("sent_id"), "edits")
+    place = lambda x: F.col("sent_id") + x["start"]
+    changed = lambda x: x.withField("correction", F.when(place(x) % 5 == 0, F.concat(x["correction"], F.lit("x"))).otherwise(x["correction"]))
+    return e.select("sent_id", F.transform(F.filter("edits", lambda x: place(x) % 3 > 0), changed).alias("hyp"), F.col("edits").alias("ref"))
+
+
 HYP_SQL = """h AS (SELECT doc_id, "start", "end", err_type, CASE WHEN (doc_id + "start") % 5 = 0 THEN correction || 'x' ELSE correction END AS correction FROM e WHERE (doc_id + "start") % 3 > 0)"""
 
 

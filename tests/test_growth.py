@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as X
@@ -80,3 +81,33 @@ def test_tags_are_counted_before_they_are_joined(spark):
 
 def test_a_lexicon_is_made_of_distinct_words(spark):
     assert all("/quillwork/words-" in f for f in catalogue._lexicon(spark, SF).inputFiles())
+
+
+def test_sentences_of_arrays_are_compared_as_rows(spark):
+    rng = random.Random(5)
+    types = ["R:A", "R:B", "M:A", "UNK", None]
+
+    def edits(repeat):
+        some = [rng.randrange(0, 12, 2) for _ in range(rng.randrange(7))]
+        return [(p, p + rng.randrange(3), rng.choice(types if repeat else [*types, "noop"]), rng.choice("xy")) for p in (some if repeat else sorted(set(some)))] + ([] if repeat or rng.random() < 0.8 else [(-1, -1, "noop", "-NONE-")])
+
+    single = [(k, edits(False), edits(False)) for k in range(60)]
+    odd = [(100 + k // 2, edits(True), edits(True)) for k in range(24)] + [(None, edits(True), edits(True))] * 2 + [(200 + k, edits(True), edits(True)) for k in range(24)] + [(300, None, [(0, 1, "R:A", "x")]), (301, [(0, 1, "R:A", "x")], None), (302, None, None)]
+    shape = "array<struct<start:int,end:int,err_type:string,correction:string>>"
+    for rows, modes in ((single + odd, score.MODES), (single, ["correction"]), ([], ["span"])):
+        df = spark.createDataFrame(rows, f"sent_id long, hyp {shape}, ref {shape}")
+        each = [df.select("sent_id", F.lit(0).alias("coder"), F.inline(side)) for side in ("hyp", "ref")]
+        for mode in modes:
+            hyp, ref = (score.edit_keys(e, mode) for e in each)
+            want, got = score.compare(hyp.drop("coder"), ref), score.array_compare(df, mode)
+            assert got.schema.simpleString() == want.schema.simpleString()
+            assert sorted(got.groupBy("sent_id", "coder", "cat").sum("tp", "fp", "fn").collect(), key=str) == sorted(want.groupBy("sent_id", "coder", "cat").sum("tp", "fp", "fn").collect(), key=str)
+    with pytest.raises(ValueError):
+        score.array_compare(df, "words")
+
+
+@pytest.mark.parametrize("query", [catalogue.prf_span_detection])
+def test_scores_are_made_of_counts_of_sentences(spark, query):
+    made = query(spark, SF)
+    assert made.inputFiles() and all("/quillwork/sentence-counts-" in f for f in made.inputFiles())
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
