@@ -106,7 +106,7 @@ def test_sentences_of_arrays_are_compared_as_rows(spark):
         score.array_compare(df, "words")
 
 
-@pytest.mark.parametrize("query", [catalogue.prf_span_detection, catalogue.prf_rollup])
+@pytest.mark.parametrize("query", [catalogue.prf_span_detection, catalogue.prf_rollup, catalogue.prf_correction_type])
 def test_scores_are_made_of_counts_of_sentences(spark, query):
     made = query(spark, SF)
     assert made.inputFiles() and all("/quillwork/sentence-counts-" in f for f in made.inputFiles())
