@@ -15,9 +15,9 @@ DIACRITICS_1 = ("ăâșțĂÂȘȚ", "aastAAST")
 DIACRITICS_2 = ("ăâșțĂÂȘȚîÎ", "aastAAStiI")
 PUNCT = ".,;:!?-–—()[]{}\"'„”"
 ASCII_PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Characters that Python's str.strip() and str.split() take for white space; a range apart, tested first, lets letters of ASCII go at once.
+#: Characters that Python's str.strip() and str.split() take for white space; the class is the same under (?U), by the properties of a character.
 _WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_WS = r"[[\x00-\x20\x{85}-\x{3000}]&&[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+_WS = r"[\s\x1C-\x1F]"
 
 
 def let(value: Column, body) -> Column:
@@ -49,12 +49,12 @@ def strip_punct(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words between Unicode white space, without empty ones."""
-    return F.array_remove(F.split(c, f"{_WS}+"), "")
+    return F.array_remove(F.split(c, f"(?U){_WS}+"), "")
 
 
 def has_word(c: Column) -> Column:
     """Whether tokens(c) has any: the first character that is no white space decides."""
-    return c.rlike(f"(?s)(?!{_WS}).")
+    return c.rlike(f"(?Us)(?!{_WS}).")
 
 
 def span_text(toks: Column, start: Column, end: Column) -> Column:

@@ -111,3 +111,13 @@ def test_scores_are_made_of_counts_of_sentences(spark, query):
     made = query(spark, SF)
     assert made.inputFiles() and all("/quillwork/sentence-counts-" in f for f in made.inputFiles())
     assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_split_by_one_class_of_characters(spark):
+    codes = spark.range(0x110000).where("(id < 55296 or id > 57343) and id <> 65279").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    odd = codes.where((F.size(X.tokens(F.concat(F.lit("a"), "c", F.lit("b")))) == 2) | ~X.has_word(F.col("c"))).select("id", "c", F.size(X.tokens(F.concat("c", F.lit("a"), "c", "c", F.lit("b"), "c"))).alias("n"), X.has_word(F.col("c")).alias("w"))
+    got = odd.collect()
+    assert [r.id for r in sorted(got)] == [x for x in range(0x110000) if chr(x).isspace()] and all(r.n == 2 and not r.w for r in got)
+    assert "&&" not in str(X.tokens(F.col("c"))) + str(X.has_word(F.col("c")))
+    rows = spark.createDataFrame([("",), (" \t",), (None,), ("\u3000a\x1c\u2003b\u200bc\n",), ("\ufeffa",)], "c string").select(X.tokens(F.col("c")).alias("t"), X.has_word(F.col("c")).alias("w")).collect()
+    assert [tuple(r) for r in rows] == [([], False), ([], False), (None, None), (["a", "b\u200bc"], True), (["\ufeffa"], True)]
