@@ -7,12 +7,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions.tables import dealt, written
+
 FEATURES = ("S_ref", "S_per_x", "S_per_y", "edge_density", "anisotropy")
-#: Rows whose distances one task of the silhouette computes at once.
-BLOCK = 1024
+#: The silhouette: points packed in a row, rows whose distances are taken at once, bytes of points that a task holds against its own,
+#: and sums that a task gathers before they leave it.
+BLOCK, ROWS, RIGHT, MOST = 2048, 64, 128 << 20, 1 << 20
+#: Squares of distances below this share of the points' own squares are taken by differences.
+NEAR = 1e-4
 
 
 def as_points(df: DataFrame, id_: str, columns: list[str] | tuple[str, ...] = FEATURES) -> DataFrame:
@@ -114,33 +121,110 @@ def per_cluster(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy(F.col("nearest").alias("cluster")).agg(F.avg("confidence").alias("mean_confidence"), F.count("*").alias("n"))
 
 
+def _blocks(points: DataFrame, block: int) -> DataFrame:
+    """b, n, d, wide, ids, clusters, x: points packed, at most `block` to a row, in order of their cluster; x are doubles if wide, else
+    floats, where these are the same numbers."""
+    kind = dict(points.dtypes)
+    names = ["id", "cluster", "x"]
+
+    def packed(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.take(pc.sort_indices(rows, [("cluster", "ascending")]))
+        x = np.stack([np.asarray(v, float) for v in rows["x"].to_pylist()])
+        with np.errstate(over="ignore"):
+            short = x.astype(np.float32)
+        wide = not np.array_equal(short, x, equal_nan=True)
+        lists = [pa.ListArray.from_arrays([0, len(rows)], rows[c].combine_chunks()) for c in names[:2]]
+        return pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([wide]), *lists, pa.array([(x if wide else short).tobytes()], pa.binary())], ["n", "d", "wide", "ids", "clusters", "x"])
+
+    def run(batches):
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += len(batch)
+            if n >= block:
+                rows = pa.Table.from_batches(waiting)
+                for at in range(0, n - n % block, block):
+                    yield packed(rows.slice(at, block))
+                waiting, n = rows.slice(n - n % block).to_batches(), n % block
+        if n:
+            yield packed(pa.Table.from_batches(waiting))
+
+    rows = points.select(*names).mapInArrow(run, f"n int, d int, wide boolean, ids array<{kind['id']}>, clusters array<{kind['cluster']}>, x binary")
+    return written(rows.withColumn("b", F.monotonically_increasing_id()), "silhouette-blocks")
+
+
+def distance_sums(x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the distances of each row of x to the runs of rows of y that begin at starts. Squares are taken by one product of matrices;
+    where two points are so near that this loses digits, or a number isn't finite, by their differences."""
+    with np.errstate(all="ignore"):
+        nx, ny = (x * x).sum(1), (y * y).sum(1)
+        usual = bool(np.isfinite(nx).all() and np.isfinite(ny).all())
+        left = np.concatenate([-2 * x, np.ones((len(x), 1)), nx[:, None]], 1)
+        right = np.ascontiguousarray(np.concatenate([y, ny[:, None], np.ones((len(y), 1))], 1).T)
+        out = np.empty((len(x), len(starts)))
+        for at in range(0, len(x), ROWS):
+            if usual:
+                sq = left[at : at + ROWS] @ right
+                if sq.min() <= NEAR * (nx[at : at + ROWS].max() + ny.max()):
+                    i, j = np.nonzero(sq <= NEAR * (nx[at : at + ROWS, None] + ny))
+                    for k in range(0, len(i), 1 << 14):
+                        p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                        sq[p, q] = ((x[at + p] - y[q]) ** 2).sum(1)
+            else:
+                sq = np.stack([((v - y) ** 2).sum(1) for v in x[at : at + ROWS]])
+            out[at : at + ROWS] = np.add.reduceat(np.sqrt(sq, out=sq), starts, axis=1)
+    return out
+
+
 def silhouette_rows(points: DataFrame, block: int = BLOCK) -> DataFrame:
     """id, cluster, a, b, s for each point (Euclidean). s = (b - a) / (max(a, b) + 1e-8), a = 0 for a cluster of one; null for one cluster.
 
-    Every distance has to be taken, but no pair is a row: points are dealt to blocks, each pair of blocks is one task's matrix of
-    at most block x block distances, and what leaves it is a sum by point and cluster.
+    Every distance has to be taken, but no pair is a row, and no point is copied for the blocks it meets: points are packed into blocks,
+    written once, and each part of the blocks reads all blocks from there (a product of rows that are blocks, RIGHT bytes held by a task).
+    What leaves a task is a sum by point and cluster.
     """
-    n = max(1, -(-points.count() // block))
-    base = points.select("id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))  # an int as its counterpart: an int and a bigint hash apart
-    others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.select("id", "cluster", "x", F.col("b").alias("i"), others.alias("j"))
-    right = base.select("cluster", "x", others.alias("i"), F.col("b").alias("j"))
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "cluster": [], "other": [], "total": [], "n": []})
-        x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        labels, code = np.unique(b["cluster"].to_numpy(), return_inverse=True)
-        out = np.zeros((len(a), len(labels)))
-        for at in range(0, len(a), 128):
-            dist = np.sqrt(((x[at : at + 128, None, :] - y[None, :, :]) ** 2).sum(2))
-            for k in range(len(labels)):
-                out[at : at + 128, k] = dist[:, code == k].sum(1)
-        m = len(labels)
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), m), "cluster": np.repeat(a["cluster"].to_numpy(), m), "other": np.tile(labels, len(a)), "total": out.ravel(), "n": np.tile(np.bincount(code), len(a))})
-
+    blocks = _blocks(points, block)
+    held = blocks.agg(F.sum(F.col("n") * F.when(F.col("wide"), F.col("d") * 8).otherwise(F.col("d") * 4)).alias("bytes")).first()["bytes"] or 0
+    mine = dealt(blocks.select("b", "wide", "d", "ids", "clusters", "x"))
+    every = blocks.select(*[F.col(c).alias(f"{c}_") for c in ("wide", "d", "clusters", "x")]).coalesce(-(-held // RIGHT) or 1)
     kind = dict(points.dtypes)
-    part = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(sums, f"id {kind['id']}, cluster {kind['cluster']}, other {kind['cluster']}, total double, n bigint")
+
+    def matrix(row: dict, end: str) -> np.ndarray:
+        return np.frombuffer(row[f"x{end}"].as_buffer(), float if row[f"wide{end}"].as_py() else np.float32).reshape(-1, row[f"d{end}"].as_py()).astype(float)
+
+    def run(batches):
+        at, x, ids, clusters, sums, sizes = None, None, None, None, {}, {}
+
+        def told():
+            """What the block at hand has come to."""
+            for k in range(0, len(ids) if sums else 0, rows := max(1, MOST // max(len(sums), 1))):
+                some, m = range(k, min(k + rows, len(ids))), len(sums)
+                index, others = np.repeat(np.asarray(some), m), pa.array(list(sums), clusters.type)
+                total = np.stack([t[k : k + rows] for t in sums.values()], 1).ravel()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(index)), clusters.take(pa.array(index)), others.take(pa.array(np.tile(np.arange(m), len(some)))), pa.array(total), pa.array(np.tile(list(sizes.values()), len(some)), pa.int64())], ["id", "cluster", "other", "total", "n"])
+            sums.clear()
+            sizes.clear()
+
+        for batch in batches:
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                if row["b"].as_py() != at:
+                    yield from told()
+                    at, x, ids, clusters = row["b"].as_py(), matrix(row, ""), row["ids"].values, row["clusters"].values
+                coded = row["clusters_"].values.dictionary_encode(null_encoding="encode")
+                code = coded.indices.to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                found, names, counts = distance_sums(x, matrix(row, "_"), starts), coded.dictionary.to_pylist(), np.diff([*starts, len(code)])
+                for j, run_at in enumerate(starts):
+                    name = names[code[run_at]]
+                    sums[name] = sums[name] + found[:, j] if name in sums else found[:, j]
+                    sizes[name] = sizes.get(name, 0) + int(counts[j])
+                if len(sums) * len(ids) > MOST:
+                    yield from told()
+        if at is not None:
+            yield from told()
+
+    part = mine.crossJoin(every.hint("shuffle_replicate_nl")).mapInArrow(run, f"id {kind['id']}, cluster {kind['cluster']}, other {kind['cluster']}, total double, n bigint")
     total = part.groupBy("id", "cluster", "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
     own = F.col("cluster") == F.col("other")
     a = F.max(F.when(own & (F.col("n") > 1), F.col("t") / (F.col("n") - 1)))

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as X
-from quillwork.operators import score, tags
+from quillwork.operators import cluster, score, tags
 from quillwork.plans import catalogue, derived
 from quillwork.sources import io
 
@@ -121,3 +122,30 @@ def test_words_are_split_by_one_class_of_characters(spark):
     assert "&&" not in str(X.tokens(F.col("c"))) + str(X.has_word(F.col("c")))
     rows = spark.createDataFrame([("",), (" \t",), (None,), ("\u3000a\x1c\u2003b\u200bc\n",), ("\ufeffa",)], "c string").select(X.tokens(F.col("c")).alias("t"), X.has_word(F.col("c")).alias("w")).collect()
     assert [tuple(r) for r in rows] == [([], False), ([], False), (None, None), (["a", "b\u200bc"], True), (["\ufeffa"], True)]
+
+
+def test_silhouette_copies_no_point_for_the_blocks_it_meets(spark):
+    """Blocks are rows of one written table; the plan has no copy of a point by block, and near, equal, far and odd points come out right."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)) + 1e4
+    x[20:30], x[30:35] = x[10:20], x[:5] + 1e-5
+    y = [i % 3 if i % 20 else None for i in range(60)]
+    p = spark.createDataFrame([(i % 58, [float(v) for v in r], c) for i, (r, c) in enumerate(zip(x, y))], "id long, x array<double>, cluster int").repartition(3)
+    got = cluster.silhouette_rows(p, block=7)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Generate" not in plan and plan.count("silhouette-blocks") + plan.count("Relation") >= 2
+    sums = {}
+    for i in range(60):
+        for j in range(60):
+            t = sums.setdefault((i % 58, y[i]), {}).setdefault(y[j], [0.0, 0])
+            t[0], t[1] = t[0] + np.sqrt(((x[i] - x[j]) ** 2).sum()), t[1] + 1
+    rows = got.collect()
+    assert len(rows) == len(sums)
+    for r in rows:
+        by = sums[r["id"], r["cluster"]]
+        a = next((t / (n - 1) for c, (t, n) in by.items() if c is not None and c == r["cluster"] and n > 1), 0.0)
+        b = min((t / n for c, (t, n) in by.items() if None not in (c, r["cluster"]) and c != r["cluster"]), default=None)
+        assert r["a"] == pytest.approx(a, abs=1e-9) and (r["b"] is None if b is None else r["b"] == pytest.approx(b, abs=1e-9))
+    few = spark.createDataFrame([(0, [float("nan")], 0), (1, [1.0], 0), (2, [3.0], 1)], "id long, x array<double>, cluster int")
+    assert {r["id"]: r["b"] for r in cluster.silhouette_rows(few).collect()}[1] == 2.0
+    assert cluster.silhouette_rows(few.limit(0)).count() == 0
