@@ -1,5 +1,6 @@
 """Steps that a query's time or memory hangs on as its tables grow: they are dealt, made once, and made right."""
 
+import os
 import random
 
 import numpy as np
@@ -149,3 +150,8 @@ def test_silhouette_copies_no_point_for_the_blocks_it_meets(spark):
     few = spark.createDataFrame([(0, [float("nan")], 0), (1, [1.0], 0), (2, [3.0], 1)], "id long, x array<double>, cluster int")
     assert {r["id"]: r["b"] for r in cluster.silhouette_rows(few).collect()}[1] == 2.0
     assert cluster.silhouette_rows(few.limit(0)).count() == 0
+
+
+def test_silhouette_shares_the_step(spark):
+    plan = catalogue.silhouette(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Generate" not in plan
