@@ -47,8 +47,8 @@ r AS (SELECT sent_id, every, row_number() OVER (PARTITION BY doc_id ORDER BY "st
 
 def m2_merged(spark, sf_dir):
     first, out = scratch(spark, "m2"), scratch(spark, "m2-merged")
-    io.write_m2(_blocks(spark, sf_dir), first)
-    io.merge_m2(spark, [first, first], out)
+    io.write_m2(_blocks(spark, sf_dir), first, compression="gzip")
+    io.merge_m2(spark, [first, first], out, compression="gzip")
     return _flat(io.read_m2(spark, out))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,10 +117,18 @@ def _m2_edits(lines: Column) -> Column:
 def read_m2(spark: SparkSession, path: str) -> DataFrame:
     """sent_id, source, tokens, edits for each block; empty or malformed blocks are left out, but keep their number. Each is made by itself,
     so that one not asked for isn't made, and the blocks left out are told by how they begin."""
-    raw = with_row_idx(spark.read.option("lineSep", "\n\n").text(path))
-    blocks = raw.where(_begins(F.col("value"))).select(F.col("row_idx").alias("sent_id"), _m2_lines(F.col("value")).alias("_lines"))
-    blocks = blocks.select("sent_id", "_lines", _m2_source(F.col("_lines")).alias("source"))
-    return blocks.select("sent_id", "source", tokens(F.col("source")).alias("tokens"), _m2_edits(F.col("_lines")).alias("edits"))
+    blocks = _m2_parts(with_row_idx(_m2_file(spark, path)), "row_idx")
+    return blocks.select(F.col("row_idx").alias("sent_id"), "source", tokens(F.col("source")).alias("tokens"), "edits")
+
+
+def _m2_file(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n\n").text(path)
+
+
+def _m2_parts(raw: DataFrame, *keys: str) -> DataFrame:
+    """keys, source, edits of raw's blocks (value)."""
+    blocks = raw.where(_begins(F.col("value"))).select(*keys, _m2_lines(F.col("value")).alias("_lines"))
+    return blocks.select(*keys, _m2_source(F.col("_lines")).alias("source"), _m2_edits(F.col("_lines")).alias("edits"))
 
 
 def _begins(block: Column) -> Column:
@@ -134,24 +143,46 @@ def m2_text(source: Column, edits: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("S "), source), F.transform(edits, line))
 
 
-def write_m2(blocks: DataFrame, path: str, mode: str = "error") -> None:
+def write_m2(blocks: DataFrame, path: str, mode: str = "error", compression: str = "none") -> None:
     """blocks (sent_id, source, edits), in order across the part files."""
     lines = written(blocks.select("sent_id", m2_text(F.col("source"), F.col("edits")).alias("value")), "m2-lines")  # ranges are found by a pass of their own
     out = lines.repartitionByRange("sent_id").sortWithinPartitions("sent_id").select("value")
-    out.write.mode(mode).option("lineSep", "\n\n").text(path)
+    out.write.mode(mode).option("lineSep", "\n\n").text(path, compression=compression)
     forget(lines)
 
 
-def merge_m2(spark: SparkSession, paths: list[str], path: str, mode: str = "error") -> None:
-    """The blocks of several files or folders, in the order of paths, as one; mode "append" adds them to what is there."""
-    before, every = 0, None
-    for p in paths:
-        own = read_m2(spark, p)
-        n = own.agg(F.max("sent_id").alias("n")).first()["n"]
-        own = own.withColumn("sent_id", F.col("sent_id") + F.lit(before))
-        before += (n or 0) + 1
+def merge_m2(spark: SparkSession, paths: list[str], path: str, mode: str = "error", compression: str = "none") -> None:
+    """The blocks of several files or folders, in the order of paths, as one; mode "append" adds them to what is there.
+
+    A split of a file holds its blocks in order, so that it becomes a file of its own, named by its place: no block is moved between tasks.
+    """
+    begin = lambda: spark.createDataFrame([], "value string").write.mode(mode).text(path)
+    early = mode in ("error", "errorifexists", "ignore", "default")
+    if mode == "ignore" and exists(spark, path):
+        return
+    if early:
+        begin()
+    every = None
+    for k, p in enumerate(paths):
+        own = _m2_file(spark, p).select("value", F.lit(k).alias("_path"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"))
         every = own if every is None else every.unionByName(own)
-    write_m2(every, path, mode)
+    splits = every.groupBy("_path", "_file", "_from").agg(F.lit(1).alias("_one"))
+    splits = splits.select("_path", "_file", "_from", F.format_string("%010d", F.row_number().over(Window.orderBy("_path", "_file", "_from"))).alias("_split"))  # a row for each split
+    at = every.withColumn("_id", F.monotonically_increasing_id()).join(F.broadcast(splits), ["_path", "_file", "_from"])
+    lines = _m2_parts(at, "_split", "_id").select("_split", "_id", m2_text(F.col("source"), F.col("edits")).alias("value"))
+    out = lines.sortWithinPartitions("_split", "_id").select("_split", "value")
+    folder = f"{path.rstrip('/')}-merged-{uuid.uuid4().hex}"  # beside path, which may be read, and on its file system
+    out.write.partitionBy("_split").option("lineSep", "\n\n").text(folder, compression=compression)
+    if not early:
+        begin()
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    there = new(folder)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    for of in fs.globStatus(new(f"{folder}/_split=*/part-*")) or []:
+        at_ = of.getPath()
+        if not fs.rename(at_, new(path, f"part-{at_.getParent().getName().split('=')[1]}-{at_.getName()}")):
+            raise OSError(f"{at_} could not be moved to {path}")
+    fs.delete(there, True)
 
 
 def write_combined(pairs: DataFrame, source_path: str, target_path: str, order: tuple[str, ...] = ("dataset", "row_idx"), mode: str = "error") -> None:

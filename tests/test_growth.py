@@ -155,3 +155,30 @@ def test_silhouette_copies_no_point_for_the_blocks_it_meets(spark):
 def test_silhouette_shares_the_step(spark):
     plan = catalogue.silhouette(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" not in plan and "Generate" not in plan
+
+
+def test_merged_m2_moves_no_block(spark, tmp_path, monkeypatch):
+    """Blocks keep the order of paths, files and splits; malformed ones go; an input may be written over; no block is dealt by ranges."""
+    blocks = lambda tag, n: "\n\n".join(x for k in range(n) for x in (f"S {tag} {k}\nA 0 1|||R:X|||c{k}|||REQUIRED|||-NONE-|||0", "broken"))
+    a, b, out = (str(tmp_path / x) for x in ("a", "b", "out"))
+    for path, names in ((a, ("x", "y", "z")), (b, ("v",))):
+        for i, name in enumerate(names):
+            os.makedirs(path, exist_ok=True)
+            with open(f"{path}/part-{i}", "w") as f:
+                f.write(blocks(name, 40))
+    want = [f"{t} {k}" for t in ("v", "x", "y", "z", "v") for k in range(40)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    monkeypatch.delattr(type(spark.range(1)), "repartitionByRange")
+    try:
+        io.merge_m2(spark, [b, a, b], out)
+        read = io.read_m2(spark, out).orderBy("sent_id").collect()
+        io.merge_m2(spark, [out, b], out, mode="overwrite", compression="gzip")
+        again = io.read_m2(spark, out).orderBy("sent_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["source"] for r in read] == want and [r["sent_id"] for r in read] == list(range(200)) and read[1]["edits"][0]["correction"] == "c1"
+    assert [r["source"] for r in again] == want + want[:40] and sorted(os.listdir(tmp_path)) == ["a", "b", "out"]
+    with pytest.raises(Exception, match="already exists"):
+        io.merge_m2(spark, [a], out)
+    io.merge_m2(spark, [a], out, mode="append")
+    assert io.read_m2(spark, out).count() == 360
