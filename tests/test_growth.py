@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as X
-from quillwork.operators import cluster, score, tags
+from quillwork.operators import align, cluster, score, tags, typing_rules
 from quillwork.plans import catalogue, derived
 from quillwork.sources import io
 
@@ -182,3 +182,41 @@ def test_merged_m2_moves_no_block(spark, tmp_path, monkeypatch):
         io.merge_m2(spark, [a], out)
     io.merge_m2(spark, [a], out, mode="append")
     assert io.read_m2(spark, out).count() == 360
+
+
+def test_alignment_makes_the_cells_that_count(monkeypatch):
+    """The path is Table's, of few cells: words far from the diagonal are never priced."""
+    rng = random.Random(7)
+    words = [f"{x}{y}{x}" for x in "abcdefgh" for y in "klmnop"]
+    tok = lambda w: {"text": w, "lemma": w, "pos": "X", "tag": "", "dep": ""}
+    cells = []
+    for _ in range(150):
+        a = [rng.choice(words[: rng.choice([3, 48])]) for _ in range(rng.randrange(1, 30))]
+        b = [x for w in a for x in rng.choice([[w]] * 8 + [[], [w, w], [w[::-1] + "z"]])]
+        if len(b) > 4:
+            b[1], b[3] = b[3], b[1]
+        info = [tok(w) for w in a], [tok(w) for w in b]
+        want = align.Table(a, b, *info, *align.LINGUISTIC).path()
+        assert all(align.linguistic_path(a, b, *info, most) == want for most in (None, abs(len(a) - len(b)), abs(len(a) - len(b)) + 2.5))
+    monkeypatch.setattr(align, "char_floor", lambda *_: cells.append(1) or 0.0)
+    a = [f"w{k}" for k in range(90)]
+    b = [*a[:40], "other", *a[41:]]
+    align.linguistic_path(a, b, [tok(w) for w in a], [tok(w) for w in b])
+    assert len(cells) < 1500
+
+
+def test_a_word_written_as_several_is_told_without_an_expression():
+    tok = lambda w: {"text": w}
+    cases = [("abcd", ["ab", "cd"], True), ("abcd", ["ab", "d"], True), ("aba", ["ab", "ba"], False), ("a.c", ["a", "c"], True), ("abxcxd", ["a", "x", "xd"], True), ("abxd", ["a", "x", "xd"], False), ("don't", ["do", "n't"], True)]
+    for one, many, want in cases:
+        edits = [("S", 0, 1, 0, 1), *[("I", 1, 1, k, k + 1) for k in range(1, len(many))]]
+        assert align.splits_word([tok(one)], [tok(w) for w in many], edits) is want
+
+
+def test_edits_are_typed_without_their_sentences(spark):
+    pairs = derived.sentence_pairs(spark, SF)
+    plan = typing_rules.typed_edits(pairs, spark.createDataFrame([("the",)], "word string"))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert joins and len([x for x in typing_rules.typed_edits(pairs).inputFiles()]) == 1
+    above = plan[: plan.index("Generate")]
+    assert "orig#" not in above.split("Join")[0] and "_o#" in plan
